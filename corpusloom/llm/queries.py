@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import simhash
+from corpusloom.llm import bpe, mixing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bpe": bpe.op3_bpe,
+        "op7_mixing": mixing.op7_mixing,
         "op10_simhash": simhash.op10_simhash,
     }
 
