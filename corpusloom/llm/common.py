@@ -58,3 +58,22 @@ def group_slices(keys) -> Iterator[tuple[int, int]]:
     if len(keys):
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True)
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Write a table between phases as Parquet in the shared checkpoint folder and read it back: compact, and it cuts lineage."""
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    where = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stash-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished phases go when the driver notices that nothing needs them; ask it to look now."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, mixing, simhash
+from corpusloom.llm import bpe, mixing, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_bpe": bpe.op3_bpe,
         "op7_mixing": mixing.op7_mixing,
         "op10_simhash": simhash.op10_simhash,
