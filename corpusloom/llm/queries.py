@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, mixing, simhash, suffix_dedup
+from corpusloom.llm import bpe, mixing, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_bpe": bpe.op3_bpe,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op7_mixing": mixing.op7_mixing,
         "op10_simhash": simhash.op10_simhash,
     }
