@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, mixing, simhash, suffix_dedup, toxicity
+from corpusloom.llm import bpe, mixing, quality, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_bpe": bpe.op3_bpe,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_quality": quality.op5_quality,
         "op7_mixing": mixing.op7_mixing,
         "op10_simhash": simhash.op10_simhash,
     }

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import release, stash, table, text_keys
@@ -329,8 +329,8 @@ def kept_bytes(data: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """columns of every row of docs, with kept (the remaining bytes), n_bytes, n_removed, n_spans and removed (list of (begin, end))."""
     found = repeated_spans(docs, length)
-    rows = docs.select(*columns, *text_keys(), F.coalesce("text", F.lit("")).alias("text"))
-    met = rows.join(found, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left").select(*columns, "text", "found")
+    rows = docs.select(*columns, *text_keys(), F.coalesce("text", F.lit("")).cast("binary").alias("_data"))
+    met = rows.join(found, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left").select(*columns, "_data", "found")
     kinds = dict(met.dtypes)
     width = len(columns)
 
@@ -338,7 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ..
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts, has = _texts(batch), batch.column(width + 1).is_valid().to_pylist()
+                texts, has = _texts(batch, "_data"), batch.column(width + 1).is_valid().to_pylist()
                 kept, removed, spans = [], [], []
                 for row, data in enumerate(texts):
                     if has[row]:
@@ -357,6 +357,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ..
     return met.mapInArrow(run, f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<begin: long, end: long>>")
 
 
+def readable(data: Column) -> Column:
+    """Bytes as a text; the parts of characters that were cut in two go (a marker stands for each first)."""
+    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
