@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, mixing, quality, simhash, suffix_dedup, toxicity
+from corpusloom.llm import bpe, embed_dedup, mixing, quality, simhash, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,10 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": bpe.op3_bpe,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_quality": quality.op5_quality,
+        "op6_topk": topk.op6_topk,
         "op7_mixing": mixing.op7_mixing,
+        "op8_embed_dedup": embed_dedup.op8_embed_dedup,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": topk.OP6_SQL}
