@@ -68,7 +68,17 @@ def stash(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     where = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stash-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    back = spark.read.schema(df.schema).parquet(where)
+    back._stash = where
+    return back
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete stashed tables that nothing will read again."""
+    for df in stashed:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stash)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import release, stash, table, text_keys
+from corpusloom.llm.common import discard, release, stash, table, text_keys
 from corpusloom.llm.suffix_array import repeated_starts
 
 LENGTH = 200
@@ -285,6 +285,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     again = rows.groupBy("a").agg(F.sum("m").alias("n")).filter("n > 1").select("a")
     found = _by_text(rows.join(again, "a"), ["first", "windows", "distance"], unique=True)
     parts = stash(_with_text(texts, found).mapInArrow(_find_parts(length), "q long, sg long, t1 long, t2 long, first int, windows int, m int"))
+    discard(rows)
     release(docs.sparkSession)
 
     segments = parts.groupBy("q", "sg").agg(F.sum("m").alias("m"), F.min(F.struct("t1", "t2", "first", "windows")).alias("at"))
@@ -302,6 +303,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         twice = alone.groupBy("w").agg(F.sum("m").alias("n")).filter("n > 1").select("w")
         repeats = repeats.unionByName(alone.join(twice, "w").select("q", "sg", "at", F.lit(1).alias("n")).distinct())
     repeats = stash(repeats)
+    discard(open_)
     release(docs.sparkSession)
 
     spans = parts.select("q", "sg", "t1", "t2", "first").join(repeats, ["q", "sg"])
