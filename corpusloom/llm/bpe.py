@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import table
 
 #: Distinct words a worker remembers between batches; beyond it the memory is emptied, which costs time only.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Characters of text that are handled at a time.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_500_000
 
 
 def byte_letters() -> list[str]:
@@ -185,7 +185,7 @@ class WordBpe:
                     children.append({})
             ends[node] = word
         stands, go, ends_inner = self.stands, self.go, self.ends_inner
-        if len(stands) > 4_000_000:
+        if len(stands) > 1_000_000:
             stands.clear()
         states = [0]  # last token of each prefix of the path
         stack = [(n, c, 1, 0) for c, n in children[0].items()]

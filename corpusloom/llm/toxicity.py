@@ -33,17 +33,19 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import table
 
 BUCKETS = 1 << 15
+#: Buckets of a word at most: itself, six beginnings, two ends.
+PARTS = 9
 DIMENSIONS = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 #: Labelled rows that fitting takes at most, and training texts a word must be in to have its own embedding.
-SAMPLE = 8000
+SAMPLE = 6000
 LEAST_TEXTS = 3
 STEPS = 500
 BATCH = 48
 SCALE = 0.6
 #: Words a worker remembers between batches.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 SEED = 4
 DECISION = 0.7
 
@@ -86,10 +88,13 @@ class Words(dict):
         return n
 
 
-def flat_parts(listed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words in a row, and how many each word has."""
-    parts = [parts_of(w) for w in listed]
-    return np.fromiter((x for p in parts for x in p), np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
+def part_table(listed: list[bytes]) -> np.ndarray:
+    """uint16[words, PARTS]: every word's buckets, filled up with 0; a stretch at a time, as lists of numbers are large."""
+    out = np.zeros((len(listed), PARTS), np.uint16)
+    for at in range(0, len(listed), 4096):
+        rows = [parts_of(w) for w in listed[at : at + 4096]]
+        out[at : at + len(rows)] = [r + [0] * (PARTS - len(r)) for r in rows]
+    return out
 
 
 @cache
@@ -111,7 +116,7 @@ def sequences(texts: list[str | None], known: Words) -> tuple[np.ndarray, np.nda
         begins.append(len(row))
         row += map(known.__getitem__, words(t))
         row += pad
-    return np.array(row, np.int64), np.array(begins, np.int64)
+    return np.array(row, np.int32), np.array(begins, np.int64)
 
 
 class Model:
@@ -141,8 +146,9 @@ class Model:
             self.taps = np.zeros((1, self.buckets.shape[1] + len(FUNCTION_WORDS)), np.float32)
         row, begins = sequences(texts, self.known)
         if new := self.known.new:
-            flat, size = flat_parts(new)
-            taps = np.add.reduceat(self.buckets[flat], np.cumsum(size) - size, axis=0) * (SCALE / np.sqrt(size))[:, None]
+            found = part_table(new)
+            taps = np.concatenate([self.buckets[found[i : i + 2048]].sum(axis=1) for i in range(0, len(new), 2048)])
+            taps *= (SCALE / np.sqrt((found > 0).sum(axis=1)))[:, None]
             bits = np.array([function_words().get(w, 0) for w in new])
             votes = bits[:, None] >> np.arange(len(FUNCTION_WORDS)) & 1
             need, filled = len(self.known) + 1, len(self.known) + 1 - len(new)
@@ -181,15 +187,14 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = SEED) -> Model:
     row, begins = sequences(texts, known)
     docs = [d[: len(d) - max(WIDTHS)] for d in np.split(row, begins[1:])] if len(texts) else []
     held = np.arange(len(docs)) % 5 == 0 if len(docs) >= 50 else np.zeros(len(docs), bool)
-    flat, size = flat_parts(known.new)
-    start = np.cumsum(size) - size
+    found = part_table(known.new)
     # a bucket counts once a text; buckets of few texts share row 1 of the embedding
     seen = np.zeros(BUCKETS, np.int64)
     for d in (d for d, h in zip(docs, held, strict=True) if not h and len(d)):
-        w = np.unique(d) - 1
-        seen[np.unique(flat[np.repeat(start[w], size[w]) + np.arange(size[w].sum()) - np.repeat(np.cumsum(size[w]) - size[w], size[w])])] += 1
+        seen[np.unique(found[np.unique(d) - 1])] += 1
     own = np.arange(BUCKETS)
     own[seen < LEAST_TEXTS] = 1
+    own[0] = 0
     p: dict[str, np.ndarray] = {"own": own, "E": rng.normal(0, 0.3, (BUCKETS, DIMENSIONS)).astype(np.float32)}
     for w in WIDTHS:
         p[f"W{w}"] = rng.normal(0, 0.4, (w, DIMENSIONS, FILTERS)).astype(np.float32)
@@ -203,14 +208,12 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = SEED) -> Model:
         p["thresholds"][:] = np.log(DECISION / (1 - DECISION))
         return Model(**p)
 
-    # word -> its buckets' embeddings, summed; padded to a rectangle (bucket 0 stays zero)
-    widest = int(size.max()) if len(size) else 1
-    table_ = np.zeros((len(size) + 1, widest), np.int64)
-    for k in range(widest):
-        has = np.flatnonzero(size > k)
-        table_[has + 1, k] = own[flat[start[has] + k]]
-    scale = np.ones(len(size) + 1, np.float32)
-    scale[1:] = SCALE / np.sqrt(size)
+    # word -> its buckets; bucket 0 stays zero
+    table_ = np.zeros((len(found) + 1, PARTS), np.uint16)
+    table_[1:] = own[found]
+    scale = np.ones(len(found) + 1, np.float32)
+    scale[1:] = SCALE / np.sqrt((found > 0).sum(axis=1))
+    del found
     p["E"][0] = 0
     classes = [np.flatnonzero(~held & (labels == y)) for y in (0, 1)]
     if not all(map(len, classes)):
@@ -233,7 +236,7 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = SEED) -> Model:
 
 
 def _gradients(p: dict[str, np.ndarray], docs: list[np.ndarray], y: np.ndarray, table_: np.ndarray, scale: np.ndarray) -> dict[str, np.ndarray]:
-    pad = np.zeros(max(WIDTHS), np.int64)
+    pad = np.zeros(max(WIDTHS), np.int32)
     row = np.concatenate([x for d in docs for x in (d, pad)])
     sizes = np.array([len(d) + len(pad) for d in docs])
     begins = np.cumsum(sizes) - sizes
