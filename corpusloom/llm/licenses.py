@@ -88,13 +88,16 @@ def catalogue(spark: SparkSession, templates: dict[str, str]) -> tuple[list[dict
     return listed, keys
 
 
-def window_minima(g: Column, n: Column, size: int) -> Column:
-    """Minimum of g over each window of size shingles, windows a quarter of the size apart (each one for small sizes)."""
-    step = max(1, size // 4)
-    per = size // step
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda k: F.array_min(F.slice(g, k * step + 1, F.lit(step)))) if step > 1 else g
-    windows = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(blocks) - per + 1))
-    return F.transform(windows, lambda k: F.array_min(F.slice(blocks, k, F.lit(per)))) if per > 1 else blocks
+def block_minima(g: Column, n: Column, step: int) -> Column:
+    """Minimum of g over every step shingles in a row, blocks side by side."""
+    return g if step == 1 else F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / step).cast("int"))), lambda k: F.array_min(F.slice(g, k * step + 1, F.lit(step))))
+
+
+def window_minima(blocks: Column, per: int) -> Column:
+    """Minimum over every per blocks in a row, windows one block apart.  blocks must be a column: a lambda computes what it names again for each element."""
+    if per == 1:
+        return blocks
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(blocks) - per + 1)), lambda k: F.array_min(F.slice(blocks, k, F.lit(per))))
 
 
 def _hits(minima: Column, size: int, band: int, wanted: list[int]) -> Column:
@@ -114,15 +117,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     spark = docs.sparkSession
     listed, keys = catalogue(spark, templates or TEMPLATES)
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), word_array(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "row", shingle_hashes(F.col("words")).alias("h")).filter(F.size("h") > 0)
+    rows = rows.select("doc_id", "row", shingle_hashes(F.col("words")).alias("h"))
     bands = sorted({b for size, b in keys if size > 1})
     rows = rows.select("doc_id", "row", "h", F.size("h").alias("n"), *[hashed(F.col("h"), b).alias(f"g{b}") for b in bands])
+    steps = sorted({(max(1, size // 4), b) for size, b in keys if size > 1})
+    rows = rows.select("doc_id", "row", "h", "n", *[block_minima(F.col(f"g{b}"), F.col("n"), step).alias(f"m{step}_{b}") for step, b in steps])
     places = []
     for (size, b), listed_keys in sorted(keys.items()):
-        minima = F.col("h") if size == 1 else window_minima(F.col(f"g{b}"), F.col("n"), size)
+        step = max(1, size // 4)
+        minima = F.col("h") if size == 1 else window_minima(F.col(f"m{step}_{b}"), size // step)
         places.append(_hits(minima, size, b, sorted({k for k, _, _ in listed_keys})))
-    rows = rows.withColumn("hits", F.concat(*places)).filter(F.size("hits") > 0)
-    rows = rows.select("doc_id", "row", "h", "n", F.explode("hits").alias("hit"))
+    # explode_outer, then a filter: one on the array itself would be moved down and compute everything twice
+    rows = rows.withColumn("hits", F.concat(*places))
+    rows = rows.select("doc_id", "row", "h", "n", F.explode_outer("hits").alias("hit")).filter("hit.key is not null")
     # as many rows as the catalogue has windows and bands
     known = F.broadcast(literal_table(spark, [{"size": F.lit(s), "band": F.lit(b), "key": F.lit(k).cast("long"), "offset": F.lit(o), "license": F.lit(name)} for (s, b), found in keys.items() for k, o, name in found]))
     met = rows.select("doc_id", "row", "h", "n", "hit.*").join(known, ["size", "band", "key"]).select("doc_id", "row", "h", "n", "size", "license", (F.col("at") - F.col("offset")).alias("begin"))

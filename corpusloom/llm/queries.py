@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, embed_dedup, mixing, quality, simhash, suffix_dedup, topk, toxicity
+from corpusloom.llm import bpe, embed_dedup, licenses, mixing, packing, quality, simhash, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": licenses.op1_licenses,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_bpe": bpe.op3_bpe,
         "op4_toxicity": toxicity.op4_toxicity,
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_topk": topk.op6_topk,
         "op7_mixing": mixing.op7_mixing,
         "op8_embed_dedup": embed_dedup.op8_embed_dedup,
+        "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
     }
 
