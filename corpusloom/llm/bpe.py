@@ -185,7 +185,7 @@ class WordBpe:
                     children.append({})
             ends[node] = word
         stands, go, ends_inner = self.stands, self.go, self.ends_inner
-        if len(stands) > 1_000_000:
+        if len(stands) > 400_000:
             stands.clear()
         states = [0]  # last token of each prefix of the path
         stack = [(n, c, 1, 0) for c, n in children[0].items()]
@@ -287,6 +287,12 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(where)
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            bpe.known.clear()  # workers outlive tasks, and memory is theirs and the other stages'
+
+    def encoded(bpe: WordBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
             rest = batch.select([n for n in batch.schema.names if n != text])

@@ -17,7 +17,7 @@ class's share, smoothed.
 from __future__ import annotations
 
 import io
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -165,7 +165,7 @@ def logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([max(w[0], 0) / scale, w[1]])
 
 
-@cache
+@lru_cache(maxsize=1)
 def _model(data: bytes) -> Model:
     return Model.from_bytes(data)
 

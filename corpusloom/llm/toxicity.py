@@ -23,7 +23,7 @@ from __future__ import annotations
 import io
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -294,11 +294,16 @@ def thresholds(z: np.ndarray, lang: np.ndarray, y: np.ndarray, least: int = 8) -
     return out
 
 
-@cache
+@lru_cache(maxsize=1)
 def _model(data: bytes) -> Model:
     return Model.from_bytes(data)
 
 
+def forget() -> None:
+    """Let go of the words remembered by this worker."""
+    _model.cache_clear()
+
+
 def train(docs: DataFrame, labels: DataFrame, target: str, fitter: Callable[[list, np.ndarray], bytes], sample: int = SAMPLE) -> bytes:
     """Fit in one task on at most sample labelled rows; labels: doc_id and target.  Rows are chosen by a hash of the id."""
     labels = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(target).alias("label"))
@@ -328,6 +333,12 @@ def score(docs: DataFrame, model: bytes, scorer: Callable[[bytes, list], np.ndar
     scorer = scorer or (lambda data, texts: _model(data).scores(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scored(batches)
+        finally:
+            forget()  # workers outlive tasks, and memory is theirs and the other stages'
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             for s in range(0, batch.num_rows, 256):
