@@ -95,10 +95,7 @@ def line_of(text: Column, pattern: str) -> Column:
 
 
 def without_code(docs: DataFrame) -> DataFrame:
-    """Fenced lines blanked, their number kept; a fence ends at its own mark."""
-    fenced = r"(?m)^([ \t]*(```|~~~)[^\n]*\n)((?:(?![ \t]*\2)[^\n]*\n)*)"
-    inside = lambda m: m
-    del fenced, inside
+    """Fenced lines blanked, their number kept; fence marks open and close in turn."""
     parts = F.split("md", "(?m)^(?=[ \t]*(?:```|~~~))", -1)
     # segments that begin with a fence mark take turns being inside; an empty first segment keeps the count right
     parts = F.when(F.col("md").rlike(r"\A[ \t]*(?:```|~~~)"), F.concat(F.array(F.lit("")), F.filter(parts, lambda p: p != ""))).otherwise(parts)
@@ -120,7 +117,7 @@ def latex_delimiters(docs: DataFrame) -> DataFrame:
     free = without_code(docs.filter(F.contains("md", F.lit("\\"))))
     rows = free.select("doc_id", "md", F.explode(F.array(*[F.lit(m) for m in LATEX_MARKS])).alias("label")).filter(F.contains("md", "label"))
     n = ((F.length("md") - F.length(F.replace("md", F.col("label"), F.lit("")))) / F.length("label")).cast("long")
-    head = F.col("md").substr(F.lit(1), F.locate("label", "md") - 1) if False else F.substring_index("md", F.col("label"), 1) if False else F.expr("left(md, instr(md, label) - 1)")
+    head = F.expr("left(md, instr(md, label) - 1)")
     rows = rows.withColumn("n", n)
     return _finding(rows, "latex_delimiters", "error", F.format_string("%s (%d)", F.col("label"), F.col("n")), F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1)
 

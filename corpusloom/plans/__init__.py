@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from corpusloom.plans import text_queries
+from corpusloom.plans import data_queries, text_queries
 from corpusloom.plans.catalog import REGISTRY, Query, query
 
-__all__ = ["REGISTRY", "Query", "query", "text_queries"]
+__all__ = ["REGISTRY", "Query", "data_queries", "query", "text_queries"]

@@ -175,11 +175,6 @@ _FREE = f"""{WITH}, lined AS (SELECT doc_id, unnest(string_split(md, chr(10))) A
     free AS (SELECT doc_id, array_to_string(list(CASE WHEN k % 2 = 1 AND NOT starts_with(trim(line), '```') THEN '' ELSE line END ORDER BY n), chr(10)) AS md FROM fenced GROUP BY doc_id)"""
 
 
-def _line_sql(pattern: str) -> str:
-    """Line of the first match: line ends before it, plus one."""
-    return f"CAST(length(md_head) - length(replace(md_head, chr(10), '')) + 1 AS INTEGER)"
-
-
 @query("validate_incomplete", f"{WITH} SELECT doc_id, 'incomplete_conversion' AS rule, 'error' AS severity FROM md_docs WHERE regexp_matches(md, '(?m)^> \\*\\*INCOMPLETO:\\*\\*')")
 def validate_incomplete(spark, sf_dir):
     return validation.incomplete(_md(spark, sf_dir)).select("doc_id", "rule", "severity")
@@ -216,9 +211,6 @@ def validate_unbalanced_math(spark, sf_dir):
     return validation.unbalanced_math(_md(spark, sf_dir)).select("doc_id", "env", "begins", "ends")
 
 
-_TOKENS = "list_filter(regexp_split_to_array(part, '\\s+'), lambda t: t <> '')"
-
-
 @query(
     "validate_scrambled",
     f"""{_PAGES_SQL}, tok AS (SELECT doc_id, CAST(regexp_extract(part, '^([0-9]+)', 1) AS INTEGER) AS page, regexp_extract_all(regexp_replace(part, '^[0-9]+', ''), '[\\p{{L}}\\p{{N}}_]+') AS toks FROM pages)

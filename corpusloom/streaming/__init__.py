@@ -1 +1 @@
-
+"""Streaming twins of the event and folder operators."""
