@@ -282,15 +282,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"strings of at least {2 * ANCHOR} bytes can be looked for")
     texts = docs.filter(F.octet_length("text") >= length).select(*text_keys(), "text")
     rows = stash(texts.mapInArrow(_find_anchors(length), "a long, t1 long, t2 long, first int, windows int, distance int, m int"))
-    again = rows.groupBy("a").agg(F.sum("m").alias("n")).filter("n > 1").select("a")
+    # written down, so that the join has a shuffle of its own on both sides and adaptive execution can split a hot key
+    again = stash(rows.groupBy("a").agg(F.sum("m").alias("n")).filter("n > 1").select("a"))
     found = _by_text(rows.join(again, "a"), ["first", "windows", "distance"], unique=True)
     parts = stash(_with_text(texts, found).mapInArrow(_find_parts(length), "q long, sg long, t1 long, t2 long, first int, windows int, m int"))
-    discard(rows)
+    discard(rows, again)
     release(docs.sparkSession)
 
     segments = parts.groupBy("q", "sg").agg(F.sum("m").alias("m"), F.min(F.struct("t1", "t2", "first", "windows")).alias("at"))
-    keys = segments.groupBy("q").agg(F.sum("m").alias("total"), F.count("*").alias("kinds")).filter("total > 1").drop("total")
+    segments = stash(segments.select("q", "sg", "m", "at"))
+    keys = stash(segments.groupBy("q").agg(F.sum("m").alias("total"), F.count("*").alias("kinds")).filter("total > 1").drop("total"))
     open_ = stash(segments.join(keys, "q").select("q", "sg", "m", "at.*", "kinds"))
+    discard(segments, keys)
     copies = open_.filter("kinds = 1").select("q", "sg", F.lit(0).alias("at"), F.col("windows").alias("n"))
     fields = ["q", "sg", "m", "first", "windows"]
     mixed = _with_text(texts, _by_text(open_.filter(f"kinds > 1 and kinds <= {MOST_SEGMENTS}"), fields, unique=False))
