@@ -282,7 +282,8 @@ def steps(texts: list[str | None], chars: int = STEP_CHARS) -> Iterator[tuple[in
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """docs without the text, with ids: binary, little-endian unsigned 32-bit."""
+    """docs without the text, with ids (in place of a column of that name): binary, little-endian unsigned 32-bit."""
+    docs = docs.drop("ids")
     where = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,6 +309,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded with the column decoded beside ids."""
+    encoded = encoded.drop("decoded")
     where = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,10 +19,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpoint, column_values
+from corpusloom.llm.common import checkpoint, column_values, text_keys
 from corpusloom.llm.components import connected_components
 
 SHINGLE = 4
@@ -67,8 +67,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, t1, t2, fp): the text's 128-bit key and its signed 64-bit fingerprint."""
-    from corpusloom.llm.common import text_keys
-
     base = docs.select("doc_id", *text_keys(), "text")
     kind = dict(base.dtypes)["doc_id"]
     return base.mapInArrow(_fingerprints, f"doc_id {kind}, _t1 long, _t2 long, fp long")
@@ -245,14 +243,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = near_duplicates(docs, radius)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "_t1", "_t2")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k._t1").alias("_k1"), F.col("k._t2").alias("_k2"))
-    from pyspark.sql import Window
-
-    from corpusloom.llm.common import text_keys
-
-    rows = docs.withColumn("_t1", text_keys()[0]).withColumn("_t2", text_keys()[1])
-    rows = rows.join(kept, (rows._t1 == kept._k1) & (rows._t2 == kept._k2) & rows.doc_id.eqNullSafe(kept._id), "left_semi")
-    order = Window.partitionBy("_t1", "_t2", "doc_id").orderBy(F.lit(1))
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_t1", "_t2")
+    # the row travels as one struct, so no column of docs can clash with those added here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *text_keys(), F.col("doc_id").alias("_own"))
+    rows = rows.join(kept, (rows._t1 == kept._k1) & (rows._t2 == kept._k2) & rows._own.eqNullSafe(kept._id), "left_semi")
+    order = Window.partitionBy("_t1", "_t2", "_own").orderBy(F.lit(1))
+    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("_row.*")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

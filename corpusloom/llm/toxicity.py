@@ -328,7 +328,8 @@ def _fit_bytes(texts: list[str | None], labels: np.ndarray) -> bytes:
 
 
 def score(docs: DataFrame, model: bytes, scorer: Callable[[bytes, list], np.ndarray] | None = None) -> DataFrame:
-    """docs with the column score; every other column is carried through."""
+    """docs with the column score (in place of one of that name); every other column is carried through."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scorer = scorer or (lambda data, texts: _model(data).scores(texts))
 
