@@ -24,12 +24,12 @@ MAGIC = ((".pdf", "25504446"), (".png", "89504E470D0A1A0A"), (".jpg", "FFD8FF"),
 def sniffed_suffix(content: Column, path: Column) -> Column:
     """Suffix by leading bytes, else by the archive's members, else the path's own."""
     prefix = F.substring(content, 1, 8192)
-    text = F.lower(F.ltrim(F.decode(F.substring(content, 1, 4096), F.lit("ISO-8859-1"))))
+    text = F.lower(F.ltrim(F.decode(F.substring(content, 1, 4096), "ISO-8859-1")))
     own = F.nullif(F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)), F.lit(""))
     found = F.when(F.lit(False), F.lit(""))
     for suffix, magic in MAGIC:
         found = found.when(F.startswith(prefix, F.unhex(F.lit(magic))), suffix)
-    found = found.when(F.decode(F.substring(content, 5, 4), F.lit("ISO-8859-1")).eqNullSafe("ftyp") & F.decode(F.substring(content, 9, 8), F.lit("ISO-8859-1")).rlike("heic|heif|mif1|msf1"), ".heic")
+    found = found.when(F.decode(F.substring(content, 5, 4), "ISO-8859-1").eqNullSafe("ftyp") & F.decode(F.substring(content, 9, 8), "ISO-8859-1").rlike("heic|heif|mif1|msf1"), ".heic")
     found = found.when(F.startswith(prefix, F.unhex(F.lit("504B0304"))), F.coalesce(archive_suffix(content), own))
     found = found.when(text.rlike(r"^(<!doctype html|<html)"), ".html").when(text.rlike(r"^(from|received|subject):|\n(from|received|subject):"), ".eml")
     return F.coalesce(found, own)
@@ -292,8 +292,17 @@ class _Markdown(HTMLParser):
             self.out.append("\n\n")
 
     def handle_data(self, data):
-        if not self.skipped:
-            self.out.append(data if self.code else " ".join(data.split()) and (" " * data[:1].isspace() + " ".join(data.split()) + " " * data[-1:].isspace()))
+        if self.skipped:
+            return
+        if self.code:
+            self.out.append(data)
+            return
+        fresh = not self.out or self.out[-1][-1:] in ("\n", " ")
+        core = " ".join(data.split())
+        if core:
+            self.out.append(" " * (data[0].isspace() and not fresh) + core + " " * data[-1].isspace())
+        elif data and not fresh:
+            self.out.append(" ")
 
 
 def html_markdown(html: str) -> str:
