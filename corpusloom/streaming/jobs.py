@@ -54,5 +54,5 @@ def folded(spark: SparkSession, target: str) -> DataFrame:
 
 def watch_folder(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], None], checkpoint: str, pattern: str = "*") -> StreamingQuery:
     """Hand new files (path, modificationTime, length, content) of a folder to handle, one batch at a time; each file once."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
