@@ -243,12 +243,37 @@ def validate_missing_assets(spark, sf_dir):
     return validation.missing_assets(docs, assets).select("doc_id", "target")
 
 
-@query("validate_findings")
+def _words_sql(listed: tuple[str, ...]) -> str:
+    return "[" + ", ".join(duck_text(w) for w in listed) + "]"
+
+
+_FOUND = f"""{_FREE}, cut AS (SELECT doc_id, string_split(chr(10) || md, chr(10) || '## Page ') AS parts FROM md_docs),
+    pages AS (SELECT doc_id, unnest(parts[2:]) AS part FROM cut),
+    words AS (SELECT doc_id, regexp_extract_all(regexp_replace(part, '^[0-9]+', ''), '[\\p{{L}}\\p{{N}}_]+') AS t FROM pages),
+    envs AS (SELECT doc_id, unnest(regexp_extract_all(md, '\\\\begin\\{{(\\w+)\\}}', 1)) AS env, 1 AS d FROM free UNION ALL SELECT doc_id, unnest(regexp_extract_all(md, '\\\\end\\{{(\\w+)\\}}', 1)), -1 FROM free),
+    said AS (SELECT doc_id, regexp_extract(md, '(?s)\\A---\\n.*?\\n---\\n?') AS block, md FROM md_docs),
+    captions AS (SELECT doc_id, regexp_extract(block, '(?m)^language: "?([a-z]+)', 1) AS said, regexp_extract_all(lower(array_to_string(regexp_extract_all(md[length(block) + 1:], '(?m)^> (.+)$', 1), ' ')), '[a-záéíóúüñ'']+') AS t FROM said),
+    told AS (SELECT doc_id, said, len(t) AS n, len(list_filter(t, lambda x: list_contains({_words_sql(P.SPANISH)}, x))) AS es, len(list_filter(t, lambda x: list_contains({_words_sql(P.ENGLISH)}, x))) AS en FROM captions WHERE said <> ''),
+    found AS (
+      SELECT doc_id, 'incomplete_conversion' AS rule, 'error' AS severity FROM md_docs WHERE regexp_matches(md, '(?m)^> \\*\\*INCOMPLETO:\\*\\*')
+      UNION ALL SELECT doc_id, 'control_chars', 'error' FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(md, '[\\x00-\\x08\\x0b-\\x1f]')) AS ch FROM md_docs)
+      UNION ALL SELECT doc_id, 'latex_delimiters', 'error' FROM free, {_MARKS} WHERE contains(md, label)
+      UNION ALL SELECT doc_id, 'unbalanced_math', 'error' FROM free WHERE ((length(md) - length(replace(md, '$$', ''))) // 2) % 2 = 1
+      UNION ALL SELECT doc_id, 'unbalanced_math', 'error' FROM envs GROUP BY doc_id, env HAVING sum(d) <> 0
+      UNION ALL SELECT doc_id, 'scrambled_text', 'warning' FROM words WHERE len(t) >= 25 AND len(list_filter(t, lambda x: length(x) = 1)) > 0.6 * len(t)
+      UNION ALL SELECT doc_id, 'orphan_accents', 'warning' FROM md_docs WHERE regexp_matches(md, {_ORPHAN})
+      UNION ALL SELECT doc_id, 'empty_output', 'warning' FROM md_docs WHERE length(regexp_replace(regexp_replace(md, '(?s)\\A---\\n.*?\\n---\\n?', ''), '\\A\\s+|\\s+\\z', '', 'g')) < 20
+      UNION ALL SELECT doc_id, 'missing_figure_assets', 'warning' FROM (SELECT doc_id, unnest(regexp_extract_all(md, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS target FROM md_docs)
+      UNION ALL SELECT doc_id, 'language_mismatch', 'warning' FROM told WHERE n >= 20 AND ((es >= en * 1.2 AND es >= 4 AND said <> 'es') OR (NOT (es >= en * 1.2 AND es >= 4) AND en >= es * 1.2 AND en >= 4 AND said <> 'en')))"""
+
+
+@query("validate_findings", f"{_FOUND} SELECT doc_id, rule, severity, count(*) AS n FROM found GROUP BY ALL")
 def validate_findings(spark, sf_dir):
-    return validation.findings(_md(spark, sf_dir))
+    """Findings of all rules, counted by document."""
+    return validation.findings(_md(spark, sf_dir)).groupBy("doc_id", "rule", "severity").agg(F.count("*").alias("n"))
 
 
-@query("validate_report")
+@query("validate_report", f"{_FOUND} SELECT severity, rule, count(*) AS findings, count(DISTINCT doc_id) AS docs FROM found GROUP BY ROLLUP (severity, rule)")
 def validate_report(spark, sf_dir):
     """Findings by severity and rule, with subtotals."""
     found = validation.findings(_md(spark, sf_dir))
@@ -260,10 +285,6 @@ def validate_report(spark, sf_dir):
 _PROSE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '(?s)```.*?```', ' ', 'g'), '!?\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '(?s)\\$\\$.+?\\$\\$|\\$[^$\\n]+\\$', ' ', 'g'), '\\\\[A-Za-z]+', ' ', 'g')"
 
 
-def _words_sql(listed: tuple[str, ...]) -> str:
-    return "[" + ", ".join(duck_text(w) for w in listed) + "]"
-
-
 _LANG_SQL = f"""tok AS (SELECT doc_id, regexp_extract_all(lower(left(out, 4000)), '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ'']+') AS t FROM (SELECT doc_id, {_PROSE} AS out FROM md_docs)),
     hits AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: list_contains({_words_sql(P.SPANISH)}, x))) AS es, len(list_filter(t, lambda x: list_contains({_words_sql(P.ENGLISH)}, x))) AS en FROM tok),
     guess AS (SELECT doc_id, es, en, CASE WHEN n < 20 THEN NULL WHEN es >= en * 1.2 AND es >= 4 THEN 'es' WHEN en >= es * 1.2 AND en >= 4 THEN 'en' END AS language FROM hits)"""
