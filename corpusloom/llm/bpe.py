@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import small_batches, table, trimmed
 
 #: Distinct words a worker remembers between batches; beyond it the memory is emptied, which costs time only.
 REMEMBERED = 200_000
@@ -284,6 +284,7 @@ def steps(texts: list[str | None], chars: int = STEP_CHARS) -> Iterator[tuple[in
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """docs without the text, with ids (in place of a column of that name): binary, little-endian unsigned 32-bit."""
     docs = docs.drop("ids")
+    small_batches(docs.sparkSession)
     where = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +292,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
         try:
             yield from encoded(bpe, batches)
         finally:
-            bpe.known.clear()  # workers outlive tasks, and memory is theirs and the other stages'
+            bpe.known.clear()
+            bpe.stands.clear()  # workers outlive tasks, and memory is theirs and the other stages'
 
     def encoded(bpe: WordBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +306,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[*part.schema.names, "ids"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != text)
-    return docs.mapInArrow(run, f"{fields}, ids binary")
+    return docs.mapInArrow(trimmed(run), f"{fields}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -87,3 +87,33 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts travel to Python: keep Arrow batches to so many rows where the session still has the default of 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def trimmed(run):
+    """A batch function that hands freed memory back when its task ends: workers outlive tasks, and memory is others' too."""
+    from functools import wraps
+
+    @wraps(run)
+    def lean(batches):
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return lean

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import small_batches, table, trimmed
 
 LENGTH = 2048
 END = 50256
@@ -159,7 +159,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
         for at in range(0, rows.num_rows, 512):
             yield rows.slice(at, 512)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def write(packed: DataFrame, path: str) -> None:

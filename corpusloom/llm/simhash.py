@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpoint, column_values, text_keys
+from corpusloom.llm.common import checkpoint, column_values, small_batches, text_keys, trimmed
 from corpusloom.llm.components import connected_components
 
 SHINGLE = 4
@@ -67,9 +67,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, t1, t2, fp): the text's 128-bit key and its signed 64-bit fingerprint."""
+    small_batches(docs.sparkSession)
     base = docs.select("doc_id", *text_keys(), "text")
     kind = dict(base.dtypes)["doc_id"]
-    return base.mapInArrow(_fingerprints, f"doc_id {kind}, _t1 long, _t2 long, fp long")
+    return base.mapInArrow(trimmed(_fingerprints), f"doc_id {kind}, _t1 long, _t2 long, fp long")
 
 
 def block_sets(n: int, radius: int = RADIUS) -> tuple[int, int]:
@@ -224,7 +225,7 @@ def fingerprint_links(classes: DataFrame, n: int, radius: int = RADIUS, block: i
     grid = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(F.least(own, p).alias("i"), F.greatest(own, p).alias("j")))
     met = met.withColumn("g", F.explode(F.when(F.col("n") <= block, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(grid)))
     met = met.select(F.xxhash64("t", "key", "g.i", "g.j").alias("bucket"), "fp")
-    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare, "a long, b long")
+    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, release, stash, table, text_keys
+from corpusloom.llm.common import discard, release, small_batches, stash, table, text_keys, trimmed
 from corpusloom.llm.suffix_array import repeated_starts
 
 LENGTH = 200
@@ -38,7 +38,7 @@ ANCHOR = 32
 PARTS = 4
 #: Bytes of text hashed at a time, bytes of segments in one suffix array, different segments of a key above which it is dealt out again.
 STEP = 1 << 19
-ARRAY_BYTES = 1 << 21
+ARRAY_BYTES = 1 << 20
 MOST_SEGMENTS = 20_000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -280,12 +280,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(t1, t2, found: list of (first, n)): for texts with any, the runs of window starts that repeat in the corpus."""
     if length < 2 * ANCHOR:
         raise ValueError(f"strings of at least {2 * ANCHOR} bytes can be looked for")
+    small_batches(docs.sparkSession)
     texts = docs.filter(F.octet_length("text") >= length).select(*text_keys(), "text")
-    rows = stash(texts.mapInArrow(_find_anchors(length), "a long, t1 long, t2 long, first int, windows int, distance int, m int"))
+    rows = stash(texts.mapInArrow(trimmed(_find_anchors(length)), "a long, t1 long, t2 long, first int, windows int, distance int, m int"))
     # written down, so that the join has a shuffle of its own on both sides and adaptive execution can split a hot key
     again = stash(rows.groupBy("a").agg(F.sum("m").alias("n")).filter("n > 1").select("a"))
     found = _by_text(rows.join(again, "a"), ["first", "windows", "distance"], unique=True)
-    parts = stash(_with_text(texts, found).mapInArrow(_find_parts(length), "q long, sg long, t1 long, t2 long, first int, windows int, m int"))
+    parts = stash(_with_text(texts, found).mapInArrow(trimmed(_find_parts(length)), "q long, sg long, t1 long, t2 long, first int, windows int, m int"))
     discard(rows, again)
     release(docs.sparkSession)
 
@@ -297,8 +298,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     copies = open_.filter("kinds = 1").select("q", "sg", F.lit(0).alias("at"), F.col("windows").alias("n"))
     fields = ["q", "sg", "m", "first", "windows"]
     mixed = _with_text(texts, _by_text(open_.filter(f"kinds > 1 and kinds <= {MOST_SEGMENTS}"), fields, unique=False))
-    mixed = mixed.mapInArrow(_fetch(length), "q long, sg long, m long, data binary")
-    mixed = mixed.repartition("q").sortWithinPartitions("q", "sg").mapInArrow(_expand(length), "q long, sg long, at int, n int")
+    mixed = mixed.mapInArrow(trimmed(_fetch(length)), "q long, sg long, m long, data binary")
+    mixed = mixed.repartition("q").sortWithinPartitions("q", "sg").mapInArrow(trimmed(_expand(length)), "q long, sg long, at int, n int")
     repeats = copies.unionByName(mixed)
     if open_.filter(f"kinds > {MOST_SEGMENTS}").limit(1).count():
         alone = _with_text(texts, _by_text(open_.filter(f"kinds > {MOST_SEGMENTS}"), fields, unique=False))
@@ -359,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ..
                 yield _batch(**out, kept=pa.array(kept, pa.binary()), n_bytes=pa.array(map(len, texts), pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(map(len, spans), pa.int64()), removed=pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))))
 
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    return met.mapInArrow(run, f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<begin: long, end: long>>")
+    return met.mapInArrow(trimmed(run), f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<begin: long, end: long>>")
 
 
 def readable(data: Column) -> Column:

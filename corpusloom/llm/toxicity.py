@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import small_batches, table, trimmed
 
 BUCKETS = 1 << 15
 #: Buckets of a word at most: itself, six beginnings, two ends.
@@ -306,6 +306,7 @@ def forget() -> None:
 
 def train(docs: DataFrame, labels: DataFrame, target: str, fitter: Callable[[list, np.ndarray], bytes], sample: int = SAMPLE) -> bytes:
     """Fit in one task on at most sample labelled rows; labels: doc_id and target.  Rows are chosen by a hash of the id."""
+    small_batches(docs.sparkSession)
     labels = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(target).alias("label"))
     chosen = labels.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "label").limit(sample)
     # the sample is bounded by its row count, so its side may be broadcast to the documents
@@ -319,7 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str, fitter: Callable[[lis
             y += b.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([fitter(texts, np.array(y, np.int64))], pa.binary())], names=["model"])
 
-    got = rows.select("text", "label").coalesce(1).mapInArrow(run, "model binary").collect()
+    got = rows.select("text", "label").coalesce(1).mapInArrow(trimmed(run), "model binary").collect()
     return bytes(got[0][0]) if got else fitter([], np.zeros(0, np.int64))
 
 
@@ -330,6 +331,7 @@ def _fit_bytes(texts: list[str | None], labels: np.ndarray) -> bytes:
 def score(docs: DataFrame, model: bytes, scorer: Callable[[bytes, list], np.ndarray] | None = None) -> DataFrame:
     """docs with the column score (in place of one of that name); every other column is carried through."""
     docs = docs.drop("score")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scorer = scorer or (lambda data, texts: _model(data).scores(texts))
 
@@ -347,7 +349,7 @@ def score(docs: DataFrame, model: bytes, scorer: Callable[[bytes, list], np.ndar
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer(shared.value, part.column(at).to_pylist()), pa.float64())], names=[*part.schema.names, "score"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(trimmed(run), f"{fields}, score double")
 
 
 def remainder(modulus: int):
