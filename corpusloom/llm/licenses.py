@@ -1,11 +1,11 @@
 """License scans, with DataFrame functions only.
 
-Words are lower-cased runs of letters and digits; shingles are five words.  Each template has a window
-size: the largest power of two not above its number of shingles.  Windows of that size overlap by
-three quarters over every text, and each is summed up by the minima of four hash functions over its
-shingles: four bands of one row.  Where a text holds a template, a window lies within an
-eighth of the size of one of the template's own windows, so their Jaccard similarity is 7/9 or more and some
-band agrees with probability 1 - (2/9)**4 > 0.997 (certainly for windows of one shingle).
+Words are lower-cased runs of letters and digits; shingles are five words.  Templates of 16 shingles or
+more are looked for by windows of 16 shingles that overlap by half, each summed up by the minima of four
+hash functions: four bands of one row.  Where a text holds a template, a window lies within a quarter of
+the size of one of the template's own windows, so their Jaccard similarity is 12/20 or more and some band
+agrees with probability 1 - 0.4**4 > 0.97 for each of the template's windows.  Shorter templates take windows of
+one shingle, whose minimum is the shingle itself: one band, and every common shingle collides.
 
 Retrieved places are verified exactly: the share of the template's shingles found in a stretch of the
 template's length, at the best place near the retrieved one, must be 0.8 or more.
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import table
 
 SHINGLE = 5
+WINDOW = 16
 BANDS = 4
 CONTAINMENT = 0.8
 
@@ -56,8 +57,12 @@ def shingle_hashes(words: Column) -> Column:
 
 
 def window_size(shingles: int) -> int:
-    """The largest power of two not above the number of shingles."""
-    return 1 << (max(shingles, 1).bit_length() - 1)
+    return WINDOW if shingles >= WINDOW else 1
+
+
+def step_of(size: int) -> int:
+    """Shingles between windows."""
+    return max(1, size // 2)
 
 
 def band_count(size: int) -> int:
@@ -81,7 +86,7 @@ def catalogue(spark: SparkSession, templates: dict[str, str]) -> tuple[list[dict
             raise ValueError(f"template {r['license']} is shorter than a shingle")
         size = window_size(n)
         listed.append({"license": r["license"], "size": size, "shingles": sorted(set(r["h"])), "length": n})
-        for offset in sorted({0, *range(0, n - size + 1, max(1, size // 2)), n - size}):
+        for offset in sorted({*range(0, n - size + 1, step_of(size)), n - size}):
             for b in range(band_count(size)):
                 key = r["h"][offset] if size == 1 else min(r[f"g{b}"][offset : offset + size])
                 keys.setdefault((size, b), []).append((key, offset, r["license"]))
@@ -90,19 +95,17 @@ def catalogue(spark: SparkSession, templates: dict[str, str]) -> tuple[list[dict
 
 def block_minima(g: Column, n: Column, step: int) -> Column:
     """Minimum of g over every step shingles in a row, blocks side by side."""
-    return g if step == 1 else F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / step).cast("int"))), lambda k: F.array_min(F.slice(g, k * step + 1, F.lit(step))))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / step).cast("int"))), lambda k: F.array_min(F.slice(g, k * step + 1, F.lit(step))))
 
 
-def window_minima(blocks: Column, per: int) -> Column:
-    """Minimum over every per blocks in a row, windows one block apart.  blocks must be a column: a lambda computes what it names again for each element."""
-    if per == 1:
-        return blocks
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(blocks) - per + 1)), lambda k: F.array_min(F.slice(blocks, k, F.lit(per))))
+def window_minima(blocks: Column) -> Column:
+    """Minimum over every two blocks in a row.  blocks must be a column: a lambda computes what it names again for each element."""
+    return F.transform(blocks, lambda x, k: F.least(x, F.get(blocks, k + 1)))
 
 
 def _hits(minima: Column, size: int, band: int, wanted: list[int]) -> Column:
     """(size, band, key, at) of the windows whose key is one of the catalogue's; most texts have none and end here."""
-    step = max(1, size // 4)
+    step = step_of(size)
     numbered = F.transform(minima, lambda x, i: F.when(x.isin(wanted), F.struct(F.lit(size).alias("size"), F.lit(band).alias("band"), x.alias("key"), (i * step).alias("at"))))
     return F.array_compact(numbered)
 
@@ -120,12 +123,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     rows = rows.select("doc_id", "row", shingle_hashes(F.col("words")).alias("h"))
     bands = sorted({b for size, b in keys if size > 1})
     rows = rows.select("doc_id", "row", "h", F.size("h").alias("n"), *[hashed(F.col("h"), b).alias(f"g{b}") for b in bands])
-    steps = sorted({(max(1, size // 4), b) for size, b in keys if size > 1})
-    rows = rows.select("doc_id", "row", "h", "n", *[block_minima(F.col(f"g{b}"), F.col("n"), step).alias(f"m{step}_{b}") for step, b in steps])
+    rows = rows.select("doc_id", "row", "h", "n", *[block_minima(F.col(f"g{b}"), F.col("n"), step_of(WINDOW)).alias(f"m{b}") for b in bands])
     places = []
     for (size, b), listed_keys in sorted(keys.items()):
-        step = max(1, size // 4)
-        minima = F.col("h") if size == 1 else window_minima(F.col(f"m{step}_{b}"), size // step)
+        minima = F.col("h") if size == 1 else window_minima(F.col(f"m{b}"))
         places.append(_hits(minima, size, b, sorted({k for k, _, _ in listed_keys})))
     # explode_outer, then a filter: one on the array itself would be moved down and compute everything twice
     rows = rows.withColumn("hits", F.concat(*places))
