@@ -93,9 +93,9 @@ def catalogue(spark: SparkSession, templates: dict[str, str]) -> tuple[list[dict
     return listed, keys
 
 
-def block_minima(g: Column, n: Column, step: int) -> Column:
-    """Minimum of g over every step shingles in a row, blocks side by side."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / step).cast("int"))), lambda k: F.array_min(F.slice(g, k * step + 1, F.lit(step))))
+def block_minima(g: Column, step: int) -> Column:
+    """Minimum of g over every step shingles in a row, blocks side by side.  g is named twice, so the optimiser keeps it a column of its own."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(g) - 1) / step).cast("int"))), lambda k: F.array_min(F.slice(g, k * step + 1, F.lit(step))))
 
 
 def window_minima(blocks: Column) -> Column:
@@ -123,7 +123,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     rows = rows.select("doc_id", "row", shingle_hashes(F.col("words")).alias("h"))
     bands = sorted({b for size, b in keys if size > 1})
     rows = rows.select("doc_id", "row", "h", F.size("h").alias("n"), *[hashed(F.col("h"), b).alias(f"g{b}") for b in bands])
-    rows = rows.select("doc_id", "row", "h", "n", *[block_minima(F.col(f"g{b}"), F.col("n"), step_of(WINDOW)).alias(f"m{b}") for b in bands])
+    rows = rows.select("doc_id", "row", "h", "n", *[block_minima(F.col(f"g{b}"), step_of(WINDOW)).alias(f"m{b}") for b in bands])
     places = []
     for (size, b), listed_keys in sorted(keys.items()):
         minima = F.col("h") if size == 1 else window_minima(F.col(f"m{b}"))
