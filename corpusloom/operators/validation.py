@@ -76,10 +76,11 @@ def repaired_tables(docs: DataFrame, text: str) -> DataFrame:
 
 def clean(docs: DataFrame, text: str = "md") -> DataFrame:
     """docs with out: all cleaning steps in their order."""
-    for name, step in (("_1", C.pdf_artifacts), ("_2", C.latex), ("_3", C.mojibake), ("_4", C.dehyphenated), ("_5", C.reflowed)):
-        docs = docs.withColumn(name, step(F.col(text if name == "_1" else f"_{int(name[1:]) - 1}")))
+    docs = docs.withColumn("_00", C.ligatures(F.col(text))).withColumn("_0", C.accents(F.col("_00")))
+    for name, step in (("_1", C.composed), ("_2", C.latex), ("_3", C.mojibake), ("_4", C.dehyphenated), ("_5", C.reflowed)):
+        docs = docs.withColumn(name, step(F.col(f"_{int(name[1:]) - 1}")))
     docs = without_running_headers(docs, "_5").withColumnRenamed("out", "_6")
-    return repaired_tables(docs, "_6").withColumnRenamed("repaired", "out").drop(*[f"_{i}" for i in range(1, 7)])
+    return repaired_tables(docs, "_6").withColumnRenamed("repaired", "out").drop("_00", *[f"_{i}" for i in range(7)])
 
 
 # -- rules
