@@ -150,7 +150,8 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = laid_out(known, n_rows)
     last = F.greatest(F.col("start"), F.col("start") + F.col("size") - 1)
     rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor(last / block).cast("long"))))
-    met = rows.join(times, ["rank", "block"], "left")
+    # the planner sees the drawn blocks come from a few rows and would broadcast them; they grow with the corpus
+    met = rows.join(times.hint("merge"), ["rank", "block"], "left")
     return met.select("doc_id", "_t1", "_t2", "source", "rank", "copy", "start", "size", "source_size", "target", F.greatest(F.lit(0), F.col("block") * block - F.col("start")).alias("from"), F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")).alias("to"), F.coalesce("times", F.lit(0)).alias("times"))
 
 
