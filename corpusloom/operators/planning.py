@@ -38,6 +38,30 @@ def weight(vision_pages: Column, figures: Column, local: Column) -> Column:
     return vision_pages * F.when(local, LOCAL_PAGE).otherwise(REMOTE_PAGE) + figures * F.when(local, LOCAL_FIGURE).otherwise(4.0)
 
 
+#: Sampled rows for each range of the full ordering.
+RANGE_SAMPLE = 20
+
+
+def order_by_cost(files: DataFrame) -> DataFrame:
+    """Every file's place (from 1): files (path, weight) heaviest first, ties in discovery order, which goes by path; no weight counts as 0.
+
+    A hashed sample gives bounds of ranges with about as many files each; a place is the rank inside its range plus
+    the files of the ranges before, so no task sees all files.  Bounds are fixed before ranges are counted.
+    """
+    key = F.struct((-F.coalesce("weight", F.lit(0.0))).alias("w"), F.col("path").alias("p"))
+    ranges = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, files.count() // (ranges * RANGE_SAMPLE))
+    sample = sorted((r.k.w, r.k.p) for r in files.filter(F.pmod(F.xxhash64("path"), F.lit(every)) == 0).select(key.alias("k")).collect())
+    bounds = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+    # the range is the number of bounds not above the file
+    marks = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in bounds])
+    held = files.withColumn("_k", key)
+    held = held.withColumn("_range", F.size(F.filter(marks, lambda b: b <= F.col("_k"))) if bounds else F.lit(0))
+    before = held.groupBy("_range").count().withColumn("_before", F.sum("count").over(Window.orderBy("_range")) - F.col("count")).drop("count")  # a row for each range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_k"))
+    return held.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("place", (F.col("_before") + F.col("_inside")).cast("long")).drop("_k", "_range", "_before", "_inside")
+
+
 def timeout_budget(planned: Column, floor: Column) -> Column:
     """No floor, no budget."""
     return F.when(floor > 0, F.greatest(floor, planned * SAFETY))

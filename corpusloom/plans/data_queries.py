@@ -61,6 +61,13 @@ def lpt_order(spark, sf_dir):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weight"), "doc_id")).cast("long"))
 
 
+@query("lpt_places", f"WITH {FILES} SELECT doc_id, weight, row_number() OVER (ORDER BY weight DESC, path) AS place FROM (SELECT doc_id, path, scanned * CAST(8 AS DOUBLE) + figures * CAST(4 AS DOUBLE) AS weight FROM files)")
+def lpt_places(spark, sf_dir):
+    """The place of every file of the batch; lpt_order is the report of its costliest hundred."""
+    files = _files(spark, sf_dir).select("doc_id", "path", planning.weight(F.col("scanned"), F.col("figures"), F.lit(False)).alias("weight"))
+    return planning.order_by_cost(files).select("doc_id", "weight", "place")
+
+
 @query("timeout_budget", f"WITH {FILES} SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN greatest(CAST(300 AS DOUBLE), (scanned * CAST(8 AS DOUBLE) + figures * CAST(4 AS DOUBLE)) * 3) END AS budget FROM files")
 def timeout_budget(spark, sf_dir):
     files = _files(spark, sf_dir)
