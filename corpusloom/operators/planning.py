@@ -38,6 +38,8 @@ def weight(vision_pages: Column, figures: Column, local: Column) -> Column:
     return vision_pages * F.when(local, LOCAL_PAGE).otherwise(REMOTE_PAGE) + figures * F.when(local, LOCAL_FIGURE).otherwise(4.0)
 
 
+#: Fixed value: regions of a page that are kept.
+FIGURES_PER_PAGE = 6
 #: Sampled rows for each range of the full ordering.
 RANGE_SAMPLE = 20
 

@@ -383,6 +383,13 @@ def regions_topk(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(order).cast("long").alias("place")).filter("place <= 3")
 
 
+@query("regions_per_page", "SELECT l_orderkey, l_linenumber, place FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(l_extendedprice, 1), round_even(l_quantity, 1), l_linenumber) AS place FROM lineitem) WHERE place <= 6")
+def regions_per_page(spark, sf_dir):
+    """The first six regions of a page in reading order; regions_topk is the first three."""
+    order = Window.partitionBy("l_orderkey").orderBy(F.bround("l_extendedprice", 1), F.bround("l_quantity", 1), "l_linenumber")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(order).cast("long").alias("place")).filter(F.col("place") <= planning.FIGURES_PER_PAGE)
+
+
 @query("light_proofreading")
 def light_proofreading(spark, sf_dir):
     """Whether a turn is a light edit of the turn before: as many lines, and a matching-blocks ratio of 0.97 or more."""

@@ -16,3 +16,8 @@ def test_every_file_has_its_place(spark):
 def test_lpt_places_drops_nothing(spark, sf):
     got = REGISTRY["lpt_places"].run(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count() > 100
+
+
+def test_regions_up_to_the_cap(spark, sf):
+    places = {r.place for r in REGISTRY["regions_per_page"].run(spark, sf).select("place").distinct().collect()}
+    assert places == {1, 2, 3, 4, 5, 6}
