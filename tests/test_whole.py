@@ -1,7 +1,7 @@
 """Jobs done whole: no place, side or row is left out."""
 
 from corpusloom.operators import planning
-from corpusloom.plans import REGISTRY
+from corpusloom.plans import REGISTRY, text_queries
 
 
 def test_every_file_has_its_place(spark):
@@ -21,3 +21,16 @@ def test_lpt_places_drops_nothing(spark, sf):
 def test_regions_up_to_the_cap(spark, sf):
     places = {r.place for r in REGISTRY["regions_per_page"].run(spark, sf).select("place").distinct().collect()}
     assert places == {1, 2, 3, 4, 5, 6}
+
+
+def test_empty_output_sees_every_document(spark, sf, monkeypatch):
+    docs = spark.createDataFrame([(i, "tiny") for i in range(1, 10)], "doc_id long, md string")
+    monkeypatch.setattr(text_queries, "_md", lambda *_: docs)
+    assert sorted(r.doc_id for r in REGISTRY["validate_empty_output"].run(spark, sf).collect()) == list(range(1, 10))
+
+
+def test_history_merge_takes_every_event(spark, tmp_path):
+    rows = [(1, 10, 5.0), (2, 20, 1.0), (3, 20, 9.0), (5, 30, 7.0), (9, 30, 2.0), (None, 40, 3.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.user_id, r.value, r.is_live) for r in REGISTRY["history_merge"].run(spark, str(tmp_path)).collect()}
+    assert got == {(10, 5.0, False), (20, 1.0, True), (30, 7.0, False), (40, 3.0, False)}
