@@ -32,8 +32,8 @@ def pages(docs: DataFrame) -> DataFrame:
 def without_running_headers(docs: DataFrame, text: str = "md") -> DataFrame:
     """docs with out.  Steps are columns of their own, so lambdas read them instead of computing them again."""
     docs = docs.withColumn("_parts", C.pages_of(F.col(text)))
-    per_page = lambda p: F.array_distinct(F.filter(F.transform(F.slice(F.split(p, "\n", -1), 2, 1_000_000), C.stripped), lambda l: (F.length(l) > 0) & (F.length(l) <= 80) & ~l.startswith("#")))
-    docs = docs.withColumn("_lines", F.array_sort(F.flatten(F.transform(F.slice("_parts", 2, 1_000_000), per_page))))
+    per_page = lambda p: F.array_distinct(F.filter(F.transform(F.slice(F.split(p, "\n", -1), 2, F.length(p) + 1), C.stripped), lambda l: (F.length(l) > 0) & (F.length(l) <= 80) & ~l.startswith("#")))
+    docs = docs.withColumn("_lines", F.array_sort(F.flatten(F.transform(F.slice("_parts", 2, F.size("_parts")), per_page))))
     docs = docs.withColumn("_repeated", F.array_distinct(F.array_compact(F.transform("_lines", lambda l, i: F.when(F.get("_lines", i + 2) == l, l)))))
     return docs.withColumn("out", C.without_running_headers(F.col("_parts"), F.col("_repeated"), F.col(text))).drop("_parts", "_lines", "_repeated")
 

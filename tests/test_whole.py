@@ -1,6 +1,6 @@
 """Jobs done whole: no place, side or row is left out."""
 
-from corpusloom.operators import planning
+from corpusloom.operators import planning, validation
 from corpusloom.plans import REGISTRY, text_queries
 
 
@@ -34,3 +34,9 @@ def test_history_merge_takes_every_event(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {(r.user_id, r.value, r.is_live) for r in REGISTRY["history_merge"].run(spark, str(tmp_path)).collect()}
     assert got == {(10, 5.0, False), (20, 1.0, True), (30, 7.0, False), (40, 3.0, False)}
+
+
+def test_no_length_cuts_a_page(spark):
+    md = "".join(f"## Page {i}\nHeader\nbody {i}\n" for i in (1, 2, 3)) + "x\n" * 1_000_001 + "Header\nend"
+    docs = spark.createDataFrame([(1, md)], "doc_id long, md string")
+    assert validation.without_running_headers(docs).first().out == md.replace("Header\n", "")
