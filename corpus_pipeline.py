@@ -30,8 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the bytes of long strings that repeat; characters cut in two go."""
-    done = suffix_dedup.remove_repeats(docs, columns=("doc_id", "text", "lang", "source"))
-    whole = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(suffix_dedup.readable(F.col("kept")))
+    done = suffix_dedup.remove_repeats(docs, columns=("doc_id", "text", "lang", "source"), characters=True)
+    whole = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
     return done.select("doc_id", whole.alias("text"), "lang", "source").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import discard, release, small_batches, stash, table, text_keys, trimmed
@@ -332,8 +332,30 @@ def kept_bytes(data: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """columns of every row of docs, with kept (the remaining bytes), n_bytes, n_removed, n_spans and removed (list of (begin, end))."""
+def _partial_end(piece: bytes) -> int:
+    """Bytes at the end of a piece that begin a character without ending it."""
+    for back in range(1, min(3, len(piece)) + 1):
+        b = piece[-back]
+        if b & 0xC0 != 0x80:
+            return back if back < (4 if b >= 0xF0 else 3 if b >= 0xE0 else 2 if b >= 0xC0 else 1) else 0
+    return 0
+
+
+def kept_characters(data: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
+    """kept_bytes without the parts of characters that a cut has left; everything away from the cuts stays."""
+    out, at = [], 0
+    for b, e in zip([*begin.tolist(), len(data)], [*end.tolist(), None], strict=True):
+        start = at
+        while at and start < min(b, at + 3) and data[start] & 0xC0 == 0x80:
+            start += 1
+        piece = data[start:b]
+        out.append(piece[: len(piece) - (_partial_end(piece) if e is not None else 0)])
+        at = e
+    return b"".join(out)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ...] = ("doc_id",), characters: bool = False) -> DataFrame:
+    """columns of every row of docs, with kept (the remaining bytes; with characters, only whole ones at the cuts), n_bytes, n_removed, n_spans and removed (list of (begin, end))."""
     found = repeated_spans(docs, length)
     rows = docs.select(*columns, *text_keys(), F.coalesce("text", F.lit("")).cast("binary").alias("_data"))
     met = rows.join(found, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left").select(*columns, "_data", "found")
@@ -349,7 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ..
                 for row, data in enumerate(texts):
                     if has[row]:
                         begin, end = covered(*_structs(batch, "found", row), length)
-                        kept.append(kept_bytes(data, begin, end))
+                        kept.append((kept_characters if characters else kept_bytes)(data, begin, end))
                         spans.append([{"begin": b, "end": e} for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
                         removed.append(int((end - begin).sum()))
                     else:
@@ -363,11 +385,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ..
     return met.mapInArrow(trimmed(run), f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<begin: long, end: long>>")
 
 
-def readable(data: Column) -> Column:
-    """Bytes as a text; the parts of characters that were cut in two go (a marker stands for each first)."""
-    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))
-
-
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
