@@ -7,10 +7,9 @@ strings of that length (windows) are dealt out by what they hold:
    anchors, so an anchor that occurs once in the corpus settles all its windows.
 2. Around anchors that repeat, windows are split by their distance to the anchor, and the bytes that
    all windows of a part share are the part's key.  A key that occurs once is settled as well.
-   If everything with a key has equal bytes, all its windows repeat: copies are counted, not compared.
-3. What is left, different segments with one key, goes through the suffix array, its transform
-   and the interval expansion of suffix_array.py.  A key with very many different segments is dealt
-   out again with parts of one window, which leaves nothing to compare.
+3. What is left goes through the suffix array, its transform and the interval expansion of suffix_array.py:
+   one segment of each kind, weighted by its copies, so exact copies take the same way.  Only a key with very
+   many different segments is dealt out again with parts of one window, which leaves nothing to compare.
 
 Texts are known by a 128-bit key of their bytes, so copies share their results.  Tables between the
 phases are written to the shared checkpoint folder.
@@ -295,12 +294,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keys = stash(segments.groupBy("q").agg(F.sum("m").alias("total"), F.count("*").alias("kinds")).filter("total > 1").drop("total"))
     open_ = stash(segments.join(keys, "q").select("q", "sg", "m", "at.*", "kinds"))
     discard(segments, keys)
-    copies = open_.filter("kinds = 1").select("q", "sg", F.lit(0).alias("at"), F.col("windows").alias("n"))
     fields = ["q", "sg", "m", "first", "windows"]
-    mixed = _with_text(texts, _by_text(open_.filter(f"kinds > 1 and kinds <= {MOST_SEGMENTS}"), fields, unique=False))
+    mixed = _with_text(texts, _by_text(open_.filter(f"kinds <= {MOST_SEGMENTS}"), fields, unique=False))
     mixed = mixed.mapInArrow(trimmed(_fetch(length)), "q long, sg long, m long, data binary")
-    mixed = mixed.repartition("q").sortWithinPartitions("q", "sg").mapInArrow(trimmed(_expand(length)), "q long, sg long, at int, n int")
-    repeats = copies.unionByName(mixed)
+    repeats = mixed.repartition("q").sortWithinPartitions("q", "sg").mapInArrow(trimmed(_expand(length)), "q long, sg long, at int, n int")
     if open_.filter(f"kinds > {MOST_SEGMENTS}").limit(1).count():
         alone = _with_text(texts, _by_text(open_.filter(f"kinds > {MOST_SEGMENTS}"), fields, unique=False))
         alone = stash(alone.mapInArrow(_single_windows(length), "w long, q long, sg long, at int, m long"))

@@ -24,3 +24,19 @@ def test_pipeline_keeps_markers_of_the_text(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, docs, sf).collect()}
     assert got == {1: "a\ufffdb\ufffd", 2: "cd", 3: "\ufffd"}
+
+
+def test_exact_copies_go_through_the_expansion(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE)], "doc_id long, text string")
+    assert suffix_dedup.repeated_spans(docs).count() == 1
+
+    def nothing(length):
+        def run(batches):
+            for _ in batches:
+                pass
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_expand", nothing)
+    assert suffix_dedup.repeated_spans(docs).count() == 0
