@@ -1,10 +1,11 @@
 """License scans, with DataFrame functions only.
 
 Words are lower-cased runs of letters and digits; shingles are five words.  Templates of 16 shingles or
-more are looked for by windows of 16 shingles that overlap by half, each summed up by the minima of four
-hash functions: four bands of one row.  Where a text holds a template, a window lies within a quarter of
-the size of one of the template's own windows, so their Jaccard similarity is 12/20 or more and some band
-agrees with probability 1 - 0.4**4 > 0.97 for each of the template's windows.  Shorter templates take windows of
+more are looked for by windows of 16 shingles, half a window apart in templates and a quarter in texts, each
+summed up by the minima of four hash functions: four bands of one row.  Where a text holds a template, a window
+lies within an eighth of the size of one of the template's own windows, so their Jaccard similarity is 14/18 or
+more and some band agrees with probability 1 - (2/9)**4 > 0.997 for each of the template's windows; windows
+farther off collide less often, and verification reaches half a window to both sides.  Shorter templates take windows of
 one shingle, whose minimum is the shingle itself: one band, and every common shingle collides.
 
 Retrieved places are verified exactly: the share of the template's shingles found in a stretch of the
@@ -61,10 +62,15 @@ def window_size(shingles: int) -> int:
 
 
 def step_of(size: int) -> int:
-    """Shingles between windows."""
+    """Shingles between windows of a template."""
     return max(1, size // 2)
 
 
+def text_step_of(size: int) -> int:
+    """Shingles between windows of a text."""
+    return max(1, size // 4)
+
+
 def band_count(size: int) -> int:
     return 1 if size == 1 else BANDS
 
@@ -99,13 +105,13 @@ def block_minima(g: Column, step: int) -> Column:
 
 
 def window_minima(blocks: Column) -> Column:
-    """Minimum over every two blocks in a row.  blocks must be a column: a lambda computes what it names again for each element."""
-    return F.transform(blocks, lambda x, k: F.least(x, F.get(blocks, k + 1)))
+    """Minimum over every four blocks in a row.  blocks must be a column: a lambda computes what it names again for each element."""
+    return F.transform(blocks, lambda x, k: F.least(x, *[F.get(blocks, k + i) for i in (1, 2, 3)]))
 
 
 def _hits(minima: Column, size: int, band: int, wanted: list[int]) -> Column:
     """(size, band, key, at) of the windows whose key is one of the catalogue's; most texts have none and end here."""
-    step = step_of(size)
+    step = text_step_of(size)
     numbered = F.transform(minima, lambda x, i: F.when(x.isin(wanted), F.struct(F.lit(size).alias("size"), F.lit(band).alias("band"), x.alias("key"), (i * step).alias("at"))))
     return F.array_compact(numbered)
 
@@ -123,7 +129,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     rows = rows.select("doc_id", "row", shingle_hashes(F.col("words")).alias("h"))
     bands = sorted({b for size, b in keys if size > 1})
     rows = rows.select("doc_id", "row", "h", F.size("h").alias("n"), *[hashed(F.col("h"), b).alias(f"g{b}") for b in bands])
-    rows = rows.select("doc_id", "row", "h", "n", *[block_minima(F.col(f"g{b}"), step_of(WINDOW)).alias(f"m{b}") for b in bands])
+    rows = rows.select("doc_id", "row", "h", "n", *[block_minima(F.col(f"g{b}"), text_step_of(WINDOW)).alias(f"m{b}") for b in bands])
     places = []
     for (size, b), listed_keys in sorted(keys.items()):
         minima = F.col("h") if size == 1 else window_minima(F.col(f"m{b}"))
@@ -136,7 +142,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     met = rows.select("doc_id", "row", "h", "n", "hit.*").join(known, ["size", "band", "key"]).select("doc_id", "row", "h", "n", "size", "license", (F.col("at") - F.col("offset")).alias("begin"))
     shapes = F.broadcast(literal_table(spark, [{"license": F.lit(t["license"]), "shingles": F.array(*[F.lit(x).cast("long") for x in t["shingles"]]), "length": F.lit(t["length"])} for t in listed]))
     met = met.join(shapes, "license")
-    near = F.sequence(F.greatest(F.lit(0), F.col("begin") - F.col("size") / 4).cast("int"), F.greatest(F.lit(0), F.least(F.col("n") - 1, F.col("begin") + F.col("size") / 4)).cast("int"))
+    near = F.sequence(F.greatest(F.lit(0), F.col("begin") - F.col("size") / 2).cast("int"), F.greatest(F.lit(0), F.least(F.col("n") - 1, F.col("begin") + F.col("size") / 2)).cast("int"))
     share = lambda p: F.size(F.array_intersect(F.col("shingles"), F.slice(F.col("h"), p + 1, F.col("length")))) / F.size("shingles")
     best = F.array_max(F.transform(near, lambda p: F.struct(share(p).alias("containment"), (-p).alias("back"))))
     met = met.withColumn("best", best).filter(F.col("best.containment") >= containment)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from corpusloom.llm import suffix_dedup
+from corpusloom.llm import licenses, suffix_dedup
 
 PASSAGE = " ".join(random.Random(5).choice(["stone", "river", "\u00fcber", "cloud", "tr\u00e4ge"]) + str(i) for i in range(60))
 
@@ -40,3 +40,9 @@ def test_exact_copies_go_through_the_expansion(spark, monkeypatch):
 
     monkeypatch.setattr(suffix_dedup, "_expand", nothing)
     assert suffix_dedup.repeated_spans(docs).count() == 0
+
+
+def test_license_near_copy_between_windows(spark):
+    text = "w4849 w3755 Redistribution and changed in source and binary forms, with or without modification, are permitted provided that the following conditions are met: w2135 w2667 w3354 w1168 w4963 w2305 w315 w3682 w2549 w447 w142 w835"
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.license, round(r.containment, 6)) for r in got] == [("bsd-redistribution", round(14 / 17, 6))]
