@@ -9,7 +9,8 @@ once, and words all of whose lanes exceed the radius are abandoned.
 Nulls: a null text has no words (fingerprint zero, linked like any other).  Null ids take part;
 a component's id is the smallest id that is not null (null if there is none).  Repeated rows and
 equal fingerprints are one class before anything is compared.  An empty table gives no rows.
-Columns other than doc_id and text are not looked at.
+Columns other than doc_id and text are not looked at.  Texts of any length are read whole; ties in doc_id
+(several rows of the smallest id) leave keep_one() one row of them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from corpusloom.llm.components import connected_components
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Members of a bucket that one comparison block may hold; larger buckets are cut into a grid of blocks.
 BLOCK = 8192
 
@@ -97,19 +99,25 @@ def bit_planes(words: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def within(planes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+def within(planes: np.ndarray, radius: int = RADIUS, against=None) -> np.ndarray:
     """Lanes (packed like a plane) in which at most radius of the planes' bits are set.
 
+    against: a fingerprint that every lane is compared with (its one bits turn their planes over), or a function
+    (plane's number, lane words) -> words that the planes are compared with; the planes themselves stay as they are.
     Carry-save counters of three bits and a sticky overflow; every eighth plane, lane words
     in which every lane exceeds the radius are abandoned.
     """
     if radius > 6:
         raise ValueError("the three-bit counter holds a radius of up to 6")
     width = planes.shape[1]
-    alive = np.arange(width)
+    alive: np.ndarray | None = None
     ones, twos, fours, over = (np.zeros(width, np.uint64) for _ in range(4))
     for j in range(64):
-        x = planes[j] if len(alive) == width else planes[j, alive]
+        x = planes[j] if alive is None else planes[j, alive]
+        if callable(against):
+            x = x ^ against(j, alive)
+        elif against is not None and int(against) >> j & 1:
+            x = ~x
         c1 = ones & x
         ones = ones ^ x
         c2 = twos & c1
@@ -117,15 +125,14 @@ def within(planes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         over |= fours & c2
         fours = fours ^ c2
         if j % 8 == 7:
-            more = _exceeds(ones, twos, fours, over, radius)
-            live = more != np.uint64(0xFFFFFFFFFFFFFFFF)
+            live = _exceeds(ones, twos, fours, over, radius) != _ALL
             if not live.all():
-                alive, ones, twos, fours, over = (y[live] for y in (alive, ones, twos, fours, over))
+                alive = np.flatnonzero(live) if alive is None else alive[live]
+                ones, twos, fours, over = (y[live] for y in (ones, twos, fours, over))
                 if not len(alive):
                     break
     out = np.zeros(width, np.uint64)
-    if len(alive):
-        out[alive] = ~_exceeds(ones, twos, fours, over, radius)
+    out[slice(None) if alive is None else alive] = ~_exceeds(ones, twos, fours, over, radius)
     return out
 
 
@@ -149,34 +156,59 @@ def _lanes(packed: np.ndarray, n: int) -> np.ndarray:
 def star_links(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that span the components of one bucket: each member joins the one it was reached from.
 
-    Every member is compared with those not reached yet, so a tight group of m costs about m comparisons.
+    Every member is compared with those not reached yet, so a tight group of m costs about m comparisons.  The bucket's
+    planes are stored once; reached lanes are masked out, and the planes are packed anew when half of them are.
     """
     left, links, queue = members, [], []
-    while len(queue) or len(left):
+    planes = bit_planes(left)
+    live = np.ones(len(left), bool)
+    waiting, at_lane = len(left), 0
+    while waiting or queue:
         if not queue:
-            queue, left = [left[0]], left[1:]
-        if not len(left):
+            at_lane += int(np.argmax(live[at_lane:]))
+            queue.append(left[at_lane])
+            live[at_lane] = False
+            waiting -= 1
+        if not waiting:
             break
         at = queue.pop()
-        near = _lanes(within(bit_planes(left ^ at), radius), len(left))
-        if near.any():
-            found = left[near]
-            links += [(int(x), int(at)) for x in found]
-            queue += list(found)
-            left = left[~near]
+        near = np.flatnonzero(_lanes(within(planes, radius, at), len(left)) & live)
+        if len(near):
+            links += [(int(x), int(at)) for x in left[near]]
+            queue += list(left[near])
+            live[near] = False
+            waiting -= len(near)
+            if 2 * waiting < len(left) and len(left) > 64:
+                left = left[live]
+                planes, live, at_lane = bit_planes(left), np.ones(len(left), bool), 0
     return links
 
 
 def pair_links(groups: list[np.ndarray], radius: int = RADIUS) -> np.ndarray:
-    """All links inside many small buckets: their pairs are compared together, 64 to a word."""
-    first, second = [], []
-    for g in groups:
-        i, j = np.triu_indices(len(g), 1)
-        first.append(g[i])
-        second.append(g[j])
-    a, b = np.concatenate(first), np.concatenate(second)
-    near = _lanes(within(bit_planes(a ^ b), radius), len(a))
-    return np.stack([a[near], b[near]], axis=1)
+    """All links inside many small buckets (up to 64 members), whose members stand side by side in the planes' lanes.
+
+    Lane i meets lane i + s: the planes are compared with themselves moved on by s lanes, for every s that fits into a
+    bucket.  Larger buckets come first, so the lanes that a distance s concerns are the first ones.
+    """
+    groups = sorted(groups, key=len, reverse=True)
+    sizes = np.array([len(g) for g in groups])
+    words = np.concatenate(groups)
+    after = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # members from here to the bucket's end
+    planes = np.concatenate([bit_planes(words), np.zeros((64, 1), np.uint64)], axis=1)
+    lanes = np.cumsum(sizes)
+    found = []
+    for s in range(1, int(sizes[0])):
+        n = int(lanes[np.searchsorted(-sizes, -s) - 1])  # lanes of buckets with more than s members
+        width = -(-n // 64)
+        up, down = np.uint64(s), np.uint64(64 - s)
+
+        def moved(j: int, alive: np.ndarray | None, width: int = width, up: np.uint64 = up, down: np.uint64 = down) -> np.ndarray:
+            here, following = (planes[j, :width], planes[j, 1 : width + 1]) if alive is None else (planes[j, alive], planes[j, alive + 1])
+            return here >> up | following << down
+
+        near = np.flatnonzero(_lanes(within(planes[:, :width], radius, moved), n) & (after[:n] > s))
+        found.append(np.stack([words[near], words[near + s]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +225,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif len(members) > 1:
                 small.append(members)
                 pairs += len(members) ** 2
-            if pairs > 1 << 20 or small and e == len(b):
+            if small and (pairs > 1 << 20 or e == len(b)):
                 out += pair_links(small).tolist()
                 small, pairs = [], 0
         got = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
@@ -234,7 +266,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     nodes = connected_components(fingerprint_links(classes, classes.count(), radius))
     rooted = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # written down, so that the join has a shuffle of its own on both sides and a component with many members splits
+    ids = checkpoint(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     rooted = checkpoint(rooted.join(ids, "root").select("fp", "root", "component_id"))
     return prints.join(rooted, "fp")
 
