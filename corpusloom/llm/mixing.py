@@ -1,17 +1,22 @@
 """Mixing sources to target weights.
 
 Each source's words stand in one long row (documents in a hashed order), cut into blocks of a
-fixed number of words.  The mix is a number of output shards; for every shard a multinomial draw
-gives how many of its slots each source fills, with the source's total fixed by its target.  Slot
-i of a source is mapped through a pseudorandom permutation of that source's block indices (a
+fixed number of words: 64, and fewer for a source of under 64 * 64 words, so that every target can be
+met to about a hundredth.  The mix is a number of output shards of a fixed number of slots.  Each
+shard draws a multinomial count of slots for every source, with the sources' open slots as weights, so
+that the last shard ends on the targets.  Shards are drawn in stretches: a first draw deals the slots of
+whole stretches, and the shards of each stretch are then drawn in a task of their own.  Slot i of
+a source is mapped through a pseudorandom permutation of that source's block indices (a
 Feistel network over index bits, a new key per pass), and slots meet blocks by a join on the
 index.  A pass uses each block once; targets stop at three times the source, so no block, and no
 document, is used more than three times.
 
 Nulls: a null text has size 0.  A null source is a source of its own and comes last.  Repeated
 rows are laid out one after the other and may be taken differently; the rows as a whole agree
-between runs.  Null ids take part.  Documents of size 0 are returned with nothing taken.  An empty
-table gives no rows.  Other columns are not looked at (documents_of() carries the documents' own).
+between runs.  Null ids take part.  Documents of size 0 are returned with nothing taken; empty sources
+have target 0.  Texts of any length are counted and cut whole.  Ties (equal ids, equal texts) stay in the order
+of their hashes.  An empty table gives no rows.  Other columns are not looked at (documents_of() carries
+the documents' own).
 """
 
 from __future__ import annotations
@@ -26,13 +31,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORD_PATTERN, checkpoint, table, text_keys
 
-#: Words in a block, slots in an output shard, passes over a source at most, seed of every draw.
+#: Words in a block at most, blocks that a source should have, slots in an output shard, shards of a stretch, passes over a source at most, seed of every draw.
 BLOCK = 64
+LEAST_BLOCKS = 64
 SHARD = 8192
+STRETCH = 1024
 PASSES = 3
 SEED = 20
-#: Rows that one bucket of the running totals should hold.
-BUCKET_ROWS = 4000
+#: Rows that one bucket of the running totals should hold, copies of a row that are laid out together.
+BUCKET_ROWS = 1000
+COPIES = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -40,47 +48,66 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("long")
 
 
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """(source, rank, source_size) from rows (source, size): ranks from 0 by code point, null last.
+
+    The sources are sorted over as many tasks as there are partitions; a row's rank is its place in its partition and
+    the rows of the partitions before.
+    """
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    ordered = by_source.orderBy(F.col("source").isNull(), "source").withColumn("_id", F.monotonically_increasing_id())
+    ordered = checkpoint(ordered.select("source", "source_size", F.shiftright("_id", 33).alias("_p"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_i")))
+    counts = sorted((r[0], r[1]) for r in ordered.groupBy("_p").count().collect())  # a row for each partition
+    before, offsets = 0, []
+    for part, n in counts:
+        offsets += [F.lit(part), F.lit(before)]
+        before += n
+    rank = F.col("_i") + (F.element_at(F.create_map(*offsets), F.col("_p")) if offsets else F.lit(0))
+    return ordered.select("source", rank.cast("long").alias("rank"), "source_size")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = PASSES) -> DataFrame:
     """(source, rank, source_size, target) from rows (source, size).
 
     Weights go round by the sources' order (code points, null last).  A target stops at most times
-    its source's size and the excess is reshared by weight until none is above: the sources that
-    stop are a prefix in the order of size by weight, so two running sums find them.
+    its source's size and the excess is reshared by weight until none is above: each round stops the
+    sources whose share is too large and raises the level for the others, a sum over all sources.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    rows = by_source.withColumn("rank", F.row_number().over(order) - 1)
-    rows = rows.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("rank") % len(weights) + 1))
-    tight = Window.orderBy(F.col("source_size") / F.col("w"), "rank")
-    before, everything = tight.rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = ranked_sources(sizes)
+    rows = rows.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
     room = F.col("source_size") * most
-    rows = rows.withColumn("share", (F.sum("source_size").over(everything) - F.coalesce(F.sum(room).over(before), F.lit(0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    # the first source, in that order, whose share fits sets the level for all after it
-    fits = F.col("share") * F.col("w") <= room
-    rows = rows.withColumn("level", F.min(F.when(fits, F.struct(F.row_number().over(tight).alias("n"), F.col("share").alias("share")))).over(everything))
-    rows = rows.withColumn("n", F.row_number().over(tight))
-    target = F.when(F.col("level").isNull() | (F.col("n") < F.col("level.n")), room.cast("double")).otherwise(F.col("level.share") * F.col("w"))
-    return rows.select("source", "rank", "source_size", target.alias("target"))
+    total, level, stopped = rows.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        # a source that has stopped stays so: the level only rises
+        full = F.col("w") * level >= room
+        n, taken, w = rows.agg(F.count_if(full), F.sum(F.when(full, room)), F.sum(F.when(~full, F.col("w")))).first()
+        if n == stopped or not w:
+            break
+        stopped, level = n, (total - (taken or 0)) / w
+    return rows.select("source", "rank", "source_size", F.least(room.cast("double"), F.col("w") * level).alias("target"))
 
 
 def laid_out(rows: DataFrame, n_rows: int) -> DataFrame:
     """rows (doc_id, source, size, t1, t2, rank, ...) with copy, and start: the words before it in its source's row.
 
-    Equal rows are one group with a number of copies; running totals go by buckets, so neither a hot
+    Equal rows are one group with a number of copies, cut into bundles; running totals go by buckets, so neither a hot
     source nor a hot document meets in one task.
     """
     buckets = max(1, n_rows // BUCKET_ROWS)
     same = [c for c in rows.columns]
-    rows = rows.groupBy(*same).agg(F.count("*").alias("copies"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "_t1", "_t2"), F.lit(buckets)))
+    rows = rows.groupBy(*same).agg(F.count("*").alias("_all"))
+    rows = rows.withColumn("bundle", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_all") - 1) / COPIES))))
+    rows = rows.withColumn("copies", F.least(F.lit(COPIES), F.col("_all") - F.col("bundle") * COPIES)).drop("_all")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "_t1", "_t2", "bundle"), F.lit(buckets)))
     words = F.col("size") * F.col("copies")
     totals = rows.groupBy("rank", "bucket").agg(F.sum(words).alias("words"))
     earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("rank", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("rank", "bucket").orderBy("_t1", "_t2", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("rank", "bucket").orderBy("_t1", "_t2", "doc_id", "size", "bundle").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(totals, ["rank", "bucket"])
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return rows.withColumn("start", F.col("offset") + F.col("inside") + F.col("copy") * F.col("size")).drop("copies", "bucket", "offset", "inside")
+    rows = rows.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    start = F.col("offset") + F.col("inside") + F.col("_c") * F.col("size")
+    return rows.withColumns({"start": start, "copy": F.col("bundle") * COPIES + F.col("_c")}).drop("copies", "bucket", "bundle", "offset", "inside", "_c")
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -101,23 +128,53 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def draw(rng: np.random.Generator, open_: np.ndarray, slots: int) -> np.ndarray:
+    """How many of so many slots each source fills: a multinomial draw by the open slots; what is above them is drawn again."""
+    if slots >= open_.sum():
+        return open_.copy()
+    out = np.zeros(len(open_), np.int64)
+    while (short := slots - int(out.sum())) > 0:
+        left = open_ - out
+        out = np.minimum(out + rng.multinomial(short, left / left.sum()), open_)
+    return out
+
+
+def stretch_draws(plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """(stretch, ranks, n_blocks, firsts, counts): for every stretch of shards the first slot and the slots of each source.
+
+    plan: (rank, n_slots, n_blocks), a row a source, read by one task: as many numbers as there are sources and stretches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(x) for x in zip(*([c.to_numpy() for c in b.columns] for b in batches), strict=True)]
+        if not columns:
+            return
+        order = np.argsort(columns[0])
+        ranks, open_, blocks = (c[order].astype(np.int64) for c in columns)
+        first, stretch, rng = np.zeros(len(ranks), np.int64), 0, np.random.default_rng([seed, 0])
+        while open_.sum() > 0:
+            n = draw(rng, open_, STRETCH * SHARD)
+            yield pa.RecordBatch.from_arrays([pa.array([stretch], pa.int64()), *[pa.array([c.tolist()], pa.list_(pa.int64())) for c in (ranks, blocks, first, n)]], names=["stretch", "ranks", "n_blocks", "firsts", "counts"])
+            open_, first, stretch = open_ - n, first + n, stretch + 1
+
+    return plan.select("rank", "n_slots", "n_blocks").coalesce(1).mapInArrow(run, "stretch long, ranks array<long>, n_blocks array<long>, firsts array<long>, counts array<long>")
+
+
 def shard_draws(plan: DataFrame, seed: int = SEED) -> DataFrame:
-    """(rank, shard, first, n) from rows (rank, n_slots, shards, n_blocks): a multinomial count per shard, the source's total fixed."""
+    """(rank, n_blocks, shard, first, n): the slots that each source fills in each shard, a multinomial draw a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rank, slots, shards, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rng, left, first = np.random.default_rng([seed, rank]), slots, 0
-                for at in range(0, shards, 65536):  # a stretch of shards at a time keeps memory flat
-                    width = min(65536, shards - at)
-                    share = int(rng.binomial(left, width / (shards - at)))
-                    n = rng.multinomial(share, np.full(width, 1 / width)).astype(np.int64)
-                    firsts = first + np.cumsum(n) - n
-                    left, first = left - share, first + share
+            for stretch, ranks, blocks, first, open_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ranks, blocks, first, open_ = (np.array(x, np.int64) for x in (ranks, blocks, first, open_))
+                rng, shard = np.random.default_rng([seed, 1, stretch]), stretch * STRETCH
+                while open_.sum() > 0:
+                    n = draw(rng, open_, SHARD)
                     some = n > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), v, np.int64)) if isinstance(v, int) else pa.array(v[some]) for v in (rank, blocks, at + np.arange(width), firsts, n)], names=["rank", "n_blocks", "shard", "first", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ranks, blocks, np.full(len(n), shard, np.int64), first, n)], names=["rank", "n_blocks", "shard", "first", "n"])
+                    open_, first, shard = open_ - n, first + n, shard + 1
 
-    return plan.select("rank", "n_slots", "shards", "n_blocks").mapInArrow(run, "rank long, n_blocks long, shard long, first long, n long")
+    return stretch_draws(plan, seed).repartition("stretch").mapInArrow(run, "rank long, n_blocks long, shard long, first long, n long")
 
 
 def drawn_blocks(draws: DataFrame) -> DataFrame:
@@ -138,21 +195,21 @@ def drawn_blocks(draws: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per stretch of a document and block it lies in: the document's keys, from and to (its own words), times (the block's slots in the mix)."""
     sized = checkpoint(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *text_keys()))
-    goals = checkpoint(targets(sized))
-    total, n_rows = goals.agg(F.sum("source_size")).first()[0] or 0, sized.count()
-    shards = max(1, -(-total // (block * SHARD)))
-    n_blocks = F.ceil(F.col("source_size") / block).cast("long")
+    goals = checkpoint(targets(sized).withColumn("width", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long")))
+    n_rows = sized.count()
+    n_blocks = F.ceil(F.col("source_size") / F.col("width")).cast("long")
     # blocks to take: the target in blocks of the source's mean length, never more than the passes hold
     slots = F.least(F.round(F.col("target") * n_blocks / F.col("source_size")).cast("long"), n_blocks * PASSES)
-    plan = goals.filter("source_size > 0").select(F.col("rank").cast("long").alias("rank"), n_blocks.alias("n_blocks"), slots.alias("n_slots"), F.lit(shards).cast("long").alias("shards"))
+    plan = goals.filter("source_size > 0").select("rank", n_blocks.alias("n_blocks"), slots.alias("n_slots"))
     times = drawn_blocks(shard_draws(plan)).groupBy("rank", "block").agg(F.count("*").alias("times"))
-    known = sized.join(goals, sized.source.eqNullSafe(goals.source)).drop(goals.source).withColumn("rank", F.col("rank").cast("long"))
+    known = sized.join(goals, sized.source.eqNullSafe(goals.source)).drop(goals.source)
     rows = laid_out(known, n_rows)
     last = F.greatest(F.col("start"), F.col("start") + F.col("size") - 1)
-    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor(last / block).cast("long"))))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("width")).cast("long"), F.floor(last / F.col("width")).cast("long"))))
     # the planner sees the drawn blocks come from a few rows and would broadcast them; they grow with the corpus
     met = rows.join(times.hint("merge"), ["rank", "block"], "left")
-    return met.select("doc_id", "_t1", "_t2", "source", "rank", "copy", "start", "size", "source_size", "target", F.greatest(F.lit(0), F.col("block") * block - F.col("start")).alias("from"), F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")).alias("to"), F.coalesce("times", F.lit(0)).alias("times"))
+    begin = F.col("block") * F.col("width") - F.col("start")
+    return met.select("doc_id", "_t1", "_t2", "source", "rank", "copy", "start", "size", "source_size", "target", F.greatest(F.lit(0), begin).alias("from"), F.least(F.col("size"), begin + F.col("width")).alias("to"), F.coalesce("times", F.lit(0)).alias("times"))
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
