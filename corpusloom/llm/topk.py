@@ -1,19 +1,25 @@
 """Exact top-k search by inner product.
 
-Candidates are packed into blocks of rows in the order of descending length, rotated by the right
-singular vectors of the whole table (from its second-moment matrix, summed on the executors), so the
-leading coordinates carry most of every product.  A block adds up the product a few coordinates at a time; after
-each step the Cauchy-Schwarz bound on the rest (the lengths of both remainders) drops candidates that
-cannot reach a query's k-th best, and a query stops at the first candidate whose length times the
-query's is too small.  Survivors are scored exactly in integers.
-
-Query blocks meet candidate blocks by an equi-join on the query block's number, so no task holds more than
-one block of each; the best k of each block are merged by a partial top-k.  Blocks of the longest vectors
-come first, and every query block starts with bounds from the table's longest vectors.
-
-Vectors that are null or hold null or non-finite components take no part, nor do null ids.  Ties go to the
-smaller id.  Repeated ids are separate rows; a query never meets rows of its own id.  Vectors of different
-sizes: those of the most common size take part.  Zero vectors take part.  An empty table gives no rows.
+Vectors are rotated by the right singular vectors of the whole table (from its second-moment matrix, summed
+on the executors), so the leading coordinates carry most of every product.  A block of candidates is gone
+through by descending length: products are added up a few coordinates at a time, after each step the
+Cauchy-Schwarz bound on the rest (the lengths of both remainders) drops candidates that cannot reach a
+query's k-th best, and a query stops at the first candidate whose length times the query's is too small.
+Survivors are scored exactly in integers.
+
+Before blocks are copied, each query has a floor: the k-th best of a fixed number of the table's longest
+vectors and of a fixed number of others.  Floor by query length is how long a candidate must be to matter;
+queries are put into blocks by that length, and a block of candidates goes to those query blocks only that its
+longest vector can reach.  Pairs of blocks meet by an equi-join on both numbers, so no task holds more than one
+block of each and no number is hot; the best k of each pair are merged by a partial top-k.
+
+Every row is a query or a candidate of its own: repeated ids are separate rows, and a query leaves out
+its own row only.  Vectors that are null, empty, or hold null or non-finite components take no part.  Shorter
+vectors count as filled up with zeros.  Zero vectors take part, and so do null ids (as candidates: vec_id null;
+as queries where the condition says so).  Ties go to the smaller id, null last.  Components stop at the range of
+long integers.  Products below 2**53 are summed as doubles, which is exact; larger ones as whole numbers
+without limit, and a score stops at the range of long integers.  Further columns aren't looked at; an empty
+table, or one without queries, gives no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +35,16 @@ from corpusloom.llm.common import checkpoint, table
 
 K = 5
 SCALE = 256
-#: Rows of a candidate block and of a query block, coordinates added at a time.
-ROWS = 16384
-QUERIES = 2048
+#: Rows of a candidate block and of a query block, rows looked at together, coordinates added at a time.
+ROWS = 8192
+QUERIES = 4096
+STRIP = 1024
 STEP = 16
+#: Ranges that lengths are cut into, vectors besides the longest that set the first floors.
+RANGES = 64
+PROBES = 2048
+EXACT = 2.0**53
+_LAST = np.iinfo(np.int64).max
 
 
 def usable(embedding: str = "embedding") -> Column:
@@ -42,30 +54,43 @@ def usable(embedding: str = "embedding") -> Column:
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v: array of whole doubles): floor(scale * x), x as double."""
-    rows = vectors.filter(usable() & F.col("vec_id").isNotNull())
+    rows = vectors.filter(usable())
     return rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column, size: int) -> np.ndarray:
+    """(rows, size) from a list column, shorter vectors filled up with zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    if (lengths == size).all():
+        return flat.reshape(len(column), size)
+    out = np.zeros((len(column), size))
+    out[np.repeat(np.arange(len(column)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    return out
 
 
-def second_moments(rows: DataFrame, size: int) -> np.ndarray:
-    """Sum of x xT over all rows: a size by size matrix per task, added up in one aggregation."""
+def second_moments(rows: DataFrame, size: int, fold: int = 32) -> np.ndarray:
+    """Sum of x xT over all rows: a packed matrix per task, added up in two steps; one matrix reaches the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
         for b in batches:
-            x = _matrix(b.column(0))
+            x = _matrix(b.column(0), size)
             total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(total.ravel())], names=["i", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
-    got = rows.select("v").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(size * size)
-    for r in got:
-        out[r[0]] = r[1]
-    return out.reshape(size, size)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size)
+        for b in batches:
+            for m in b.column(0):
+                total += np.frombuffer(m.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+
+    parts = rows.select("v").mapInArrow(of_rows, "m binary")
+    got = parts.repartition(fold).mapInArrow(added, "m binary").coalesce(1).mapInArrow(added, "m binary").collect()
+    return sum(np.frombuffer(r[0]) for r in got).reshape(size, size)
 
 
 def rotation(moments: np.ndarray) -> np.ndarray:
@@ -74,138 +99,152 @@ def rotation(moments: np.ndarray) -> np.ndarray:
     return vectors[:, np.argsort(-values)]
 
 
-def packed(rows: DataFrame, number: Column, name: str) -> DataFrame:
-    """One row per block: its number, ids and vectors as binary, longest vector first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        last: int | None = None
-
-        def out(b: int) -> pa.RecordBatch:
-            ids, x = (np.concatenate(p) for p in zip(*held.pop(b), strict=True))
-            order = np.lexsort((ids, -np.einsum("ij,ij->i", x, x)))
-            return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([ids[order].astype("<i8").tobytes()]), pa.array([x[order].astype("<f8").tobytes()])], names=[name, "ids", "x"])
-
-        for batch in batches:
-            number_, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-            for b in np.unique(number_):
-                if last is not None and b != last:
-                    yield out(last)
-                last = int(b)
-                held.setdefault(last, []).append((ids[number_ == b], x[number_ == b]))
-        if last is not None:
-            yield out(last)
-
-    cut = rows.select(number.alias(name), F.col("vec_id").cast("long"), "v").repartition(name).sortWithinPartitions(name)
-    return cut.mapInArrow(run, f"{name} long, ids binary, x binary")
+def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers as int64; those that doubles can't hold are summed without limit and stop at the range."""
+    far = np.sqrt((q * q).sum(axis=1).max(initial=0)) * np.sqrt((x * x).sum(axis=1).max(initial=0))
+    if far < EXACT / 2:
+        return (q @ x.T).astype(np.int64)
+    out = np.array([[int(v) for v in row] for row in q], object) @ np.array([[int(v) for v in row] for row in x], object).T
+    return np.clip(out, -_LAST - 1, _LAST).astype(np.int64)
 
 
-def best_in_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's row, id, score) of each query's best k in a block sorted by descending length; floor: what a score must reach."""
+def best_in_block(q_rows: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(query's place, candidate's row, id, score) of each query's best k in a block; floor: what a score must reach."""
+    x_len = np.sqrt((x * x).sum(axis=1))
+    order = np.argsort(-x_len, kind="stable")
+    rows, ids, x, x_len = rows[order], ids[order], x[order], x_len[order]
     qr, xr = q @ turn, x @ turn
-    q_len, x_len = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
+    q_len = np.sqrt((q * q).sum(axis=1))
     slack = 1e-9 * (1 + q_len.max(initial=0) * x_len.max(initial=0)) + 0.25  # scores are whole numbers: rounding never drops an equal one
     cuts = range(0, q.shape[1], STEP)
     q_rest = [np.sqrt(np.maximum(0, (qr[:, c + STEP :] ** 2).sum(axis=1))) for c in cuts]
     x_rest = [np.sqrt(np.maximum(0, (xr[:, c + STEP :] ** 2).sum(axis=1))) for c in cuts]
     need = floor.astype(np.float64).copy()
-    best_ids = np.zeros((len(q), 0), np.int64)
-    best = np.zeros((len(q), 0), np.float64)
-    for at in range(0, len(x), 1024):
-        end = min(at + 1024, len(x))
+    best = np.full((len(q), k), -_LAST - 1, np.int64)
+    best_ids, best_rows = np.full((len(q), k), _LAST), np.full((len(q), k), -1, np.int64)
+    for at in range(0, len(x), STRIP):
+        end = min(at + STRIP, len(x))
         live = np.flatnonzero(q_len * x_len[at] + slack >= need)  # x_len[at] is the longest from here on
         if not len(live):
             break
-        # partial sums, a few coordinates at a time; pairs whose bound falls short go
+        # partial sums, a few coordinates at a time; candidates and queries whose bounds all fall short go
         part = np.zeros((len(live), end - at))
         keep = np.arange(end - at)
         for i, c in enumerate(cuts):
             part += qr[live, c : c + STEP] @ xr[at:end][keep, c : c + STEP].T
-            bound = part + q_rest[i][live][:, None] * x_rest[i][at:end][keep][None, :] + slack
-            good = bound >= need[live][:, None]
-            rows, columns = good.any(axis=1), good.any(axis=0)
-            if not rows.all() or not columns.all():
-                part, live, keep = part[np.ix_(rows, columns)], live[rows], keep[columns]
+            good = part + q_rest[i][live][:, None] * x_rest[i][at:end][keep][None, :] + slack >= need[live][:, None]
+            among, columns = good.any(axis=1), good.any(axis=0)
+            if not among.all() or not columns.all():
+                part, live, keep = part[np.ix_(among, columns)], live[among], keep[columns]
             if not len(live):
                 break
         if not len(live):
             continue
-        exact = q[live] @ x[at:end][keep].T  # whole numbers below 2**53
-        names = np.broadcast_to(ids[at:end][keep], exact.shape)
-        exact = np.where(names == q_ids[live][:, None], -np.inf, exact)
-        if best.shape[1] == 0:
-            best, best_ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-        scores, found = np.concatenate([best[live], exact], axis=1), np.concatenate([best_ids[live], names], axis=1)
-        order = np.lexsort((found, -scores), axis=1)[:, :k]
-        best[live], best_ids[live] = np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1)
-        need = np.maximum(need, best[:, -1])
-    real = np.isfinite(best)
-    return np.nonzero(real)[0], best_ids[real], best[real].astype(np.int64)
-
-
-def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of queries its k best of rows.  Both: (vec_id, v)."""
-    rows = checkpoint(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v"))
+        exact = exact_scores(q[live], x[at:end][keep])
+        names = np.broadcast_to(rows[at:end][keep], exact.shape)
+        taken = names != q_rows[live][:, None]
+        exact = np.where(taken, exact, -_LAST - 1)
+        scores = np.concatenate([best[live], exact], axis=1)
+        found = np.concatenate([best_ids[live], np.broadcast_to(ids[at:end][keep], exact.shape)], axis=1)
+        whose = np.concatenate([best_rows[live], np.where(taken, names, -1)], axis=1)
+        by = np.lexsort((whose, found, whose < 0, ~scores), axis=1)[:, :k]
+        best[live], best_ids[live], best_rows[live] = (np.take_along_axis(y, by, 1) for y in (scores, found, whose))
+        need = np.maximum(need, np.where(best_rows[:, -1] >= 0, best[:, -1], -np.inf))
+    real = best_rows >= 0
+    return np.nonzero(real)[0], best_rows[real], best_ids[real], best[real]
+
+
+def _ranges(rows: DataFrame, value: Column, n: int, per_block: int) -> tuple[Column, dict[int, int]]:
+    """(range number of a row, blocks of each range): ranges of equal counts of falling value, at most RANGES."""
+    wanted = min(RANGES, max(1, -(-n // per_block)))
+    marks = rows.select(value.alias("l")).approxQuantile("l", [i / wanted for i in range(1, wanted)], 0.001) if wanted > 1 else []
+    place = F.lit(0)
+    for m in sorted(set(marks)):
+        place = place + (value < m).cast("int")
+    counts = {r[0]: r[1] for r in rows.groupBy(place.alias("p")).count().collect()}  # a row a range
+    return place, {p: -(-c // per_block) for p, c in counts.items()}
+
+
+def top_k(vectors: DataFrame, asked: Column, k: int = K) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of vectors (vec_id, v) that asked selects, its k best of all other rows."""
+    rows = checkpoint(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "v").withColumn("row", F.monotonically_increasing_id()))
     spark = rows.sparkSession
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    empty = "query_id long, rank int, vec_id long, score long"
-    if not sizes:
-        return spark.createDataFrame([], empty)
-    size = sizes[0]["d"]
-    rows, queries = rows.filter(F.size("v") == size), queries.filter(F.size("v") == size)
-    n = rows.count()
+    n, size = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    result = "query_id long, rank int, vec_id long, score long"
+    if not n:
+        return spark.createDataFrame([], result)
     turn = rotation(second_moments(rows, size))
-    # blocks by ranges of length, up to 64 of them; a range (equal lengths share one) is cut again by a hash of the id
-    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    ranges = min(64, max(1, -(-n // ROWS)))
-    marks = rows.select(length.alias("l")).approxQuantile("l", [i / ranges for i in range(1, ranges)], 0.001) if ranges > 1 else []
-    place = F.lit(0).cast("long")
-    for m in marks:
-        place = place + (length < m).cast("long")
-    counts = {r[0]: r[1] for r in rows.groupBy(place.alias("p")).count().collect()}
-    parts = F.element_at(F.create_map(*[F.lit(x) for p, c in counts.items() for x in (p, max(1, -(-c // ROWS)))]), place)
-    block = place * (1 << 40) + F.pmod(F.xxhash64("vec_id"), parts)
-    candidates = packed(rows, block, "block")
-    # every query starts with the k-th best of the longest vectors' block
-    n_queries = queries.count()
-    q_blocks = max(1, -(-n_queries // QUERIES))
-    asked = packed(queries, F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(q_blocks)).cast("long"), "qblock")
-    longest = rows.orderBy(length.desc(), "vec_id").limit(64 * k).collect()  # a fixed number of rows
-    seed_ids, seed = np.array([r["vec_id"] for r in longest], np.int64), np.array([r["v"] for r in longest], np.float64).reshape(-1, size)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    longest = rows.orderBy(length.desc(), "row").limit(64 * k)
+    probes = longest.unionByName(rows.orderBy(F.xxhash64(F.lit(6), "row"), "row").limit(PROBES)).distinct().collect()  # a fixed number of rows
+    probe_rows, probe = np.array([r["row"] for r in probes]), np.array([[*r["v"], *[0.0] * (size - len(r["v"]))] for r in probes])
 
-    met = candidates.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))).join(asked.withColumnsRenamed({"ids": "q_ids", "x": "q"}), "qblock")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q, ids, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                q, x = (np.frombuffer(b, "<f8").reshape(-1, size) for b in (q, x))
-                known = np.where(seed_ids[None, :] == q_ids[:, None], -np.inf, q @ seed.T)
-                floor = np.sort(known, axis=1)[:, -k] if known.shape[1] >= k else np.full(len(q), -np.inf)
-                row, found, score = best_in_block(q_ids, q, ids, x, turn, k, floor)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    partial = met.select("q_ids", "q", "ids", "x").mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                own, q = part.column(0).to_numpy(), _matrix(part.column(2), size)
+                known = np.where(probe_rows[None, :] == own[:, None], -np.inf, q @ probe.T)
+                q_len = np.sqrt((q * q).sum(axis=1))
+                # a double product may be off in its last places: a floor is never above the true k-th best
+                floor = np.sort(known, axis=1)[:, -k] - 1e-9 * (1 + q_len * np.abs(probe).max(initial=0) * size) if known.shape[1] >= k else np.full(len(q), -np.inf)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    reach = np.where(floor <= 0.25, 0.0, np.where(q_len > 0, (floor - 0.25) / q_len * (1 - 1e-6), 0.0))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(floor), pa.array(reach)], names=["row", "vec_id", "v", "floor", "reach"])
+
+    queries = checkpoint(rows.filter(asked).select("row", "vec_id", "v").mapInArrow(floors, "row long, vec_id long, v array<double>, floor double, reach double"))
+    n_queries = queries.count()
+    if not n_queries:
+        return spark.createDataFrame([], result)
+    # queries by falling reach: the last ranges take every candidate, the first only long ones
+    q_place, q_blocks = _ranges(queries, F.col("reach"), n_queries, QUERIES)
+    queries = queries.withColumn("range", q_place)
+    queries = queries.withColumn("qblock", F.col("range") * (1 << 32) + F.pmod(F.xxhash64("row"), F.element_at(F.create_map(*[F.lit(x) for p in q_blocks.items() for x in p]), F.col("range"))))
+    least = {r[0]: r[1] for r in queries.groupBy("range").agg(F.min("reach")).collect()}  # a row a range
+    c_place, c_blocks = _ranges(rows, length, n, ROWS)
+    candidates = rows.withColumn("_p", c_place).withColumn("cblock", F.col("_p") * (1 << 32) + F.pmod(F.xxhash64("row"), F.element_at(F.create_map(*[F.lit(x) for p in c_blocks.items() for x in p]), F.col("_p"))))
+    reached = candidates.groupBy("cblock").agg(F.max(length).alias("longest"))
+    none = F.array().cast("array<long>")
+    wanted = F.concat(*[F.when(F.col("longest") >= least[p], F.sequence(F.lit(p << 32).cast("long"), F.lit((p << 32) + m - 1).cast("long"))).otherwise(none) for p, m in sorted(q_blocks.items())])
+    # (cblock, qblock): the pairs of blocks that can hold a result; one row for thousands of vectors
+    pairs = checkpoint(reached.select("cblock", F.explode(wanted).alias("qblock")))
+    left = candidates.join(pairs, "cblock").select("cblock", "qblock", "row", "vec_id", "v")
+    right = queries.join(pairs.withColumnRenamed("qblock", "_q"), F.col("qblock") == F.col("_q")).select("cblock", "qblock", "row", "vec_id", "v", "floor")
+
+    def meet(met: pa.Table, asking: pa.Table) -> pa.Table:
+        out = []
+        if met.num_rows and asking.num_rows:
+            q_rows, rows_ = asking["row"].to_numpy(), met["row"].to_numpy()
+            ids = met["vec_id"].combine_chunks()
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            filled = ids.fill_null(_LAST).to_numpy()
+            at, row, found, score = best_in_block(q_rows, _matrix(asking["v"], size), rows_, filled, _matrix(met["v"], size), turn, k, asking["floor"].to_numpy())
+            nulls = np.isin(row, rows_[~known])
+            out = [pa.array(q_rows[at]), asking["vec_id"].combine_chunks().take(pa.array(at)), pa.array(found, mask=nulls), pa.array(score)]
+        return pa.table(out or [[], [], [], []], schema=pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+
+    partial = left.groupBy("cblock", "qblock").cogroup(right.groupBy("cblock", "qblock")).applyInArrow(meet, "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk(spark, sf_dir: str) -> DataFrame:
-    rows = quantised(table(spark, sf_dir, "embeddings"))
-    return top_k(rows, rows.filter("vec_id % 50 = 0"))
+    return top_k(quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
 
 OP6_SQL = """
 WITH good AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS v
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), filled AS (
+  SELECT vec_id, n, list_resize(v, (SELECT max(len(v)) FROM good), 0.0) AS v FROM good
 ), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM good q JOIN good c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM filled q JOIN filled c ON q.vec_id % 50 = 0 AND q.n <> c.n
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM pairs
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
