@@ -64,22 +64,64 @@ def clean_accents(spark, sf_dir):
 
 
 _LATEX_SQL = "seg"
-for _env in ("equation", "equation\\*", "align", "align\\*", "displaymath", "gather", "gather\\*"):
-    _LATEX_SQL = f"regexp_replace({_LATEX_SQL}, '(?s)\\\\begin\\{{{_env}\\}}\\s*(.+?)\\s*\\\\end\\{{{_env}\\}}', '$$' || chr(10) || '\\1' || chr(10) || '$$', 'g')"
-_LATEX_SQL = f"regexp_replace({_LATEX_SQL}, '(?s)\\\\\\[\\s*(.+?)\\s*\\\\\\]', '$$' || chr(10) || '\\1' || chr(10) || '$$', 'g')"
+for _env in C.ENVIRONMENTS:
+    _quoted = _env.replace("*", "\\*")
+    _LATEX_SQL = f"regexp_replace({_LATEX_SQL}, '(?s)\\\\begin\\{{{_quoted}\\}}\\s*(.+?)\\s*\\\\end\\{{{_quoted}\\}}', chr(10) || '$$' || chr(10) || '\\1' || chr(10) || '$$' || chr(10), 'g')"
+_LATEX_SQL = f"regexp_replace({_LATEX_SQL}, '(?s)\\\\\\[\\s*(.+?)\\s*\\\\\\]', '$$\\1$$', 'g')"
 _LATEX_SQL = f"regexp_replace({_LATEX_SQL}, '(?s)\\\\\\(\\s*(.+?)\\s*\\\\\\)', '$\\1$', 'g')"
-for _depth, _prefix in ((4, "subsub"), (3, "sub"), (2, "")):
-    _LATEX_SQL = f"regexp_replace({_LATEX_SQL}, '(?m)^[ \\t]*\\\\{_prefix}section\\*?\\{{([^}}]*)\\}}[ \\t]*$', '{'#' * _depth} \\1', 'g')"
+for _command, _mark in C.SECTIONS:
+    _LATEX_SQL = f"regexp_replace({_LATEX_SQL}, '(?m)^[ \\t]*\\\\{_command}\\*?\\{{\\s*([^}}]*?)\\s*\\}}[ \\t]*$', '{_mark} \\1', 'g')"
 _LATEX_SQL = f"regexp_replace(regexp_replace({_LATEX_SQL}, '\\\\textbf\\{{([^}}]*)\\}}', '**\\1**', 'g'), '\\\\textit\\{{([^}}]*)\\}}', '*\\1*', 'g')"
 
 
-@query(
-    "clean_latex",
-    f"""{WITH}, cut AS (SELECT doc_id, md, regexp_extract_all(md, '(?s)```.*?```') AS fences,
-      string_split(regexp_replace(md, '(?s)```.*?```', chr(1) || chr(2), 'g'), chr(1) || chr(2)) AS segs FROM md_docs),
-    out AS (SELECT doc_id, md, CASE WHEN contains(md, chr(92)) THEN array_to_string(list_transform(range(len(segs)), lambda i: list_transform([segs[i + 1]], lambda seg: {_LATEX_SQL})[1] || coalesce(fences[i + 1], '')), '') ELSE md END AS out FROM cut)
-    SELECT doc_id, md5(out) AS digest, out <> md AS changed FROM out""",
-)
+def _latex_ctes(source: str, name: str) -> str:
+    """name (doc_id, md): LaTeX rewritten outside fences."""
+    return f"""{name}_cut AS (SELECT doc_id, md, regexp_extract_all(md, '(?s)```.*?```') AS fences,
+      string_split(regexp_replace(md, '(?s)```.*?```', chr(1) || chr(2), 'g'), chr(1) || chr(2)) AS segs FROM {source}),
+    {name} AS (SELECT doc_id, CASE WHEN contains(md, chr(92)) THEN array_to_string(list_transform(range(len(segs)), lambda i: list_transform([segs[i + 1]], lambda seg: {_LATEX_SQL})[1] || coalesce(fences[i + 1], '')), '') ELSE md END AS md FROM {name}_cut)"""
+
+
+def _digest_sql(ctes: str, name: str) -> str:
+    return f"{WITH}, {ctes} SELECT doc_id, md5({name}.md) AS digest, {name}.md <> md_docs.md AS changed FROM {name} JOIN md_docs USING (doc_id)"
+
+
+def _lines_cte(source: str, name: str) -> str:
+    """name (doc_id, n, l, free): lines; free outside fences and no fence mark."""
+    return f"""{name}_l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS l, generate_subscripts(string_split(md, chr(10)), 1) AS n FROM {source}),
+    {name}_m AS (SELECT *, regexp_matches(l, '^[ \\t]*```') AS mark FROM {name}_l),
+    {name} AS (SELECT doc_id, n, l, NOT mark AND coalesce(sum(CAST(mark AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n), 0) % 2 = 0 AS free FROM {name}_m)"""
+
+
+def _reflow_ctes(source: str, name: str) -> str:
+    return f"""{_lines_cte(source, name + "_x")},
+    {name}_p AS (SELECT doc_id, n, l, free AND l <> '' AND NOT regexp_matches(ltrim(l, ' ' || chr(9)), '^[#|]') AND NOT regexp_matches(l, '{C.LIST_ITEM}') AS prose FROM {name}_x),
+    {name}_g AS (SELECT doc_id, n, CASE WHEN n = 1 THEN '' WHEN prose AND lag(prose) OVER (PARTITION BY doc_id ORDER BY n) THEN ' ' ELSE chr(10) END || CASE WHEN prose THEN regexp_replace(l, '^\\s+|\\s+$', '', 'g') ELSE l END AS l FROM {name}_p),
+    {name} AS (SELECT doc_id, string_agg(l, '' ORDER BY n) AS md FROM {name}_g GROUP BY doc_id)"""
+
+
+_PAGE_LINE = "regexp_matches(trim(l, ' ' || chr(9) || chr(13)), '^(Page [0-9]+ of [0-9]+|- [0-9]+ -|[0-9]+/[0-9]+)$')"
+
+
+def _headers_ctes(source: str, name: str) -> str:
+    return f"""{name}_l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS l, generate_subscripts(string_split(md, chr(10)), 1) AS n FROM {source}),
+    {name}_p AS (SELECT *, trim(l, ' ' || chr(9) || chr(13)) AS t, regexp_matches(l, '^## Page\\b') AS head, sum(CAST(regexp_matches(l, '^## Page\\b') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n) AS page FROM {name}_l),
+    {name}_r AS (SELECT doc_id, t FROM {name}_p WHERE page > 0 AND NOT head AND length(t) BETWEEN 1 AND {C.HEADER_CHARS} AND NOT starts_with(t, '#') GROUP BY doc_id, t HAVING count(DISTINCT page) >= {C.HEADER_PAGES}),
+    {name}_k AS (SELECT p.doc_id, n, l, head, page, pages FROM (SELECT *, max(page) OVER (PARTITION BY doc_id) AS pages FROM {name}_p) p LEFT JOIN {name}_r r ON p.doc_id = r.doc_id AND p.t = r.t WHERE page = 0 OR head OR r.t IS NULL),
+    {name}_j AS (SELECT doc_id, pages, string_agg(l, chr(10) ORDER BY n) AS md FROM {name}_k WHERE head OR (page = 0 AND pages > 0) OR NOT {_PAGE_LINE} GROUP BY doc_id, pages),
+    {name} AS (SELECT j.doc_id, CASE WHEN pages = 0 THEN j.md ELSE regexp_replace(j.md, '\\n+\\z', '') || CASE WHEN s.md LIKE '%' || chr(10) THEN chr(10) ELSE '' END END AS md FROM {name}_j j JOIN {source} s USING (doc_id))"""
+
+
+def _tables_ctes(source: str, name: str) -> str:
+    rule = "'| ' || array_to_string(list_transform(string_split(regexp_replace(regexp_replace(l, '^\\s+|\\s+$', '', 'g'), '^\\|+|\\|+$', '', 'g'), '|'), lambda c: '---'), ' | ') || ' |'"
+    return f"""{_lines_cte(source, name + "_x")},
+    {name}_t AS (SELECT *, free AND starts_with(ltrim(l, ' ' || chr(9)), '|') AS t FROM {name}_x),
+    {name}_w AS (SELECT *, t AND NOT coalesce(lag(t) OVER w, false) AS first, coalesce(lead(t) OVER w, false) AND regexp_matches(lead(l) OVER w, '{C.SEPARATOR}') AS ruled, NOT regexp_matches(l, '[^\\s|]') AS blank, coalesce(lead(t, 2) OVER w, false) AS third FROM {name}_t WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    {name}_q AS (SELECT *, first AND ruled AND blank AND third AS up FROM {name}_w),
+    {name}_s AS (SELECT *, coalesce(lag(up) OVER w, false) AS up1, coalesce(lag(up, 2) OVER w, false) AS up2 FROM {name}_q WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    {name} AS (SELECT doc_id, string_agg(CASE WHEN (first AND NOT ruled) OR up2 THEN l || chr(10) || {rule} ELSE l END, chr(10) ORDER BY n) AS md FROM {name}_s WHERE NOT up AND NOT up1 GROUP BY doc_id)"""
+
+
+@query("clean_latex", _digest_sql(_latex_ctes("md_docs", "done"), "done"))
 def clean_latex(spark, sf_dir):
     return _changed(_md(spark, sf_dir), C.latex(F.col("md")))
 
@@ -89,7 +131,7 @@ def clean_dehyphenate(spark, sf_dir):
     return _changed(_md(spark, sf_dir), C.dehyphenated(F.col("md")))
 
 
-@query("clean_reflow")
+@query("clean_reflow", _digest_sql(_reflow_ctes("md_docs", "done"), "done"))
 def clean_reflow(spark, sf_dir):
     return _changed(_md(spark, sf_dir), C.reflowed(F.col("md")))
 
@@ -99,9 +141,9 @@ def clean_page_numbers(spark, sf_dir):
     return _changed(_md(spark, sf_dir), C.without_page_numbers(F.col("md")))
 
 
-@query("clean_running_headers")
+@query("clean_running_headers", _digest_sql(_headers_ctes("md_docs", "done"), "done"))
 def clean_running_headers(spark, sf_dir):
-    return validation.without_running_headers(_md(spark, sf_dir)).select("doc_id", F.md5(F.col("out").cast("binary")).alias("digest"), (F.col("out") != F.col("md")).alias("changed"))
+    return _changed(_md(spark, sf_dir), C.without_running_headers(F.col("md")))
 
 
 @query(
@@ -119,14 +161,26 @@ def running_headers(spark, sf_dir):
     return lines.groupBy("doc_id", "line").agg(F.countDistinct("page").alias("pages")).filter("pages >= 3")
 
 
-@query("clean_tables")
+@query("clean_tables", _digest_sql(_tables_ctes("md_docs", "done"), "done"))
 def clean_tables(spark, sf_dir):
-    return _changed(validation.repaired_tables(_md(spark, sf_dir), "md"), F.col("repaired"))
+    return _changed(_md(spark, sf_dir), C.repaired_tables(F.col("md")))
+
+
+_ALL_SQL = ", ".join(
+    [
+        f"c1 AS (SELECT doc_id, nfc_normalize({_sql_accents(_sql_ligatures('md'))}) AS md FROM md_docs)",
+        _latex_ctes("c1", "c2"),
+        f"c3 AS (SELECT doc_id, regexp_replace({_sql_replaced('md', C.MOJIBAKE + C.C1_QUOTES)}, '([A-Za-z])-\\n([A-Za-z])', '\\1\\2', 'g') AS md FROM c2)",
+        _reflow_ctes("c3", "c4"),
+        _headers_ctes("c4", "c5"),
+        _tables_ctes("c5", "c6"),
+    ]
+)
 
 
-@query("clean_all")
+@query("clean_all", _digest_sql(_ALL_SQL, "c6"))
 def clean_all(spark, sf_dir):
-    return validation.clean(_md(spark, sf_dir)).select("doc_id", F.md5(F.col("out").cast("binary")).alias("digest"), (F.col("out") != F.col("md")).alias("changed"))
+    return _changed(_md(spark, sf_dir), C.cleaned(F.col("md")))
 
 
 _PAGES_SQL = f"""{WITH}, cut AS (SELECT doc_id, string_split(chr(10) || md, chr(10) || '## Page ') AS parts FROM md_docs),
@@ -175,108 +229,161 @@ _FREE = f"""{WITH}, lined AS (SELECT doc_id, unnest(string_split(md, chr(10))) A
     free AS (SELECT doc_id, array_to_string(list(CASE WHEN k % 2 = 1 AND NOT starts_with(trim(line), '```') THEN '' ELSE line END ORDER BY n), chr(10)) AS md FROM fenced GROUP BY doc_id)"""
 
 
-@query("validate_incomplete", f"{WITH} SELECT doc_id, 'incomplete_conversion' AS rule, 'error' AS severity FROM md_docs WHERE regexp_matches(md, '(?m)^> \\*\\*INCOMPLETO:\\*\\*')")
-def validate_incomplete(spark, sf_dir):
-    return validation.incomplete(_md(spark, sf_dir)).select("doc_id", "rule", "severity")
+def _rule(spark, sf_dir, rule) -> DataFrame:
+    """(doc_id, detail, line) of one rule; rule: text -> list of findings."""
+    rows = _md(spark, sf_dir).select("doc_id", F.explode(rule(F.col("md"))).alias("f"))
+    return rows.select("doc_id", "f.detail", "f.line")
 
 
-@query("validate_control_chars", f"{WITH}, hits AS (SELECT doc_id, unnest(regexp_extract_all(md, '[\\x00-\\x08\\x0b-\\x1f]')) AS ch FROM md_docs) SELECT doc_id, CAST(unicode(ch) AS INTEGER) AS code, count(*) AS n FROM hits GROUP BY doc_id, unicode(ch)")
-def validate_control_chars(spark, sf_dir):
-    return validation.control_chars(_md(spark, sf_dir)).select("doc_id", "code", "n")
+def _line_sql(text: str, before: str) -> str:
+    """Line of what follows the first so many characters."""
+    return f"CAST(length(left({text}, {before})) - length(replace(left({text}, {before}), chr(10), '')) + 1 AS INTEGER)"
+
+
+def _words_sql(listed: tuple[str, ...]) -> str:
+    return "[" + ", ".join(duck_text(w) for w in listed) + "]"
 
 
 _MARKS = "(VALUES ('\\['), ('\\]'), ('\\('), ('\\)'), ('\\begin{equation}'), ('\\section{'), ('\\subsection{'), ('\\textbf{')) AS m(label)"
+_ACCENT_SQL = " || ".join(duck_text(a) for a in ("´", "˜", "¨", "ˆ", "ˇ", "˚"))
+_ORPHAN = f"('[A-Za-z][' || {_ACCENT_SQL} || ']|[' || {_ACCENT_SQL} || '][A-Za-z]')"
+_LINK = "'!\\[[^\\]]*\\]\\(([^)]+)\\)'"
+_CAPTION = "'(?m)^> \\*\\*Figura.*$'"
+_STRIPPED = "regexp_replace(regexp_replace(md, '(?s)\\A---\\n.*?\\n---\\n?', ''), '\\A\\s+|\\s+\\z', '', 'g')"
+_NEWLINES = "lambda x: length(x) - length(replace(x, chr(10), ''))"
+_HITS = "CASE WHEN n < 20 THEN NULL WHEN es >= en * 1.2 AND es >= 4 THEN 'es' WHEN en >= es * 1.2 AND en >= 4 THEN 'en' END"
+_FIRST_ENV = "least(CASE WHEN b > 0 THEN instr(md, '\\begin{' || env || '}') END, CASE WHEN e > 0 THEN instr(md, '\\end{' || env || '}') END) - 1"
+
+#: Rule -> (severity, SELECT of doc_id, detail and line from md_docs, and free, where fenced lines are blank).
+_RULES = {
+    "incomplete_conversion": ("error", "SELECT doc_id, 'conversion stopped early; re-run to finish the missing pages' AS detail, CAST(NULL AS INTEGER) AS line FROM md_docs WHERE regexp_matches(md, '(?m)^> \\*\\*INCOMPLETO:\\*\\*')"),
+    "control_chars": ("error", "SELECT doc_id, CASE WHEN unicode(ch) = 0 THEN 'NUL' ELSE format('U+{:04X}', unicode(ch)) END || ' control character appears ' || count(*) || ' time(s)' AS detail, CAST(NULL AS INTEGER) AS line FROM (SELECT doc_id, unnest(regexp_extract_all(md, '[\\x00-\\x08\\x0b-\\x1f]')) AS ch FROM md_docs) GROUP BY doc_id, ch"),
+    "latex_delimiters": ("error", f"SELECT doc_id, 'leftover LaTeX markup ''' || label || ''' (' || (length(md) - length(replace(md, label, ''))) // length(label) || ' occurrence(s))' AS detail, {_line_sql('md', 'instr(md, label) - 1')} AS line FROM free, {_MARKS} WHERE contains(md, label)"),
+    "unbalanced_math": (
+        "error",
+        f"""SELECT doc_id, 'odd number of ''$$'' delimiters (' || n || ')' AS detail, {_line_sql('md', "instr(md, '$$') - 1")} AS line FROM (SELECT *, (length(md) - length(replace(md, '$$', ''))) // 2 AS n FROM free) WHERE n % 2 = 1
+      UNION ALL SELECT doc_id, '\\begin{{' || env || '}} (' || b || ') does not match \\end{{' || env || '}} (' || e || ')', {_line_sql('md', _FIRST_ENV)} FROM (
+        SELECT doc_id, env, sum(b) AS b, sum(e) AS e FROM (SELECT doc_id, unnest(regexp_extract_all(md, '\\\\begin\\{{(\\w+)\\}}', 1)) AS env, 1 AS b, 0 AS e FROM free UNION ALL SELECT doc_id, unnest(regexp_extract_all(md, '\\\\end\\{{(\\w+)\\}}', 1)), 0, 1 FROM free) GROUP BY doc_id, env HAVING sum(b) <> sum(e)) JOIN free USING (doc_id)""",
+    ),
+    "scrambled_text": (
+        "warning",
+        f"""SELECT doc_id, 'page ' || regexp_extract(part, '^([0-9]+)', 1) || ' text looks scrambled' AS detail, CAST(lines + 1 AS INTEGER) AS line FROM (
+        SELECT *, regexp_extract_all(regexp_replace(part, '^[0-9]+', ''), '[\\p{{L}}\\p{{N}}_]+') AS t, first_lines + coalesce(sum(1 + length(part) - length(replace(part, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lines FROM (
+          SELECT doc_id, unnest(parts[2:]) AS part, generate_subscripts(parts[2:], 1) AS pos, length(parts[1]) - length(replace(parts[1], chr(10), '')) AS first_lines FROM (SELECT doc_id, string_split(chr(10) || md, chr(10) || '## Page ') AS parts FROM md_docs)))
+      WHERE len(t) >= {validation.SCRAMBLED_TOKENS} AND len(list_filter(t, lambda x: length(x) = 1)) > {validation.SCRAMBLED_SHARE} * len(t)""",
+    ),
+    "orphan_accents": ("warning", f"SELECT doc_id, len(regexp_extract_all(md, {_ORPHAN})) || ' orphan accent glyph(s) next to a letter (e.g. ''' || regexp_extract(md, {_ORPHAN}) || ''')' AS detail, {_line_sql('md', f'length(string_split_regex(md, {_ORPHAN})[1])')} AS line FROM md_docs WHERE regexp_matches(md, {_ORPHAN})"),
+    "empty_output": ("warning", f"SELECT doc_id, 'body has only ' || length({_STRIPPED}) || ' character(s) after frontmatter' AS detail, CAST(NULL AS INTEGER) AS line FROM md_docs WHERE length({_STRIPPED}) < {validation.EMPTY_CHARS}"),
+    "language_mismatch": (
+        "warning",
+        f"""SELECT doc_id, 'frontmatter declares language ''' || said || ''' but a figure caption looks like ''' || told || '''' AS detail, CAST(1 + list_sum(list_transform(string_split_regex(md, {_CAPTION})[1:i], {_NEWLINES})) AS INTEGER) AS line FROM (
+        SELECT *, {_HITS} AS told FROM (
+          SELECT *, len(t) AS n, len(list_filter(t, lambda x: list_contains({_words_sql(P.SPANISH)}, x))) AS es, len(list_filter(t, lambda x: list_contains({_words_sql(P.ENGLISH)}, x))) AS en FROM (
+            SELECT doc_id, md, said, i, regexp_extract_all(lower(caption), '[a-záéíóúüñ'']+') AS t FROM (
+              SELECT doc_id, md, lower(regexp_extract(regexp_extract(md, '(?s)\\A---\\n.*?\\n---\\n?'), '(?m)^language: "?([A-Za-z]{{2}})"?$', 1)) AS said, unnest(regexp_extract_all(md, {_CAPTION})) AS caption, generate_subscripts(regexp_extract_all(md, {_CAPTION}), 1) AS i FROM md_docs)
+            WHERE said <> ''))) WHERE told <> said""",
+    ),
+    "missing_figure_assets": (
+        "warning",
+        f"""SELECT doc_id, 'image target ''' || target || ''' does not exist' AS detail, CAST(1 + list_sum(list_transform(string_split_regex(md, {_LINK})[1:i], {_NEWLINES})) AS INTEGER) AS line FROM (
+        SELECT doc_id, md, unnest(regexp_extract_all(md, {_LINK}, 1)) AS target, generate_subscripts(regexp_extract_all(md, {_LINK}, 1), 1) AS i FROM md_docs) WHERE NOT (doc_id % 24 = 7 AND target = 'assets/fig.png')""",
+    ),
+}
+
+
+def _rule_sql(rule: str) -> str:
+    return f"{_FREE} {_RULES[rule][1]}"
+
+
+@query("validate_incomplete", _rule_sql("incomplete_conversion"))
+def validate_incomplete(spark, sf_dir):
+    return _rule(spark, sf_dir, validation.incomplete)
 
 
-@query(
-    "validate_latex_delimiters",
-    f"""{_FREE} SELECT doc_id, label, CAST((length(md) - length(replace(md, label, ''))) // length(label) AS BIGINT) AS n,
-      CAST(length(left(md, instr(md, label) - 1)) - length(replace(left(md, instr(md, label) - 1), chr(10), '')) + 1 AS INTEGER) AS line
-    FROM free, {_MARKS} WHERE contains(md, label)""",
-)
+@query("validate_control_chars", _rule_sql("control_chars"))
+def validate_control_chars(spark, sf_dir):
+    return _rule(spark, sf_dir, validation.control_chars)
+
+
+@query("validate_latex_delimiters", _rule_sql("latex_delimiters"))
 def validate_latex_delimiters(spark, sf_dir):
-    return validation.latex_delimiters(_md(spark, sf_dir)).select("doc_id", "label", "n", "line")
+    return _rule(spark, sf_dir, lambda t: C.once(validation.without_code(t), validation.latex_delimiters))
 
 
-@query(
-    "validate_unbalanced_math",
-    f"""{_FREE}, marks AS (
-      SELECT doc_id, env, sum(b) AS begins, sum(e) AS ends FROM (
-        SELECT doc_id, unnest(regexp_extract_all(md, '\\\\begin\\{{(\\w+)\\}}', 1)) AS env, 1 AS b, 0 AS e FROM free
-        UNION ALL SELECT doc_id, unnest(regexp_extract_all(md, '\\\\end\\{{(\\w+)\\}}', 1)) AS env, 0 AS b, 1 AS e FROM free) GROUP BY doc_id, env)
-    SELECT doc_id, '$$' AS env, CAST((length(md) - length(replace(md, '$$', ''))) // 2 AS BIGINT) AS begins, CAST(0 AS BIGINT) AS ends FROM free WHERE ((length(md) - length(replace(md, '$$', ''))) // 2) % 2 = 1
-    UNION ALL SELECT doc_id, env, CAST(begins AS BIGINT), CAST(ends AS BIGINT) FROM marks WHERE begins <> ends""",
-)
+@query("validate_unbalanced_math", _rule_sql("unbalanced_math"))
 def validate_unbalanced_math(spark, sf_dir):
-    return validation.unbalanced_math(_md(spark, sf_dir)).select("doc_id", "env", "begins", "ends")
+    return _rule(spark, sf_dir, lambda t: C.once(validation.without_code(t), validation.unbalanced_math))
+
+
+@query("validate_scrambled", _rule_sql("scrambled_text"))
+def validate_scrambled(spark, sf_dir):
+    return _rule(spark, sf_dir, validation.scrambled)
 
 
 @query(
-    "validate_scrambled",
+    "scrambled_pages",
     f"""{_PAGES_SQL}, tok AS (SELECT doc_id, CAST(regexp_extract(part, '^([0-9]+)', 1) AS INTEGER) AS page, regexp_extract_all(regexp_replace(part, '^[0-9]+', ''), '[\\p{{L}}\\p{{N}}_]+') AS toks FROM pages)
     SELECT doc_id, page, CAST(len(toks) AS INTEGER) AS tokens, CAST(len(list_filter(toks, lambda t: length(t) = 1)) AS INTEGER) AS singles FROM tok WHERE len(toks) >= 25 AND len(list_filter(toks, lambda t: length(t) = 1)) > 0.6 * len(toks)""",
 )
-def validate_scrambled(spark, sf_dir):
-    return validation.scrambled(_md(spark, sf_dir)).select("doc_id", "page", "tokens", "singles")
+def scrambled_pages(spark, sf_dir):
+    """Pages that look scrambled, with their words and those of one character."""
+    rows = validation.pages(_md(spark, sf_dir)).withColumn("s", validation.scrambled_share(F.regexp_replace("part", "^[0-9]+", "")))
+    return rows.select("doc_id", "page", "s.*").filter(f"tokens >= {validation.SCRAMBLED_TOKENS} and singles > {validation.SCRAMBLED_SHARE} * tokens")
 
 
-_ACCENT_SQL = " || ".join(duck_text(a) for a in ("\u00b4", "\u02dc", "\u00a8", "\u02c6", "\u02c7", "\u02da"))
-_ORPHAN = f"('[A-Za-z][' || {_ACCENT_SQL} || ']|[' || {_ACCENT_SQL} || '][A-Za-z]')"
-
-
-@query("validate_orphan_accents", f"{WITH} SELECT doc_id, CAST(len(regexp_extract_all(md, {_ORPHAN})) AS INTEGER) AS n, regexp_extract(md, {_ORPHAN}) AS sample FROM md_docs WHERE regexp_matches(md, {_ORPHAN})")
+@query("validate_orphan_accents", _rule_sql("orphan_accents"))
 def validate_orphan_accents(spark, sf_dir):
-    return validation.orphan_accents(_md(spark, sf_dir)).select("doc_id", "n", "sample")
+    return _rule(spark, sf_dir, validation.orphan_accents)
 
 
-@query("validate_empty_output", f"{WITH} SELECT doc_id, CAST(length(body) AS INTEGER) AS chars FROM (SELECT doc_id, regexp_replace(regexp_replace(md, '(?s)\\A---\\n.*?\\n---\\n?', ''), '\\A\\s+|\\s+\\z', '', 'g') AS body FROM md_docs WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, 'short ' || doc_id FROM md_docs WHERE doc_id % 50 = 0) WHERE length(body) < 20")
+@query(
+    "validate_empty_output",
+    f"{WITH}, all_docs AS (SELECT doc_id, md FROM md_docs UNION ALL SELECT -doc_id, 'short ' || doc_id FROM md_docs) SELECT doc_id, 'body has only ' || length({_STRIPPED}) || ' character(s) after frontmatter' AS detail, CAST(NULL AS INTEGER) AS line FROM all_docs WHERE length({_STRIPPED}) < {validation.EMPTY_CHARS}",
+)
 def validate_empty_output(spark, sf_dir):
+    """The rule over all documents and, as none of them is empty, a short one beside each."""
     docs = _md(spark, sf_dir)
-    extra = docs.filter("doc_id % 50 = 0").select("doc_id", F.concat(F.lit("short "), F.col("doc_id").cast("string")).alias("md"))
-    return validation.empty_output(docs.unionByName(extra)).select("doc_id", "chars")
+    short = docs.select((-F.col("doc_id")).alias("doc_id"), F.concat(F.lit("short "), F.col("doc_id").cast("string")).alias("md"))
+    rows = docs.unionByName(short).select("doc_id", F.explode(validation.empty_output(F.col("md"))).alias("f"))
+    return rows.select("doc_id", "f.detail", "f.line")
 
 
-@query("validate_missing_assets", f"{WITH}, links AS (SELECT doc_id, unnest(regexp_extract_all(md, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS target FROM md_docs) SELECT doc_id, target FROM links WHERE NOT EXISTS (SELECT 1 FROM md_docs a WHERE a.doc_id % 24 = 7 AND a.doc_id = links.doc_id)")
+def _assets(spark, sf_dir) -> DataFrame:
+    """Files around the documents: some have the figure they link to."""
+    return _md(spark, sf_dir).filter("doc_id % 24 = 7").select("doc_id", F.lit("assets/fig.png").alias("target"))
+
+
+@query("validate_missing_assets", _rule_sql("missing_figure_assets"))
 def validate_missing_assets(spark, sf_dir):
-    docs = _md(spark, sf_dir)
-    assets = docs.filter("doc_id % 24 = 7").select("doc_id", F.lit("assets/fig.png").alias("target"))
-    return validation.missing_assets(docs, assets).select("doc_id", "target")
+    found = validation.findings(_md(spark, sf_dir), _assets(spark, sf_dir))
+    return found.filter("rule = 'missing_figure_assets'").select("doc_id", "detail", "line")
 
 
-def _words_sql(listed: tuple[str, ...]) -> str:
-    return "[" + ", ".join(duck_text(w) for w in listed) + "]"
+@query("validate_language", _rule_sql("language_mismatch"))
+def validate_language(spark, sf_dir):
+    return _rule(spark, sf_dir, validation.language_mismatch)
+
+
+_FOUND = f"{_FREE}, found AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, '{severity}' AS severity, detail, line FROM ({sql})" for r, (severity, sql) in _RULES.items()) + ")"
 
 
-_FOUND = f"""{_FREE}, cut AS (SELECT doc_id, string_split(chr(10) || md, chr(10) || '## Page ') AS parts FROM md_docs),
-    pages AS (SELECT doc_id, unnest(parts[2:]) AS part FROM cut),
-    words AS (SELECT doc_id, regexp_extract_all(regexp_replace(part, '^[0-9]+', ''), '[\\p{{L}}\\p{{N}}_]+') AS t FROM pages),
-    envs AS (SELECT doc_id, unnest(regexp_extract_all(md, '\\\\begin\\{{(\\w+)\\}}', 1)) AS env, 1 AS d FROM free UNION ALL SELECT doc_id, unnest(regexp_extract_all(md, '\\\\end\\{{(\\w+)\\}}', 1)), -1 FROM free),
-    said AS (SELECT doc_id, regexp_extract(md, '(?s)\\A---\\n.*?\\n---\\n?') AS block, md FROM md_docs),
-    captions AS (SELECT doc_id, regexp_extract(block, '(?m)^language: "?([a-z]+)', 1) AS said, regexp_extract_all(lower(array_to_string(regexp_extract_all(md[length(block) + 1:], '(?m)^> (.+)$', 1), ' ')), '[a-záéíóúüñ'']+') AS t FROM said),
-    told AS (SELECT doc_id, said, len(t) AS n, len(list_filter(t, lambda x: list_contains({_words_sql(P.SPANISH)}, x))) AS es, len(list_filter(t, lambda x: list_contains({_words_sql(P.ENGLISH)}, x))) AS en FROM captions WHERE said <> ''),
-    found AS (
-      SELECT doc_id, 'incomplete_conversion' AS rule, 'error' AS severity FROM md_docs WHERE regexp_matches(md, '(?m)^> \\*\\*INCOMPLETO:\\*\\*')
-      UNION ALL SELECT doc_id, 'control_chars', 'error' FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(md, '[\\x00-\\x08\\x0b-\\x1f]')) AS ch FROM md_docs)
-      UNION ALL SELECT doc_id, 'latex_delimiters', 'error' FROM free, {_MARKS} WHERE contains(md, label)
-      UNION ALL SELECT doc_id, 'unbalanced_math', 'error' FROM free WHERE ((length(md) - length(replace(md, '$$', ''))) // 2) % 2 = 1
-      UNION ALL SELECT doc_id, 'unbalanced_math', 'error' FROM envs GROUP BY doc_id, env HAVING sum(d) <> 0
-      UNION ALL SELECT doc_id, 'scrambled_text', 'warning' FROM words WHERE len(t) >= 25 AND len(list_filter(t, lambda x: length(x) = 1)) > 0.6 * len(t)
-      UNION ALL SELECT doc_id, 'orphan_accents', 'warning' FROM md_docs WHERE regexp_matches(md, {_ORPHAN})
-      UNION ALL SELECT doc_id, 'empty_output', 'warning' FROM md_docs WHERE length(regexp_replace(regexp_replace(md, '(?s)\\A---\\n.*?\\n---\\n?', ''), '\\A\\s+|\\s+\\z', '', 'g')) < 20
-      UNION ALL SELECT doc_id, 'missing_figure_assets', 'warning' FROM (SELECT doc_id, unnest(regexp_extract_all(md, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS target FROM md_docs)
-      UNION ALL SELECT doc_id, 'language_mismatch', 'warning' FROM told WHERE n >= 20 AND ((es >= en * 1.2 AND es >= 4 AND said <> 'es') OR (NOT (es >= en * 1.2 AND es >= 4) AND en >= es * 1.2 AND en >= 4 AND said <> 'en')))"""
-
-
-@query("validate_findings", f"{_FOUND} SELECT doc_id, rule, severity, count(*) AS n FROM found GROUP BY ALL")
+@query("validate_findings", f"{_FOUND} SELECT doc_id, rule, severity, detail, line FROM found")
 def validate_findings(spark, sf_dir):
-    """Findings of all rules, counted by document."""
-    return validation.findings(_md(spark, sf_dir)).groupBy("doc_id", "rule", "severity").agg(F.count("*").alias("n"))
+    """Findings of all rules."""
+    return validation.findings(_md(spark, sf_dir), _assets(spark, sf_dir))
+
+
+@query("topk_findings", f"{_FOUND} SELECT doc_id, count(*) AS findings, count(*) FILTER (severity = 'error') AS errors FROM found GROUP BY doc_id ORDER BY findings DESC, doc_id LIMIT 20")
+def topk_findings(spark, sf_dir):
+    """The twenty documents with most findings."""
+    found = validation.findings(_md(spark, sf_dir), _assets(spark, sf_dir))
+    return found.groupBy("doc_id").agg(F.count("*").alias("findings"), F.count_if(F.col("severity") == "error").alias("errors")).orderBy(F.desc("findings"), "doc_id").limit(20)
 
 
 @query("validate_report", f"{_FOUND} SELECT severity, rule, count(*) AS findings, count(DISTINCT doc_id) AS docs FROM found GROUP BY ROLLUP (severity, rule)")
 def validate_report(spark, sf_dir):
     """Findings by severity and rule, with subtotals."""
-    found = validation.findings(_md(spark, sf_dir))
+    found = validation.findings(_md(spark, sf_dir), _assets(spark, sf_dir))
     return found.rollup("severity", "rule").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("docs")).select("severity", "rule", "findings", "docs")
 
 
@@ -308,13 +415,13 @@ def short_token_ratio(spark, sf_dir):
 
 @query("quantile_rank", "WITH q AS (SELECT lang, list(n_chars ORDER BY n_chars) AS v FROM documents GROUP BY lang) SELECT lang, v[least(CAST(floor(len(v) * 0.5) AS BIGINT), len(v) - 1) + 1] AS p50, v[least(CAST(floor(len(v) * 0.9) AS BIGINT), len(v) - 1) + 1] AS p90 FROM q")
 def quantile_rank(spark, sf_dir):
-    """Nearest-rank quantiles by index, without collecting a group: rows are ranked and the wanted rank is kept."""
+    """Nearest-rank quantiles by index, without collecting a group: the value whose ranks hold the wanted one is kept."""
     docs = table(spark, sf_dir, "documents")
     counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    ranked = P.ranked_within(docs.select("lang", "n_chars"), "lang", "n_chars")
-    met = ranked.join(counts, "lang")
+    met = P.ranked_within(docs.select("lang", "n_chars"), "lang", "n_chars").join(counts, "lang")
     at = lambda q: F.least(F.floor(F.col("n") * q), F.col("n") - 1)
-    return met.groupBy("lang").agg(F.max(F.when(F.col("rank") == at(0.5), F.col("n_chars"))).alias("p50"), F.max(F.when(F.col("rank") == at(0.9), F.col("n_chars"))).alias("p90"))
+    held = lambda q: F.max(F.when(at(q).between(F.col("first"), F.col("last")), F.col("n_chars")))
+    return met.groupBy("lang").agg(held(0.5).alias("p50"), held(0.9).alias("p90"))
 
 
 _SYMBOL = "[Ͱ-Ͽἀ-῿⁰-₟²³¹√±·×÷≤≥≠∞∑∫¯−+=^_{}\\\\]"
@@ -325,12 +432,28 @@ def math_symbols(spark, sf_dir):
     return P.math_tokens(_md(spark, sf_dir), "md").select("doc_id", "tokens", "symbols", "candidates")
 
 
-@query("math_spans")
+_SPACE = "\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_SPANS = f"""{WITH}, raw AS (SELECT doc_id, unnest(regexp_extract_all(md, '[^{_SPACE}]+|[{_SPACE}]+')) AS t, generate_subscripts(regexp_extract_all(md, '[^{_SPACE}]+|[{_SPACE}]+'), 1) AS k FROM md_docs),
+    placed AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM raw),
+    tok AS (SELECT doc_id, t, b, b + length(t) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, regexp_matches(t, '{_SYMBOL}') AS sym, regexp_matches(t, '^([A-Za-zͰ-Ͽἀ-῿]{{1,3}}[0-9]{{1,2}}|[0-9]{{1,2}})$') AS cand FROM placed WHERE NOT regexp_matches(t, '^[{_SPACE}]')),
+    alone AS (SELECT *, sym OR (cand AND (bool_or(sym) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) OR sum(CAST(cand AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) >= 3)) AS alone FROM tok),
+    gaps AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 2 THEN 0 ELSE 1 END AS gap FROM alone WHERE alone OR cand),
+    islands AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM gaps),
+    flagged AS (SELECT * FROM (SELECT *, min(CASE WHEN alone THEN i END) OVER (PARTITION BY doc_id, island) AS first FROM islands) WHERE i >= first),
+    runs AS (SELECT doc_id, min(b) AS b, max(e) AS e, count(*) AS n, sum(CAST(cand AS INTEGER)) AS short, bool_or(t = '√') AS root FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM flagged) GROUP BY doc_id, run),
+    spans AS (SELECT doc_id, b, e, root OR (n >= 2 AND short >= 2 AND short >= n - 1) AS structure_lost FROM runs)"""
+
+
+@query("math_spans", f"{_SPANS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS INTEGER) AS span, CAST(b AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", md[b + 1:e] AS text, structure_lost FROM spans JOIN md_docs USING (doc_id)")
 def math_spans(spark, sf_dir):
     return P.math_spans(_md(spark, sf_dir), "md")
 
 
-@query("math_density")
+@query(
+    "math_density",
+    f"""{_SPANS}, tokens AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id), inside AS (SELECT doc_id, count(*) AS n FROM flagged GROUP BY doc_id), lost AS (SELECT doc_id, bool_or(structure_lost) AS lost FROM spans GROUP BY doc_id)
+    SELECT md_docs.doc_id, round(coalesce(inside.n, 0) / tokens.n, 9) AS density, coalesce(lost, false) AS structure_lost FROM md_docs LEFT JOIN tokens ON tokens.doc_id = md_docs.doc_id LEFT JOIN inside ON inside.doc_id = md_docs.doc_id LEFT JOIN lost ON lost.doc_id = md_docs.doc_id""",
+)
 def math_density(spark, sf_dir):
     return P.math_density(_md(spark, sf_dir), "md")
 

@@ -27,6 +27,7 @@ AFTER = (
     (10, 5, "\n\nM\u00b4odulo tama\u02dcno"),
     (12, 7, "\n\n![fig](assets/fig.png)"),
     (16, 11, "\n\n\u03b1 \u03b2 s2 1 n1 \u221a 2 = x_1"),
+    (7, 2, "\n\n> **Figura (descripción generada):** el gráfico de la función que se muestra en la página con los ejes y los valores de cada serie para una muestra"),
     (17, 3, "\n\n### OCR\n\na b c d e f g h i j k l m n o p q r s t u v w x y z a b c"),
 )
 HEADER = "ACME Quarterly Notes\n"
