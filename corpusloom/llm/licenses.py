@@ -1,22 +1,27 @@
 """License scans, with DataFrame functions only.
 
-Words are lower-cased runs of letters and digits; shingles are five words.  Templates of 16 shingles or
-more are looked for by windows of 16 shingles, half a window apart in templates and a quarter in texts, each
-summed up by the minima of four hash functions: four bands of one row.  Where a text holds a template, a window
-lies within an eighth of the size of one of the template's own windows, so their Jaccard similarity is 14/18 or
-more and some band agrees with probability 1 - (2/9)**4 > 0.997 for each of the template's windows; windows
-farther off collide less often, and verification reaches half a window to both sides.  Shorter templates take windows of
-one shingle, whose minimum is the shingle itself: one band, and every common shingle collides.
+Words are lower-cased runs of letters and digits; shingles are five words.  Templates and texts are cut into
+overlapping windows of shingles, each summed up by the minima of four hash functions: four bands of one row.  A
+template takes windows of the largest of 16, 4, 2 and 1 shingles that it holds, half a window apart; texts take
+windows of 16 shingles at every fourth place and of the other sizes at every place.  Verification reaches half
+a window to both sides of a place that some band retrieves.
+
+How sure retrieval is where a text holds a share of 0.8 or more of a template (collision_chance() computes it for the
+worst stretch of missing shingles, as changed words take shingles away in stretches): two windows of Jaccard
+similarity j agree in some band with probability 1 - (1 - j)**4.  Templates of 1 to 4 shingles miss none at that
+share, so their own windows are there whole and agree for certain; of 8 and 9 shingles one may be missing,
+and some window of 4 is whole.  With 16 shingles or more the worst case is 17 of which 3 are missing, and one window pair
+alone agrees with 0.98; the others come on top (README has what was measured).
 
 Retrieved places are verified exactly: the share of the template's shingles found in a stretch of the
 template's length, at the best place near the retrieved one, must be 0.8 or more.
 
 The catalogue is fixed and small; its keys are constants of the plan and its join side is broadcast.
-Texts are never exploded, only retrieved places are.
+Texts are never exploded, only retrieved places are, each with the shingles around it.
 
 Nulls: a null text has no words.  Rows are told apart by a row number, so repeated rows and null ids each
-get their own results.  Texts shorter than a shingle match nothing.  Ties in containment go to the earlier
-place.  Further columns aren't looked at; an empty table gives no rows.
+get their own results.  Texts shorter than a shingle match nothing; texts of any length are looked at whole.  Ties in
+containment go to the earlier place.  Further columns aren't looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +32,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import table
 
 SHINGLE = 5
-WINDOW = 16
+#: Shingles in a window, largest first, and between windows of a text; the bands of each.
+WINDOWS = {16: 4, 4: 1, 2: 1, 1: 1}
 BANDS = 4
 CONTAINMENT = 0.8
 
@@ -58,7 +64,7 @@ def shingle_hashes(words: Column) -> Column:
 
 
 def window_size(shingles: int) -> int:
-    return WINDOW if shingles >= WINDOW else 1
+    return next(size for size in WINDOWS if shingles >= size)
 
 
 def step_of(size: int) -> int:
@@ -66,13 +72,32 @@ def step_of(size: int) -> int:
     return max(1, size // 2)
 
 
-def text_step_of(size: int) -> int:
-    """Shingles between windows of a text."""
-    return max(1, size // 4)
+def band_count(size: int) -> int:
+    """Windows of one or two shingles stand for templates that must be there whole: their minima agree for certain."""
+    return BANDS if size > 2 else 1
 
 
-def band_count(size: int) -> int:
-    return 1 if size == 1 else BANDS
+def offsets(shingles: int) -> list[int]:
+    """Where a template's windows begin."""
+    size = window_size(shingles)
+    return sorted({*range(0, shingles - size + 1, step_of(size)), shingles - size})
+
+
+def collision_chance(shingles: int, containment: float = CONTAINMENT) -> float:
+    """The least chance, over the place of a stretch of missing shingles and the text's windows, that the best pair of windows alone agrees in a band."""
+    size, missing = window_size(shingles), shingles - max(1, int(-(-containment * shingles // 1)))
+    step, worst = WINDOWS[size], 1.0
+    for gone in range(shingles - missing + 1):
+        there = {i for i in range(shingles) if not gone <= i < gone + missing}
+        for shift in range(step):
+            best = 0.0
+            for o in offsets(shingles):
+                for at in range(o - size, o + size + 1):
+                    if (at - shift) % step == 0:
+                        common = len(there & set(range(max(o, at), min(o, at) + size)))
+                        best = max(best, common / (2 * size - common))
+            worst = min(worst, 1 - (1 - best) ** band_count(size))
+    return worst
 
 
 def hashed(shingles: Column, band: int) -> Column:
@@ -92,28 +117,16 @@ def catalogue(spark: SparkSession, templates: dict[str, str]) -> tuple[list[dict
             raise ValueError(f"template {r['license']} is shorter than a shingle")
         size = window_size(n)
         listed.append({"license": r["license"], "size": size, "shingles": sorted(set(r["h"])), "length": n})
-        for offset in sorted({*range(0, n - size + 1, step_of(size)), n - size}):
+        for offset in offsets(n):
             for b in range(band_count(size)):
-                key = r["h"][offset] if size == 1 else min(r[f"g{b}"][offset : offset + size])
-                keys.setdefault((size, b), []).append((key, offset, r["license"]))
+                keys.setdefault((size, b), []).append((min(r[f"g{b}"][offset : offset + size]), offset, r["license"]))
     return listed, keys
 
 
-def block_minima(g: Column, step: int) -> Column:
-    """Minimum of g over every step shingles in a row, blocks side by side.  g is named twice, so the optimiser keeps it a column of its own."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(g) - 1) / step).cast("int"))), lambda k: F.array_min(F.slice(g, k * step + 1, F.lit(step))))
-
-
-def window_minima(blocks: Column) -> Column:
-    """Minimum over every four blocks in a row.  blocks must be a column: a lambda computes what it names again for each element."""
-    return F.transform(blocks, lambda x, k: F.least(x, *[F.get(blocks, k + i) for i in (1, 2, 3)]))
-
-
 def _hits(minima: Column, size: int, band: int, wanted: list[int]) -> Column:
     """(size, band, key, at) of the windows whose key is one of the catalogue's; most texts have none and end here."""
-    step = text_step_of(size)
-    numbered = F.transform(minima, lambda x, i: F.when(x.isin(wanted), F.struct(F.lit(size).alias("size"), F.lit(band).alias("band"), x.alias("key"), (i * step).alias("at"))))
-    return F.array_compact(numbered)
+    step = WINDOWS[size]
+    return F.array_compact(F.transform(minima, lambda x, i: F.when(x.isin(wanted), F.struct(F.lit(size).alias("size"), F.lit(band).alias("band"), x.alias("key"), (i * step).alias("at")))))
 
 
 def literal_table(spark: SparkSession, rows: list[dict[str, Column]]) -> DataFrame:
@@ -127,24 +140,37 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     listed, keys = catalogue(spark, templates or TEMPLATES)
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), word_array(F.col("text")).alias("words"))
     rows = rows.select("doc_id", "row", shingle_hashes(F.col("words")).alias("h"))
-    bands = sorted({b for size, b in keys if size > 1})
-    rows = rows.select("doc_id", "row", "h", F.size("h").alias("n"), *[hashed(F.col("h"), b).alias(f"g{b}") for b in bands])
-    rows = rows.select("doc_id", "row", "h", "n", *[block_minima(F.col(f"g{b}"), text_step_of(WINDOW)).alias(f"m{b}") for b in bands])
+    listed_bands = range(max(b for _, b in keys) + 1)
+    rows = rows.select("doc_id", "row", "h", F.size("h").alias("n"), *[hashed(F.col("h"), b).alias(f"g{b}") for b in listed_bands])
+    # minima of four in a row at every place; of sixteen from those, at every fourth
+    four = lambda b: F.transform(f"g{b}", lambda y, i: F.least(y, *[F.get(f"g{b}", i + k) for k in (1, 2, 3)]))
+    rows = rows.select("doc_id", "row", "h", "n", "g0", *[four(b).alias(f"m{b}") for b in listed_bands])
+    sixteen = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(f"m{b}") - 1) / 4).cast("int")), lambda i: F.least(*[F.get(f"m{b}", 4 * (i + k)) for k in range(4)]))
     places = []
     for (size, b), listed_keys in sorted(keys.items()):
-        minima = F.col("h") if size == 1 else window_minima(F.col(f"m{b}"))
+        if size == 16:
+            minima = F.when(F.size(f"m{b}") > 0, sixteen(b)).otherwise(F.array().cast("array<long>"))
+        elif size == 4:
+            minima = F.col(f"m{b}")
+        elif size == 2:
+            minima = F.transform("g0", lambda y, i: F.least(y, F.get("g0", i + 1)))
+        else:
+            minima = F.col("g0")
         places.append(_hits(minima, size, b, sorted({k for k, _, _ in listed_keys})))
     # explode_outer, then a filter: one on the array itself would be moved down and compute everything twice
     rows = rows.withColumn("hits", F.concat(*places))
-    rows = rows.select("doc_id", "row", "h", "n", F.explode_outer("hits").alias("hit")).filter("hit.key is not null")
+    # each hit takes along the shingles that a template around it can reach, not the whole text's
+    reach = max(t["length"] + t["size"] for t in listed)
+    around = F.transform("hits", lambda x: x.withField("from", F.greatest(F.lit(0), x["at"] - reach)).withField("near", F.slice("h", F.greatest(F.lit(0), x["at"] - reach) + 1, F.lit(2 * reach + 1))))
+    rows = rows.select("doc_id", "row", "n", F.explode_outer(around).alias("hit")).filter("hit.key is not null")
     # as many rows as the catalogue has windows and bands
     known = F.broadcast(literal_table(spark, [{"size": F.lit(s), "band": F.lit(b), "key": F.lit(k).cast("long"), "offset": F.lit(o), "license": F.lit(name)} for (s, b), found in keys.items() for k, o, name in found]))
-    met = rows.select("doc_id", "row", "h", "n", "hit.*").join(known, ["size", "band", "key"]).select("doc_id", "row", "h", "n", "size", "license", (F.col("at") - F.col("offset")).alias("begin"))
+    met = rows.select("doc_id", "row", "n", "hit.*").join(known, ["size", "band", "key"]).select("doc_id", "row", "from", "near", "n", "size", "license", (F.col("at") - F.col("offset")).alias("begin"))
     shapes = F.broadcast(literal_table(spark, [{"license": F.lit(t["license"]), "shingles": F.array(*[F.lit(x).cast("long") for x in t["shingles"]]), "length": F.lit(t["length"])} for t in listed]))
     met = met.join(shapes, "license")
-    near = F.sequence(F.greatest(F.lit(0), F.col("begin") - F.col("size") / 2).cast("int"), F.greatest(F.lit(0), F.least(F.col("n") - 1, F.col("begin") + F.col("size") / 2)).cast("int"))
-    share = lambda p: F.size(F.array_intersect(F.col("shingles"), F.slice(F.col("h"), p + 1, F.col("length")))) / F.size("shingles")
-    best = F.array_max(F.transform(near, lambda p: F.struct(share(p).alias("containment"), (-p).alias("back"))))
+    tried = F.sequence(F.greatest(F.lit(0), F.col("begin") - F.col("size") / 2).cast("int"), F.greatest(F.lit(0), F.least(F.col("n") - 1, F.col("begin") + F.col("size") / 2)).cast("int"))
+    share = lambda p: F.size(F.array_intersect(F.col("shingles"), F.slice(F.col("near"), p - F.col("from") + 1, F.col("length")))) / F.size("shingles")
+    best = F.array_max(F.transform(tried, lambda p: F.struct(share(p).alias("containment"), (-p).alias("back"))))
     met = met.withColumn("best", best).filter(F.col("best.containment") >= containment)
     found = met.groupBy("row", "doc_id", "license").agg(F.max("best").alias("best"))
     return found.select("doc_id", "row", "license", F.col("best.containment").alias("containment"), (-F.col("best.back")).cast("long").alias("first_word"))
