@@ -7,16 +7,17 @@ strings of that length (windows) are dealt out by what they hold:
    anchors, so an anchor that occurs once in the corpus settles all its windows.
 2. Around anchors that repeat, windows are split by their distance to the anchor, and the bytes that
    all windows of a part share are the part's key.  A key that occurs once is settled as well.
-3. What is left goes through the suffix array, its transform and the interval expansion of suffix_array.py:
-   one segment of each kind, weighted by its copies, so exact copies take the same way.  Only a key with very
-   many different segments is dealt out again with parts of one window, which leaves nothing to compare.
+3. What is left goes through the suffix array, its transform and the interval expansion of suffix_array.py,
+   which alone decide what repeats: one segment of each kind, weighted by its copies, so exact copies take the same
+   way.  Neighbouring segments that are the only kind of their keys go in as one.  A key with very many different
+   segments is dealt out again by single windows, told apart by two hashes; those go through the suffix array as well.
 
 Texts are known by a 128-bit key of their bytes, so copies share their results.  Tables between the
 phases are written to the shared checkpoint folder.
 
-Nulls: a null text is empty.  Null ids, repeated rows and further columns stay as they are; a repeated
+Nulls: a null text is empty.  Null ids, repeated rows, ties and further columns stay as they are; a repeated
 row counts as another occurrence.  Texts shorter than the length
-hold no window and are kept whole.  An empty table gives no rows.
+hold no window and are kept whole; texts of any length are read whole.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import discard, release, small_batches, stash, table, text_keys, trimmed
 from corpusloom.llm.suffix_array import repeated_starts
@@ -35,24 +37,27 @@ from corpusloom.llm.suffix_array import repeated_starts
 LENGTH = 200
 ANCHOR = 32
 PARTS = 4
-#: Bytes of text hashed at a time, bytes of segments in one suffix array, different segments of a key above which it is dealt out again.
+#: Bytes of text hashed at a time, bytes of segments in one suffix array, windows of neighbouring segments joined at most,
+#: different segments of a key above which it is dealt out again.
 STEP = 1 << 19
 ARRAY_BYTES = 1 << 20
+JOINED = 1 << 17
 MOST_SEGMENTS = 20_000
 
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
+_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, STEP + (1 << 17))
-        for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+    if base not in _powers or len(_powers[base][0]) < n:
+        size, both = max(n, STEP + (1 << 17)), []
+        for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+            both.append(np.multiply.accumulate(p))
+        _powers[base] = (both[0], both[1])
+    return _powers[base]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -64,8 +69,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Hashes:
     """Hashes of any substring of a byte array, from running sums of a polynomial."""
 
-    def __init__(self, data: np.ndarray):
-        self.up, self.down = _tables(len(data) + 1)
+    def __init__(self, data: np.ndarray, base: int = _BASE):
+        self.up, self.down = _tables(len(data) + 1, base)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.sums[1:])
 
@@ -87,6 +92,20 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - k)], x[width - k :]) if k < width else x
 
 
+def first_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of every width neighbours, the leftmost of equal ones.
+
+    The place is carried in the low bits; where values differ in those bits only, the window is looked at again.
+    """
+    bits = int(len(x)).bit_length()
+    low = np.uint64((1 << bits) - 1)
+    best = (_least((x & ~low) | np.arange(len(x), dtype=np.uint64), width) & low).astype(np.int64)
+    for i in np.flatnonzero(x[best] != _least(x, width)).tolist():
+        best[i] = i + int(np.argmin(x[i : i + width]))
+
+    return best
+
+
 def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(text, key, first window, windows, anchor's distance from the first window) for all anchors of the texts."""
     sizes = np.array([len(t) for t in texts])
@@ -96,10 +115,7 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
         return none, none, none, none, none
     begins = np.cumsum(sizes) - sizes
     hashed = Hashes(data).each(ANCHOR)
-    bits = int(len(hashed)).bit_length()
-    place = np.arange(len(hashed), dtype=np.uint64)
-    best = _least((hashed >> np.uint64(bits) << np.uint64(bits)) | place, length - ANCHOR + 1)  # smallest hash, then leftmost
-    best = (best & np.uint64((1 << bits) - 1)).astype(np.int64)
+    best = first_least(hashed, length - ANCHOR + 1)
     edge = np.zeros(len(best) + 1, np.int64)
     some = sizes >= length
     edge[begins[some]] += 1
@@ -198,31 +214,49 @@ def _find_parts(length: int):
     return run
 
 
+def _joined(first: np.ndarray, windows: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Places in the sorted segments of a text at which a new stretch begins: neighbours that are the only kind of their keys are one."""
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1] + windows[:-1]) | (kinds[1:] > 1) | (kinds[:-1] > 1) | (first[1:] // JOINED != first[:-1] // JOINED)
+    return np.flatnonzero(new)
+
+
 def _fetch(length: int):
+    """Lists of segments with their texts -> rows for the suffix array: the bytes, and the segments (q, sg, at, windows) in them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _texts(batch)
             for row, _ in _rows_of_equal(batch):
-                q, sg, m, first, windows = _structs(batch, "found", row)
-                data = [texts[row][f : f + w - 1 + length] for f, w in zip(first.tolist(), windows.tolist(), strict=True)]
-                yield _batch(q=q, sg=sg, m=m, data=pa.array(data, pa.binary()))
+                found = _structs(batch, "found", row)
+                by = np.argsort(found[3], kind="stable")
+                q, sg, m, first, windows, kinds = (x[by] for x in found)
+                first, windows = first.astype(np.int64), windows.astype(np.int64)
+                new = _joined(first, windows, kinds)
+                last = np.append(new[1:], len(q)) - 1
+                data = [texts[row][f:e] for f, e in zip(first[new].tolist(), (first[last] + windows[last] - 1 + length).tolist(), strict=True)]
+                at = first - np.repeat(first[new], np.diff(np.append(new, len(q))))
+                inside = pa.StructArray.from_arrays([pa.array(q), pa.array(sg), pa.array(at), pa.array(windows)], ["q", "sg", "at", "windows"])
+                yield _batch(q=q[new], sg=sg[new], m=np.minimum.reduceat(m, new), data=pa.array(data, pa.binary()), inside=pa.ListArray.from_arrays(pa.array(np.append(new, len(q)), pa.int32()), inside))
 
     return run
 
 
 def _single_windows(length: int):
-    """Each window of a segment by itself: key is the whole window."""
+    """Each window of a segment by itself: its two hashes and its place in the text and in the segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch)
+            t1, t2, texts = _numbers(batch, "_t1"), _numbers(batch, "_t2"), _texts(batch)
             for row, _ in _rows_of_equal(batch):
-                q, sg, m, first, windows = _structs(batch, "found", row)
-                hashes = Hashes(np.frombuffer(texts[row], np.uint8))
+                q, sg, m, first, windows, _ = _structs(batch, "found", row)
+                data = np.frombuffer(texts[row], np.uint8)
                 who = np.repeat(np.arange(len(q)), windows)
                 at = np.arange(len(who)) - np.repeat(np.cumsum(windows) - windows, windows)
                 start = first[who].astype(np.int64) + at
-                yield _batch(w=hashes.of(start, start + length).view(np.int64), q=q[who], sg=sg[who], at=at.astype(np.int32), m=m[who])
+                one, other = (Hashes(data, base).of(start, start + length).view(np.int64) for base in (_BASE, _OTHER_BASE))
+                n = len(who)
+                yield _batch(w=one, w2=other, t1=np.full(n, t1[row]), t2=np.full(n, t2[row]), start=start.astype(np.int32), q=q[who], sg=sg[who], at=at.astype(np.int32), m=m[who])
 
     return run
 
@@ -236,28 +270,35 @@ def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _expand(length: int):
-    """Segments sorted by key -> ranges of repeated windows; keys are never split between two suffix arrays."""
+    """Rows sorted by key -> ranges of repeated windows of each segment; keys are never split between two suffix arrays."""
 
     def ranges(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows = list({(q, sg): (q, sg, m, data) for q, sg, m, data in rows}.values())
+        rows = list({(r[0], r[1]): r for r in rows}.values())
         found = repeated_starts([r[3] for r in rows], np.array([r[2] for r in rows]), length)
-        out: list[tuple] = []
-        for (q, sg, _, _), starts in zip(rows, found, strict=True):
-            out += [(q, sg, a, n) for a, n in zip(*map(np.ndarray.tolist, _ranges(starts)), strict=True)]
+        out: list[tuple[np.ndarray, ...]] = []
+        for (_, _, _, _, inside), starts in zip(rows, found, strict=True):
+            q, sg, at, windows = inside
+            low, high = np.searchsorted(starts, at), np.searchsorted(starts, at + windows)
+            whole = high - low == windows
+            out.append((q[whole], sg[whole], np.zeros(int(whole.sum()), np.int64), windows[whole]))
+            for i in np.flatnonzero(~whole & (high > low)).tolist():
+                a, n = _ranges(starts[low[i] : high[i]] - at[i])
+                out.append((np.full(len(a), q[i]), np.full(len(a), sg[i]), a, n))
         if out:
-            q, sg, a, n = (list(x) for x in zip(*out, strict=True))
-            yield _batch(q=pa.array(q, pa.int64()), sg=pa.array(sg, pa.int64()), at=pa.array(a, pa.int32()), n=pa.array(n, pa.int32()))
+            q, sg, at, n = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield _batch(q=q, sg=sg, at=at.astype(np.int32), n=n.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= ARRAY_BYTES and row[0] != rows[-1][0]:
+            q, sg, m, data = (batch.column(i).to_pylist() for i in range(4))
+            for i, key in enumerate(q):
+                if size >= ARRAY_BYTES and key != rows[-1][0]:
                     yield from ranges(rows)
                     rows, size = [], 0
-                rows.append(row)
-                size += len(row[3])
+                rows.append((key, sg[i], m[i], data[i], _structs(batch, "inside", i)))
+                size += len(data[i])
         if rows:
             yield from ranges(rows)
 
@@ -275,6 +316,19 @@ def _with_text(texts: DataFrame, found: DataFrame) -> DataFrame:
     return met.sortWithinPartitions("_t1", "_t2")
 
 
+def _expanded(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+    """(q, sg, at, n): the ranges of repeated windows in segments open_ (q, sg, m, t1, t2, first, windows, kinds)."""
+    rows = _with_text(texts, _by_text(open_, ["q", "sg", "m", "first", "windows", "kinds"], unique=False))
+    rows = rows.mapInArrow(trimmed(_fetch(length)), "q long, sg long, m long, data binary, inside array<struct<q: long, sg: long, at: long, windows: long>>")
+    return rows.repartition("q").sortWithinPartitions("q", "sg").mapInArrow(trimmed(_expand(length)), "q long, sg long, at int, n int")
+
+
+def _open(segments: DataFrame) -> DataFrame:
+    """The segments (q, sg, m, at) whose key occurs more than once, with the number of kinds of the key."""
+    keys = stash(segments.groupBy("q").agg(F.sum("m").alias("total"), F.count("*").alias("kinds")).filter("total > 1").drop("total"))
+    return segments.join(keys, "q").select("q", "sg", "m", "at.*", "kinds")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(t1, t2, found: list of (first, n)): for texts with any, the runs of window starts that repeat in the corpus."""
     if length < 2 * ANCHOR:
@@ -289,20 +343,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(rows, again)
     release(docs.sparkSession)
 
-    segments = parts.groupBy("q", "sg").agg(F.sum("m").alias("m"), F.min(F.struct("t1", "t2", "first", "windows")).alias("at"))
-    segments = stash(segments.select("q", "sg", "m", "at"))
-    keys = stash(segments.groupBy("q").agg(F.sum("m").alias("total"), F.count("*").alias("kinds")).filter("total > 1").drop("total"))
-    open_ = stash(segments.join(keys, "q").select("q", "sg", "m", "at.*", "kinds"))
-    discard(segments, keys)
-    fields = ["q", "sg", "m", "first", "windows"]
-    mixed = _with_text(texts, _by_text(open_.filter(f"kinds <= {MOST_SEGMENTS}"), fields, unique=False))
-    mixed = mixed.mapInArrow(trimmed(_fetch(length)), "q long, sg long, m long, data binary")
-    repeats = mixed.repartition("q").sortWithinPartitions("q", "sg").mapInArrow(trimmed(_expand(length)), "q long, sg long, at int, n int")
-    if open_.filter(f"kinds > {MOST_SEGMENTS}").limit(1).count():
-        alone = _with_text(texts, _by_text(open_.filter(f"kinds > {MOST_SEGMENTS}"), fields, unique=False))
-        alone = stash(alone.mapInArrow(_single_windows(length), "w long, q long, sg long, at int, m long"))
-        twice = alone.groupBy("w").agg(F.sum("m").alias("n")).filter("n > 1").select("w")
-        repeats = repeats.unionByName(alone.join(twice, "w").select("q", "sg", "at", F.lit(1).alias("n")).distinct())
+    segments = stash(parts.groupBy("q", "sg").agg(F.sum("m").alias("m"), F.min(F.struct("t1", "t2", "first", "windows")).alias("at")).select("q", "sg", "m", "at"))
+    open_ = stash(_open(segments))
+    discard(segments)
+    repeats = _expanded(texts, open_.filter(f"kinds <= {MOST_SEGMENTS}"), length)
+    many = open_.filter(f"kinds > {MOST_SEGMENTS}")
+    if many.limit(1).count():
+        alone = _with_text(texts, _by_text(many, ["q", "sg", "m", "first", "windows", "kinds"], unique=False))
+        alone = stash(alone.mapInArrow(trimmed(_single_windows(length)), "w long, w2 long, t1 long, t2 long, start int, q long, sg long, at int, m long"))
+        single = alone.groupBy(F.col("w").alias("q"), F.col("w2").alias("sg")).agg(F.sum("m").alias("m"), F.min(F.struct("t1", "t2", F.col("start").alias("first"), F.lit(1).alias("windows"))).alias("at"))
+        twice = stash(_expanded(texts, stash(_open(stash(single))), length).select(F.col("q").alias("w"), F.col("sg").alias("w2")))
+        repeats = repeats.unionByName(alone.join(twice, ["w", "w2"]).select("q", "sg", "at", F.lit(1).alias("n")).distinct())
     repeats = stash(repeats)
     discard(open_)
     release(docs.sparkSession)
@@ -355,8 +406,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ..
     """columns of every row of docs, with kept (the remaining bytes; with characters, only whole ones at the cuts), n_bytes, n_removed, n_spans and removed (list of (begin, end))."""
     found = repeated_spans(docs, length)
     rows = docs.select(*columns, *text_keys(), F.coalesce("text", F.lit("")).cast("binary").alias("_data"))
-    met = rows.join(found, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left").select(*columns, "_data", "found")
-    kinds = dict(met.dtypes)
+    met = rows.join(found, (rows["_t1"] == found["t1"]) & (rows["_t2"] == found["t2"]), "left").select(*columns, "_data", "found")
     width = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,8 +428,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, columns: tuple[str, ..
                 out = {n: batch.column(i) for i, n in enumerate(columns)}
                 yield _batch(**out, kept=pa.array(kept, pa.binary()), n_bytes=pa.array(map(len, texts), pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(map(len, spans), pa.int64()), removed=pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))))
 
-    fields = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    return met.mapInArrow(trimmed(run), f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<begin: long, end: long>>")
+    span = T.StructType([T.StructField(n, T.LongType()) for n in ("begin", "end")])
+    made = [T.StructField("kept", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("removed", T.ArrayType(span))]
+    return met.mapInArrow(trimmed(run), T.StructType([*[T.StructField(c, met.schema[c].dataType) for c in columns], *made]))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
