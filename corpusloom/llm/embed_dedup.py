@@ -1,11 +1,13 @@
 """Embedding near-dedup by collision-counting projections.
 
 Equal vectors of a label are one class with a weight.  Classes are dealt to blocks by the signs of a
-few random projections, in several tables so that close pairs meet in one with high probability; the
-numbers of signs and tables follow from the largest label's size.  In a block, unit vectors are sorted
-along many more random lines.  A window centred on a query along each line collides with what lies near
-it; a pair that collides on enough lines is verified by its cosine.  The number it must reach is the
-largest one that pairs at the threshold reach with the target recall (binomial).
+few random projections, in several tables, so that a pair at the threshold meets in one of them with the
+same high probability whatever the label's size; each label has signs and tables of its own.  In a block, unit
+vectors are sorted along many more random lines.  A window centred on a query along each line collides with what
+lies near it.  The block is swept in the order of its widest line, in bands that a pair at the threshold leaves with
+a probability of 6e-5; inside a band collisions are counted line by line, and pairs that can't reach the wanted count
+any more are dropped half-way.  That count is the largest one that pairs at the threshold reach with the target
+recall (binomial); pairs that reach it are verified by their cosine.
 
 A block above its size is cut into a grid of parts, every two of which meet once.  A pair that shares
 several tables counts in the first.  Blocks give link counts and spanning links; components are joined
@@ -14,7 +16,8 @@ afterwards, so no list of pairs exists anywhere.
 Vectors that are null, zero, or hold null or non-finite components, and rows without label, link with
 nothing: n_links 0, their own component, kept.  Repeated rows link with each other.  A null id takes
 part but can't name a component (component_id is the smallest id that isn't null).  Vectors of a label
-with different sizes don't link.  Further columns aren't looked at; an empty table gives no rows.
+with different sizes don't link.  Ties in id: every row with the component's id is kept.  Further columns, whatever
+their names, aren't looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,18 +27,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpoint, stash, table
+from corpusloom.llm.common import checkpoint, discard, stash, table
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.topk import usable
 
 THRESHOLD = 0.98
-#: Rows of a block (and of a grid part), lines, half a window in deviations of a pair at the threshold, recalls aimed at.
+#: Rows of a block (and of a grid part), signs in a key at least, lines, those after which hopeless pairs go, half a window and half
+#: a band in deviations of a pair at the threshold, recalls aimed at.
 BLOCK = 2048
+LEAST_SIGNS = 4
 LINES = 24
+DENSE = 12
 WINDOW = 2.0
+BAND = 4.0
 LINE_RECALL = 0.9995
 TABLE_RECALL = 0.997
 SEED = 8
@@ -51,17 +59,59 @@ def needed_collisions(lines: int = LINES, window: float = WINDOW, recall: float
     return 1
 
 
-def table_plan(largest: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """(signs in a key, tables) for labels of up to so many classes."""
-    signs = max(0, math.ceil(math.log2(max(largest, 1) / BLOCK)))
+def signs_for(classes: Column) -> Column:
+    """Signs in a label's keys, for a label of so many classes: buckets of an even spread hold a block."""
+    return F.greatest(F.lit(LEAST_SIGNS), F.ceil(F.log2(classes / BLOCK))).cast("int")
+
+
+def tables_for(signs: int, threshold: float = THRESHOLD) -> int:
+    """Tables in which a pair at the threshold meets with the target recall."""
     meet = (1 - math.acos(threshold) / math.pi) ** signs
-    return signs, 1 if signs == 0 else math.ceil(math.log(1 - TABLE_RECALL) / math.log(1 - meet))
+    return math.ceil(math.log(1 - TABLE_RECALL) / math.log(1 - meet))
 
 
 def directions(n: int, size: int, seed: int) -> np.ndarray:
     return np.random.default_rng([SEED, seed, size]).standard_normal((n, size))
 
 
+def collisions(lines: np.ndarray, half: float, band: float, part: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, k) that collide on enough lines; part: only pairs of different parts count."""
+    n, need = len(lines), needed_collisions()
+    wide = int(np.argmax(lines.std(axis=0)))
+    by = np.argsort(lines[:, wide], kind="stable")
+    lines = lines[by]
+    narrow = np.uint16 if n < 60000 else np.int64
+    rank, low, high = (np.empty(lines.shape, narrow) for _ in range(3))
+    for j in range(LINES):
+        order = np.argsort(lines[:, j], kind="stable")
+        rank[order, j] = np.arange(n)
+        along = lines[order, j]
+        low[:, j] = np.searchsorted(along, lines[:, j] - half, side="left")
+        high[:, j] = np.searchsorted(along, lines[:, j] + half, side="right")
+    reach = np.searchsorted(lines[:, wide], lines[:, wide] + band, side="right")
+    at = 0
+    while at < n:
+        end = min(n, at + max(1, (1 << 21) // max(1, int(reach[at]) - at)))
+        far = int(reach[end - 1])
+        count = np.zeros((end - at, far - at), np.uint8)
+        for j in range(DENSE):
+            # rank within [low, high): one comparison, as unsigned differences wrap
+            count += (rank[None, at:far, j] - low[at:end, None, j]).astype(narrow) < (high[at:end, None, j] - low[at:end, None, j])
+        i, k = np.nonzero(count >= need - (LINES - DENSE))
+        total = count[i, k].astype(np.int64)
+        i, k = i + at, k + at
+        keep = (i < k) & (lines[k, wide] - lines[i, wide] <= band)
+        if part is not None:
+            keep &= part[by[i]] != part[by[k]]
+        i, k, total = i[keep], k[keep], total[keep]
+        for j in range(DENSE, LINES):
+            total += (rank[k, j] >= low[i, j]) & (rank[k, j] < high[i, j])
+            keep = total >= need - (LINES - 1 - j)
+            i, k, total = i[keep], k[keep], total[keep]
+        yield by[i], by[k]
+        at = end
+
+
 def block_links(x: np.ndarray, weight: np.ndarray, codes: np.ndarray, part: np.ndarray, at: int, cross: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """(weight of each row's links in this block, root of each row): pairs of the block whose cosine reaches the threshold.
 
@@ -69,39 +119,16 @@ def block_links(x: np.ndarray, weight: np.ndarray, codes: np.ndarray, part: np.n
     """
     n = len(x)
     length = np.sqrt(np.einsum("ij,ij->i", x, x))
-    unit = x / length[:, None]
-    half = WINDOW * math.sqrt(2 - 2 * threshold)
-    lines = unit @ directions(LINES, x.shape[1], 1).T
-    order = np.argsort(lines, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    low, high = np.empty_like(rank), np.empty_like(rank)
-    for j in range(LINES):
-        along = lines[order[:, j], j]
-        low[:, j] = np.searchsorted(along, lines[:, j] - half, side="left")
-        high[:, j] = np.searchsorted(along, lines[:, j] + half, side="right")
-    need, root, links = needed_collisions(), np.arange(n), np.zeros(n, np.int64)
-    narrow = np.uint16 if n < 60000 else np.int64
-    rank, low, high = rank.astype(narrow), low.astype(narrow), high.astype(narrow)
-    step = max(1, (1 << 22) // max(n, 1))
+    lines = (x / length[:, None]) @ directions(LINES, x.shape[1], 1).T
+    spread = math.sqrt(2 - 2 * threshold)
+    root, links = np.arange(n), np.zeros(n, np.int64)
     firsts, seconds = [], []
-    for s in range(0, n, step):
-        e = min(s + step, n)
-        count = np.zeros((e - s, n), np.uint8)
-        for j in range(LINES):
-            # rank within [low, high): one comparison, as unsigned differences wrap
-            count += (rank[None, :, j] - low[s:e, None, j]).astype(narrow) < (high[s:e, None, j] - low[s:e, None, j])
-        i, k = np.nonzero(count >= need)
-        i += s
-        keep = i < k
-        if cross:
-            keep &= part[i] != part[k]
-        i, k = i[keep], k[keep]
+    for i, k in collisions(lines, WINDOW * spread, BAND * spread, part if cross else None):
         if at and len(i):
             fresh = ~(codes[i, :at] == codes[k, :at]).any(axis=1)  # a pair counts in the first table it shares
             i, k = i[fresh], k[fresh]
-        for a in range(0, len(i), 1 << 18):
-            p, q = i[a : a + (1 << 18)], k[a : a + (1 << 18)]
+        for a in range(0, len(i), 1 << 16):
+            p, q = i[a : a + (1 << 16)], k[a : a + (1 << 16)]
             near = np.einsum("ij,ij->i", x[p], x[q]) / (length[p] * length[q]) >= threshold
             p, q = p[near], q[near]
             np.add.at(links, p, weight[q])
@@ -120,49 +147,71 @@ def block_links(x: np.ndarray, weight: np.ndarray, codes: np.ndarray, part: np.n
     return links, root
 
 
-def _blocks(size: int, signs: int, tables: int, threshold: float):
+def _vectors(batch: pa.RecordBatch, name: str = "embedding") -> tuple[np.ndarray, np.ndarray]:
+    """All components of a list column, and where each row's begin (and the last one's end)."""
+    column = batch.column(batch.schema.get_field_index(name))
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])
+
+
+#: Columns that name a block: label and size, table, key, parts of the grid.
+NAMES = ("l", "t", "key", "i", "j")
+
+
+def _blocks(threshold: float):
+    """Rows (block's names, c, weight, part, keys, embedding) sorted by block -> (c, links, root)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         last = None
 
         def out() -> pa.RecordBatch:
-            c, weight, t, cross, part, x = (np.concatenate(y) for y in zip(*held, strict=True))
+            c, weight, part, codes, x = (np.concatenate(y) for y in zip(*held, strict=True))
             held.clear()
-            links, root = block_links(x, weight, keys(x, signs, tables), part, int(t[0]), bool(cross[0]), threshold)
+            _, t, _, i, j = last
+            links, root = block_links(x, weight, codes, part, int(t), i != j, threshold)
             some = (links > 0) | (root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(links[some]), pa.array(c[root][some])], names=["c", "links", "root"])
 
         for batch in batches:
-            block = batch.column(0).to_numpy()
-            c, weight, t, cross, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
-            x = batch.column(6).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
-            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            if not batch.num_rows:
+                continue
+            names = np.stack([column_numbers(batch, n) for n in NAMES], axis=1)
+            c, weight, part = (column_numbers(batch, n) for n in ("c", "weight", "part"))
+            (x, at), (codes, code_at) = _vectors(batch), _vectors(batch, "keys")
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e > s:
-                    if last is not None and block[s] != last:
-                        yield out()
-                    last = block[s]
-                    held.append(tuple(y[s:e] for y in (c, weight, t, cross, part, x)))
+                if last is not None and held and tuple(names[s]) != last:
+                    yield out()
+                last = tuple(names[s])
+                held.append((c[s:e], weight[s:e], part[s:e], codes[code_at[s] : code_at[e]].reshape(e - s, -1), x[at[s] : at[e]].reshape(e - s, -1)))
         if held:
             yield out()
 
     return run
 
 
+def column_numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
 def keys(x: np.ndarray, signs: int, tables: int) -> np.ndarray:
     """(rows, tables): the signs of each table's projections as a number."""
-    if not signs:
-        return np.zeros((len(x), tables), np.int64)
     bits = (x @ directions(signs * tables, x.shape[1], 2).T >= 0).reshape(len(x), tables, signs)
     return bits @ (1 << np.arange(signs, dtype=np.int64))
 
 
-def _table_keys(size: int, signs: int, tables: int):
+def _table_keys(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(batch.schema.get_field_index("embedding")).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
-            k = keys(x, signs, tables)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k.tolist(), pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
+            (x, at), signs = _vectors(batch), column_numbers(batch, "signs")
+            found: list[list[int]] = [[]] * batch.num_rows
+            sizes = np.diff(at)
+            for size, s in {*zip(sizes.tolist(), signs.tolist(), strict=True)}:
+                mine = np.flatnonzero((sizes == size) & (signs == s))
+                for row, k in zip(mine.tolist(), keys(x[at[mine][:, None] + np.arange(size)], s, tables_for(s, threshold)).tolist(), strict=True):
+                    found[row] = k
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
 
     return run
 
@@ -172,31 +221,24 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nonzero = F.exists("embedding", lambda x: x != 0)
     rows = vectors.select("vec_id", "embedding", "label", F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(7), "label", "embedding").alias("h2"), F.coalesce(usable() & nonzero & F.col("label").isNotNull(), F.lit(False)).alias("ok"))
     classes = rows.filter("ok").groupBy("h1", "h2").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first_id"), F.first("embedding").alias("embedding"), F.first("label").alias("label"))
-    classes = stash(classes.withColumn("c", F.monotonically_increasing_id()))
-    by_label = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    signs, tables = table_plan(by_label, threshold)
-    parts: DataFrame | None = None
-    for size in [r[0] for r in classes.select(F.size("embedding")).distinct().collect()]:  # vector sizes, normally one
-        mine = classes.filter(F.size("embedding") == size).select("c", "weight", "label", "embedding")
-        keyed = mine.mapInArrow(_table_keys(size, signs, tables), ", ".join(f"{n} {t}" for n, t in mine.dtypes) + ", keys array<long>")
-        dealt = keyed.select("c", "weight", "label", "embedding", F.posexplode("keys").alias("t", "key"))
-        sizes = dealt.groupBy("label", "t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-        met = dealt.join(sizes, ["label", "t", "key"])
-        n_parts = F.ceil(F.col("n") / (2 * BLOCK)).cast("long")
-        own = F.pmod(F.xxhash64("c"), n_parts)
-        grid = F.transform(F.sequence(F.lit(0).cast("long"), n_parts - 1), lambda p: F.struct(F.least(own, p).alias("i"), F.greatest(own, p).alias("j")))
-        met = met.withColumn("part", own).withColumn("g", F.explode(grid))
-        met = met.select(F.xxhash64("label", "t", "key", "g.i", "g.j").alias("block"), "c", "weight", "t", (F.col("g.i") != F.col("g.j")).alias("cross"), "part", "embedding")
-        found = met.repartition("block").sortWithinPartitions("block", "c").mapInArrow(_blocks(size, signs, tables, threshold), "c long, links long, root long")
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    parts = stash(parts)
+    classes = stash(classes.withColumns({"c": F.monotonically_increasing_id(), "size": F.size("embedding")}))
+    labels = stash(classes.groupBy("label", "size").agg(signs_for(F.count("*")).alias("signs")).withColumn("l", F.monotonically_increasing_id()))
+    mine = classes.join(labels, ["label", "size"]).select("l", "signs", "c", "weight", "embedding")
+    keyed = stash(mine.mapInArrow(_table_keys(threshold), ", ".join(f"{n} {t}" for n, t in mine.dtypes) + ", keys array<long>"))
+    # written down, so that the join has a shuffle of its own on both sides and adaptive execution can split a hot bucket
+    buckets = stash(keyed.select("l", F.posexplode("keys").alias("t", "key")).groupBy("l", "t", "key").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = keyed.select("l", "c", "weight", "embedding", "keys", F.posexplode("keys").alias("t", "key")).join(buckets, ["l", "t", "key"])
+    n_parts = F.ceil(F.col("n") / (2 * BLOCK)).cast("long")
+    met = met.withColumn("part", F.pmod(F.xxhash64("c"), n_parts))
+    grid = F.transform(F.sequence(F.lit(0).cast("long"), n_parts - 1), lambda p: F.struct(F.least("part", p).alias("i"), F.greatest("part", p).alias("j")))
+    met = met.withColumn("g", F.explode(grid)).select("l", "t", "key", "g.i", "g.j", "c", "weight", "part", "keys", "embedding")
+    parts = stash(met.repartition(*NAMES).sortWithinPartitions(*NAMES, "c").mapInArrow(_blocks(threshold), "c long, links long, root long"))
+    discard(keyed, buckets, labels)
     links = parts.groupBy("c").agg(F.sum("links").alias("links"))
     roots = connected_components(parts.select(F.col("c").alias("a"), F.col("root").alias("b")))
     named = classes.select("h1", "h2", "c", "weight", "first_id").join(links, "c", "left").join(roots.withColumnRenamed("node", "c"), "c", "left")
     named = checkpoint(named.select("h1", "h2", "first_id", F.coalesce("root", "c").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
-    ids = named.groupBy("root").agg(F.min("first_id").alias("id"))
+    ids = checkpoint(named.groupBy("root").agg(F.min("first_id").alias("id")))
     named = named.join(ids, "root").select("h1", "h2", "n_links", "id", F.lit(True).alias("ok"))
     met = rows.select("vec_id", "h1", "h2", "ok").join(named, ["h1", "h2", "ok"], "left")
     component = F.when(F.col("ok"), F.col("id")).otherwise(F.col("vec_id"))
