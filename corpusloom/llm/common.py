@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a local one only where none is set (tests)."""
+    """Use the folder the cluster names; a folder of this machine only where driver and executors are one process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = os.path.join(tempfile.gettempdir(), "checkpoints")
     sc.setCheckpointDir(named)
 
@@ -60,8 +62,15 @@ def group_slices(keys) -> Iterator[tuple[int, int]]:
         yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True)
 
 
+#: Paths of the tables that stash() has written and nothing has deleted.
+_stashed: set[str] = set()
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """Write a table between phases as Parquet in the shared checkpoint folder and read it back: compact, and it cuts lineage."""
+    """Write a table between phases as Parquet in the shared checkpoint folder and read it back: compact, and it cuts lineage.
+
+    Results are lazy and may read stashed tables until they are written; whoever has written them calls sweep().
+    """
     import uuid
 
     spark = df.sparkSession
@@ -70,15 +79,34 @@ def stash(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(where)
     back = spark.read.schema(df.schema).parquet(where)
     back._stash = where
+    _stashed.add(where)
     return back
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _stashed.discard(where)
+
+
 def discard(*stashed: DataFrame) -> None:
     """Delete stashed tables that nothing will read again."""
     for df in stashed:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._stash)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(df.sparkSession, df._stash)
+
+
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete every stashed table but those of keep: once a result is written, nothing reads what led to it."""
+    for where in _stashed - {df._stash for df in keep}:
+        _delete(spark, where)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores before it as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def release(spark: SparkSession) -> None:

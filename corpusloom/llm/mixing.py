@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
 Each source's words stand in one long row (documents in a hashed order), cut into blocks of a
-fixed number of words: 64, and fewer for a source of under 64 * 64 words, so that every target can be
-met to about a hundredth.  The mix is a number of output shards of a fixed number of slots.  Each
+fixed number of words: 64, and fewer for a source of under 128 * 64 words, so that every target can be
+met to about a hundredth.  Words left over go to the first blocks, one each.  The mix is a number of output shards of a fixed number of slots.  Each
 shard draws a multinomial count of slots for every source, with the sources' open slots as weights, so
 that the last shard ends on the targets.  Shards are drawn in stretches: a first draw deals the slots of
 whole stretches, and the shards of each stretch are then drawn in a task of their own.  Slot i of
@@ -28,19 +28,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import WORD_PATTERN, checkpoint, table, text_keys
 
 #: Words in a block at most, blocks that a source should have, slots in an output shard, shards of a stretch, passes over a source at most, seed of every draw.
 BLOCK = 64
-LEAST_BLOCKS = 64
+LEAST_BLOCKS = 128
 SHARD = 8192
 STRETCH = 1024
 PASSES = 3
 SEED = 20
-#: Rows that one bucket of the running totals should hold, copies of a row that are laid out together.
+#: Rows that one bucket of the running totals should hold, copies of a row that are laid out together and cut together.
 BUCKET_ROWS = 1000
 COPIES = 4096
+TAKEN_TOGETHER = 64
 
 
 def word_count(text: Column) -> Column:
@@ -195,21 +197,26 @@ def drawn_blocks(draws: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per stretch of a document and block it lies in: the document's keys, from and to (its own words), times (the block's slots in the mix)."""
     sized = checkpoint(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *text_keys()))
-    goals = checkpoint(targets(sized).withColumn("width", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long")))
+    widest = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / LEAST_BLOCKS)))
+    goals = targets(sized).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / widest)).cast("long"))
+    # the first "wider" blocks have a word more than width
+    goals = checkpoint(goals.withColumn("width", F.expr("source_size div n_blocks")).withColumn("wider", F.col("source_size") - F.col("n_blocks") * F.col("width")))
     n_rows = sized.count()
-    n_blocks = F.ceil(F.col("source_size") / F.col("width")).cast("long")
+    n_blocks = F.col("n_blocks")
     # blocks to take: the target in blocks of the source's mean length, never more than the passes hold
     slots = F.least(F.round(F.col("target") * n_blocks / F.col("source_size")).cast("long"), n_blocks * PASSES)
-    plan = goals.filter("source_size > 0").select("rank", n_blocks.alias("n_blocks"), slots.alias("n_slots"))
+    plan = goals.filter("source_size > 0").select("rank", "n_blocks", slots.alias("n_slots"))
     times = drawn_blocks(shard_draws(plan)).groupBy("rank", "block").agg(F.count("*").alias("times"))
     known = sized.join(goals, sized.source.eqNullSafe(goals.source)).drop(goals.source)
     rows = laid_out(known, n_rows)
-    last = F.greatest(F.col("start"), F.col("start") + F.col("size") - 1)
-    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("width")).cast("long"), F.floor(last / F.col("width")).cast("long"))))
+    rows = rows.withColumn("last", F.greatest(F.col("start"), F.col("start") + F.col("size") - 1))
+    block_of = lambda at: F.expr(f"if({at} < wider * (width + 1), {at} div (width + 1), wider + ({at} - wider * (width + 1)) div greatest(width, 1L))")
+    rows = rows.withColumn("block", F.explode(F.sequence(block_of("start"), block_of("last"))))
     # the planner sees the drawn blocks come from a few rows and would broadcast them; they grow with the corpus
     met = rows.join(times.hint("merge"), ["rank", "block"], "left")
-    begin = F.col("block") * F.col("width") - F.col("start")
-    return met.select("doc_id", "_t1", "_t2", "source", "rank", "copy", "start", "size", "source_size", "target", F.greatest(F.lit(0), begin).alias("from"), F.least(F.col("size"), begin + F.col("width")).alias("to"), F.coalesce("times", F.lit(0)).alias("times"))
+    begin = F.col("block") * F.col("width") + F.least("block", "wider") - F.col("start")
+    end = begin + F.col("width") + (F.col("block") < F.col("wider")).cast("long")
+    return met.select("doc_id", "_t1", "_t2", "source", "rank", "copy", "start", "size", "source_size", "target", F.greatest(F.lit(0), begin).alias("from"), F.least(F.col("size"), end).alias("to"), F.coalesce("times", F.lit(0)).alias("times"))
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
@@ -236,31 +243,34 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def documents_of(docs: DataFrame) -> DataFrame:
-    """The mix as documents: for each pass a row with the words that the pass takes of the document."""
+    """The mix as documents, with all columns of docs: for each pass a row with the words that the pass takes of the document."""
     pieces = mix(docs).filter("times > 0 and to > from").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     spans = pieces.groupBy("doc_id", "_t1", "_t2", "source", "copy", "turn").agg(F.collect_list(F.struct(F.col("from").alias("f"), F.col("to").alias("t"))).alias("spans"))
-    per_doc = spans.groupBy("doc_id", "_t1", "_t2", "source").agg(F.collect_list("spans").alias("takes"))
-    keyed = docs.select("doc_id", "text", "lang", "source", *text_keys())
+    # a row of a repeated document holds the takes of so many of its copies
+    per_doc = spans.groupBy("doc_id", "_t1", "_t2", "source", F.floor(F.col("copy") / TAKEN_TOGETHER).alias("part")).agg(F.collect_list("spans").alias("takes")).drop("part")
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    # the other columns travel as one struct, so none of them can clash with those added here
+    keyed = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), *text_keys())
     one = Window.partitionBy("_t1", "_t2", "doc_id", "source").orderBy(F.lit(1))
     keyed = keyed.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
     p = per_doc.select(*[F.col(c).alias(f"p{c}") for c in per_doc.columns])
     met = keyed.join(p, (F.col("_t1") == F.col("p_t1")) & (F.col("_t2") == F.col("p_t2")) & F.col("doc_id").eqNullSafe(F.col("pdoc_id")) & F.col("source").eqNullSafe(F.col("psource")))
-    kind = dict(docs.dtypes)
+    made = T.StructType([met.schema["_row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts, takes = part.column(1).to_pylist(), part.column(4).to_pylist()
+                texts, takes = part.column(1).to_pylist(), part.column(2).to_pylist()
                 rows, out = [], []
                 for i, (text, ways) in enumerate(zip(texts, takes, strict=True)):
                     for way in ways:
                         rows.append(i)
                         out.append(cut_words(text or "", [(x["f"], x["t"]) for x in way]))
-                picked = part.select([0, 2, 3]).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([picked.column(0), pa.array(out, pa.string()), picked.column(1), picked.column(2), pa.array(map(len, out), pa.int64())], names=["doc_id", "text", "lang", "source", "n_chars"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["_row", "text", "n_chars"])
 
-    return met.select("doc_id", "text", "lang", "source", "ptakes").mapInArrow(run, f"doc_id {kind['doc_id']}, text string, lang {kind['lang']}, source {kind['source']}, n_chars long")
+    mixed = met.select("_row", "text", "ptakes").mapInArrow(run, made)
+    return mixed.select(*[F.col(f"_row.`{c}`") if c in rest else F.col(c) for c in docs.columns])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ through a logistic curve fitted to the rows put aside.
 Fitting takes a bounded sample of labelled rows; scoring sees every row and whole texts.
 
 Nulls: null and empty texts have all-zero counts and get that row's score.  Null labels don't teach.
-A null id is held out of nothing and taught from never.  Repeated rows score alike, further columns are
+A null id never teaches, and held_out is false for it.  Repeated rows score alike, ties in the sample's order go
+by id, text and label, texts of any length are scored whole, further columns are
 carried through, an empty table gives no rows.  With labels of one class only, every score is that
 class's share, smoothed.
 """

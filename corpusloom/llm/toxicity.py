@@ -12,8 +12,9 @@ that its language's threshold comes to 0.7.
 Fitting takes a bounded sample of labelled rows, chosen by a hash of the id, to one executor; the
 fitted model (a few MB at most) is shared with the scoring tasks.  Scoring sees every row.
 
-Nulls: null and empty texts are scored like a text without words.  Null labels don't teach.  A null
-id is held out of fitting (its remainder is null, held_out is false).  Repeated rows score alike,
+Nulls: null and empty texts are scored like a text without words.  Null labels don't teach, nor do rows
+with a null id; the query's held_out is false for them, as their remainder is null.  Repeated rows score alike, ties in
+the sample's order go by id, text and label,
 texts of any length are scored whole, further columns are carried by score(), an empty table gives
 no rows.  With labels of one class only, every score is that class's share, smoothed.
 """
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches, table, trimmed
+from corpusloom.llm.common import free_name, small_batches, table, trimmed
 
 BUCKETS = 1 << 15
 #: Buckets of a word at most: itself, six beginnings, two ends.
@@ -38,8 +39,9 @@ PARTS = 9
 DIMENSIONS = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
-#: Labelled rows that fitting takes at most, and training texts a word must be in to have its own embedding.
+#: Labelled rows and bytes of text that fitting takes at most, and training texts a word must be in to have its own embedding.
 SAMPLE = 6000
+SAMPLE_BYTES = 192 << 20
 LEAST_TEXTS = 3
 STEPS = 500
 BATCH = 48
@@ -315,9 +317,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str, fitter: Callable[[lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str | None] = []
         y: list[int] = []
+        room = SAMPLE_BYTES
         for b in batches:
-            texts += b.column(0).to_pylist()
-            y += b.column(1).to_pylist()
+            for text, label in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                room -= len((text or "").encode("utf-8", "surrogatepass"))
+                if room >= 0:  # whole texts, until the first that would go beyond the bound
+                    texts.append(text)
+                    y.append(label)
         yield pa.RecordBatch.from_arrays([pa.array([fitter(texts, np.array(y, np.int64))], pa.binary())], names=["model"])
 
     got = rows.select("text", "label").coalesce(1).mapInArrow(trimmed(run), "model binary").collect()
@@ -328,9 +334,10 @@ def _fit_bytes(texts: list[str | None], labels: np.ndarray) -> bytes:
     return fit(texts, labels).to_bytes()
 
 
-def score(docs: DataFrame, model: bytes, scorer: Callable[[bytes, list], np.ndarray] | None = None) -> DataFrame:
-    """docs with the column score (in place of one of that name); every other column is carried through."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: bytes, scorer: Callable[[bytes, list], np.ndarray] | None = None, name: str = "score") -> DataFrame:
+    """docs with the score as a column of that name, which docs must not have; every other column is carried through."""
+    if free_name(docs, name) != name:
+        raise ValueError(f"docs has a column {name} of its own: name the score otherwise")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scorer = scorer or (lambda data, texts: _model(data).scores(texts))
@@ -346,10 +353,10 @@ def score(docs: DataFrame, model: bytes, scorer: Callable[[bytes, list], np.ndar
             at = batch.schema.get_field_index("text")
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer(shared.value, part.column(at).to_pylist()), pa.float64())], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer(shared.value, part.column(at).to_pylist()), pa.float64())], names=[*part.schema.names, name])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(trimmed(run), f"{fields}, score double")
+    return docs.mapInArrow(trimmed(run), f"{fields}, `{name}` double")
 
 
 def remainder(modulus: int):
