@@ -247,3 +247,17 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op8_embed_dedup(spark, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "embeddings"))
+
+
+#: Every pair of a label compared; equal to the search where that finds all pairs, as it does on small tables.
+OP8_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+    coalesce(label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok FROM embeddings
+), good AS (SELECT r, vec_id, label, len(e) AS size, list_resize(e, (SELECT max(len(e)) FROM v WHERE ok), 0.0) AS e FROM v WHERE ok),
+links AS (SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND a.size = b.size AND a.r <> b.r WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= {THRESHOLD}),
+reach(a, b) AS (SELECT r, r FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+counted AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN named USING (r) LEFT JOIN counted USING (r)
+"""

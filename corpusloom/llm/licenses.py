@@ -178,3 +178,23 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
 
 def op1_licenses(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).select("doc_id", "license", "containment", "first_word")
+
+
+def oracle(templates: dict[str, str] | None = None) -> str:
+    """DuckDB SQL for op1: every place of every text tried, by the words themselves."""
+    listed = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in sorted((templates or TEMPLATES).items()))
+    words = lambda text: f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    shingles = lambda w: f"list_transform(range(greatest(0, len({w}) - {SHINGLE - 1})), lambda i: array_to_string({w}[i + 1:i + {SHINGLE}], ' '))"
+    return f"""
+WITH t AS (SELECT license, {shingles('w')} AS s FROM (SELECT license, {words('text')} AS w FROM (VALUES {listed}) v(license, text))),
+ts AS (SELECT license, unnest(list_distinct(s)) AS shingle FROM t), tn AS (SELECT license, len(s) AS n, len(list_distinct(s)) AS kinds FROM t),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words('text')} AS w FROM documents),
+h AS (SELECT r, doc_id, unnest({shingles('w')}) AS shingle, generate_subscripts({shingles('w')}, 1) - 1 AS i FROM d),
+m AS (SELECT r, doc_id, license, i, shingle, n, kinds FROM h JOIN ts USING (shingle) JOIN tn USING (license)),
+p AS (SELECT r, doc_id, license, shingle, kinds, unnest(range(greatest(0, i - n + 1), i + 1)) AS at_word FROM m),
+c AS (SELECT r, doc_id, license, at_word, count(DISTINCT shingle) / any_value(kinds) AS containment FROM p GROUP BY r, doc_id, license, at_word),
+b AS (SELECT *, row_number() OVER (PARTITION BY r, license ORDER BY containment DESC, at_word) AS place FROM c WHERE containment >= {CONTAINMENT})
+SELECT doc_id, license, containment, at_word AS first_word FROM b WHERE place = 1"""
+
+
+OP1_SQL = oracle()

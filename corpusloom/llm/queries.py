@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.OP6_SQL}
+    return {"op1_licenses": licenses.OP1_SQL, "op2_suffix_dedup": suffix_dedup.OP2_SQL, "op6_topk": topk.OP6_SQL, "op8_embed_dedup": embed_dedup.OP8_SQL}

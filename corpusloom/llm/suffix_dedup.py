@@ -437,6 +437,19 @@ def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
+#: The same by counting every string of 200 bytes: as hexadecimal text, two digits a byte.
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS k FROM (SELECT r, h, unnest(range(length(h) // 2 - {LENGTH - 1})) AS i FROM d)),
+starts AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+fresh AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM starts),
+runs AS (SELECT r, min(i) AS b, max(i) + {LENGTH} AS e FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM fresh) GROUP BY r, run),
+sides AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS before FROM runs),
+kept AS (SELECT r, sum(e - b) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) || any_value(substr(h, 2 * last + 1)) AS rest
+  FROM sides JOIN (SELECT r, max(e) AS last FROM runs GROUP BY r) USING (r) JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
     """(n_bytes, n_removed, n_spans, kept_sha256) by counting every window; for tests."""
