@@ -187,32 +187,6 @@ def math_density(df: DataFrame, text: str) -> DataFrame:
     return df.select("doc_id", F.when(_some_mathematics(text), F.col(text)).alias("_text")).mapInArrow(run, f"doc_id {kind}, density double, structure_lost boolean")
 
 
-def reviewed_spans(spans: DataFrame, rewrites: DataFrame) -> DataFrame:
-    """spans (doc_id, span, text, ...) with applied and result: a rewrite (doc_id, span, rewritten) is taken if it keeps every letter and digit.
-
-    The guard compares multisets: the sorted letters, digits and Greek letters of both sides.
-    """
-    met = spans.join(rewrites, ["doc_id", "span"], "left")
-    good = F.coalesce(alphanumerics(F.col("text")) == latex_alphanumerics(F.col("rewritten")), F.lit(False))
-    return met.withColumn("applied", good).withColumn("result", F.when(good, F.col("rewritten")).otherwise(F.col("text"))).drop("rewritten")
-
-
-def alphanumerics(c: Column) -> Column:
-    """Sorted letters, digits and Greek letters of a text."""
-    return F.array_sort(F.regexp_extract_all(c, F.lit("([A-Za-z0-9Ͱ-Ͽ])"), F.lit(1)))
-
-
-#: LaTeX commands and the letters they stand for.
-GREEK = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "theta": "θ", "lambda": "λ", "mu": "μ", "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "phi": "φ", "omega": "ω", "Delta": "Δ", "Sigma": "Σ", "Omega": "Ω"}
-
-
-def latex_alphanumerics(c: Column) -> Column:
-    """alphanumerics() of LaTeX: Greek commands are the letters they stand for, other commands none."""
-    for name, letter in GREEK.items():
-        c = F.regexp_replace(c, f"\\\\{name}(?![A-Za-z])", letter)
-    return alphanumerics(F.regexp_replace(c, "\\\\[A-Za-z]+", ""))
-
-
 def wants_math_format(density: Column, reviewer: Column, least: float = 0.08) -> Column:
     """Whether a page goes to the reviewer for its mathematics."""
     return F.coalesce((density >= least) & reviewer, F.lit(False))

@@ -333,3 +333,39 @@ def html_title(html: str) -> str:
 @F.pandas_udf(T.StringType())
 def to_markdown(html: pd.Series) -> pd.Series:
     return html.map(lambda h: None if h is None else html_markdown(h))
+
+
+#: Where a live script keeps its paragraphs.
+LIVE_SCRIPT = "matlab/document.xml"
+
+
+def script_paragraphs(files: DataFrame) -> DataFrame:
+    """(path, n, code, text): the paragraphs of live scripts (path, content) in order; what is no live script has none."""
+
+    def expand(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content or b"")).read(LIVE_SCRIPT))
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            return
+        for n, paragraph in enumerate(x for x in root.iter() if _local(x.tag) == "p"):
+            styles = [v for s in paragraph.iter() if _local(s.tag) == "pStyle" for k, v in s.attrib.items() if _local(k) == "val"]
+            yield path, n, bool(styles) and styles[0].lower() == "code", "".join(t.text or "" for t in paragraph.iter() if _local(t.tag) == "t")
+
+    run, schema = _rows("path string, n int, code boolean, text string", ["path", "n", "code", "text"], expand, [pa.string(), pa.int32(), pa.bool_(), pa.string()])
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def live_scripts(paragraphs: DataFrame) -> DataFrame:
+    """(path, md) from script_paragraphs(): neighbouring code paragraphs are one fenced block, prose stands between.
+
+    Islands of code by a running count of the other paragraphs.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("path").orderBy("n")
+    rows = paragraphs.withColumn("_island", F.when(F.col("code"), F.sum((~F.col("code")).cast("int")).over(w)).otherwise(-1 - F.col("n")))
+    blocks = rows.groupBy("path", "_island", "code").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", "text"))).alias("t"))
+    text = F.array_join(F.transform("t", lambda x: x["text"]), "\n")
+    block = F.when(F.col("code"), script_block(text)).otherwise(F.trim(text))
+    listed = blocks.withColumn("b", block).filter("b <> ''").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "b"))).alias("b"))
+    return listed.select("path", F.concat(F.lit("## "), F.regexp_extract("path", "([^/]*)$", 1), F.lit("\n\n"), F.array_join(F.transform("b", lambda x: x["b"]), "\n\n"), F.lit("\n")).alias("md"))

@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from corpusloom.plans import data_queries, more_queries, text_queries
+from corpusloom.plans import data_queries, file_queries, job_queries, more_queries, page_queries, text_queries
 from corpusloom.plans.catalog import REGISTRY, Query, query
 
-__all__ = ["REGISTRY", "Query", "data_queries", "more_queries", "query", "text_queries"]
+__all__ = ["REGISTRY", "Query", "data_queries", "file_queries", "job_queries", "more_queries", "page_queries", "query", "text_queries"]
