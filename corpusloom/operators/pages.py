@@ -148,6 +148,25 @@ def with_ocr(documents: DataFrame, pages: DataFrame) -> DataFrame:
     return documents.join(body, "doc", "left").withColumn("md", F.when(F.col("_ocr").isNull(), F.coalesce("md", F.lit(""))).otherwise(F.concat(base, F.when(base != "", "\n\n").otherwise(""), F.col("_ocr")))).drop("_ocr")
 
 
+def composed(pages: DataFrame, read: DataFrame, tables: DataFrame) -> DataFrame:
+    """(doc, md, from_ocr, with_table) from native pages (doc, page, text), read ones (doc, page, text) and tables (doc, page, table).
+
+    A page that was read replaces the native one, and its tables too.
+    """
+    met = pages.join(read.withColumnRenamed("text", "_read"), ["doc", "page"], "left").join(tables.join(read, ["doc", "page"], "left_anti"), ["doc", "page"], "left")
+    line = F.concat(F.lit("## Page "), F.col("page").cast("string"), F.lit("\n"), F.coalesce("_read", "text"), F.coalesce(F.concat(F.lit("\n"), "table"), F.lit("")))
+    listed = met.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", line.alias("line")))).alias("l"), F.count("_read").alias("from_ocr"), F.count("table").alias("with_table"))
+    return listed.select("doc", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("md"), "from_ocr", "with_table")
+
+
+def spliced(pages: DataFrame, edits: DataFrame) -> DataFrame:
+    """(doc, md): documents from their pages (doc, page, text) with the pages that edits (doc, page, edited) replaces; empty edits count."""
+    met = pages.join(edits, ["doc", "page"], "left")
+    line = F.concat(F.lit("## Page "), F.when(F.col("edited").isNotNull(), F.concat(F.col("page").cast("string"), F.lit("\n"), F.col("edited"))).otherwise(F.col("text")))
+    listed = met.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", line.alias("line")))).alias("l"))
+    return listed.select("doc", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("md"))
+
+
 def page_context(section: Column) -> Column:
     """(prefix, tail) around a page's OCR text: what stands before its heading, and from the next heading on."""
     cut = r"(?sm)\A(.*?)^### OCR\b[^\n]*\n(.*)\z"

@@ -64,6 +64,69 @@ def order_by_cost(files: DataFrame) -> DataFrame:
     return held.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("place", (F.col("_before") + F.col("_inside")).cast("long")).drop("_k", "_range", "_before", "_inside")
 
 
+def indexed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with name: each row's place from 0 by order, over as many tasks as there are partitions.
+
+    Rows are sorted by ranges; a place is the one in the row's partition plus the rows of the partitions before.
+    """
+    ordered = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    ordered = ordered.withColumns({"_p": F.shiftright("_id", 33), "_i": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
+    counts = ordered.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a partition
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return ordered.join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_before")).cast("long")).drop("_p", "_i", "_before")
+
+
+def indexed_within(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """rows with name: each row's place from 0 within key by order; a key with very many rows is sorted in many tasks."""
+    placed = indexed(rows, [key, *order], name)
+    first = placed.groupBy(key).agg(F.min(name).alias("_first"))
+    met = placed.join(first, placed[key].eqNullSafe(first[key])).drop(first[key])
+    return met.withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+
+
+def running_max(rows: DataFrame, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """rows with name: the largest value up to and with the row, by a whole number order; nulls don't count.
+
+    Stretches of numbers have their maxima, which are carried on over stretches of stretches until one task holds them.
+    """
+    rows = rows.withColumn("_s", F.floor(F.col(order) / width))
+    tops = rows.groupBy("_s").agg(F.max(value).alias("_top"))
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    if tops.count() > width:
+        seen = running_max(tops, "_s", "_top", "_seen", width)
+        # the maximum before a stretch is the one up to the stretch before it that there is
+        wide = seen.withColumn("_g", F.floor(F.col("_s") / width))
+        inside = Window.partitionBy("_g").orderBy("_s")
+        edge = wide.groupBy("_g").agg(F.max("_seen").alias("_last"))
+        edge = edge.withColumn("_earlier", F.max("_last").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+        tops = wide.join(edge, "_g").select("_s", F.coalesce(F.lag("_seen").over(inside), "_earlier").alias("_before"))
+    else:
+        tops = tops.select("_s", F.max("_top").over(before).alias("_before"))
+    own = F.max(value).over(Window.partitionBy("_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_own", own).join(tops, "_s").withColumn(name, F.greatest("_own", "_before")).drop("_s", "_own", "_before")
+
+
+def page_route(forced: Column, needs_ocr: Column, has_tables: Column) -> Column:
+    """How a page is read: natively, by the text engine (its tables stay), or by the vision model."""
+    return F.when(forced, "vision").when(~needs_ocr, "native").when(has_tables, "tesseract").otherwise("vision")
+
+
+def pdf_kind(scanned: Column, pages: Column) -> Column:
+    """A PDF counts as scanned if more than half of its pages are."""
+    return F.when(scanned * 2 > pages, "scanned").otherwise("text")
+
+
+def late_dropped(events: DataFrame, order: str, ts: str, late: str) -> DataFrame:
+    """Events that aren't further behind the latest one before them than late (an interval)."""
+    return running_max(events, order, ts, "_latest").filter(F.col(ts) >= F.col("_latest") - F.expr(f"INTERVAL {late}")).drop("_latest")
+
+
+def fallback_steps(pages: DataFrame, key: str, order: list[str], count: str) -> DataFrame:
+    """pages with delta: by how much a counter has risen since the page before; the first page's whole count."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return pages.withColumn("delta", F.col(count) - F.coalesce(F.lag(count).over(w), F.lit(0)))
+
+
 def timeout_budget(planned: Column, floor: Column) -> Column:
     """No floor, no budget."""
     return F.when(floor > 0, F.greatest(floor, planned * SAFETY))
@@ -129,8 +192,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def fuzzy_score(q: str, id_: Column, name: Column) -> Column:
-    """Prefix, then place in the name, then in the id, then letters in order: null for no match."""
+def fuzzy_score(q: str, id_: Column, name: Column, preferred: Column | None = None) -> Column:
+    """Prefix, then place in the name, then in the id, then letters in order: null for no match; preferred ones get a little more."""
+    more = F.lit(0.0) if preferred is None else F.when(preferred, 500.0).otherwise(0.0)
+    return _fuzzy_tiers(q, id_, name) + more
+
+
+def _fuzzy_tiers(q: str, id_: Column, name: Column) -> Column:
     q = q.lower()
     n, i = F.lower(name), F.lower(id_)
     # letters in order: a fold over the id's characters with the next letter wanted, the score and the run so far

@@ -173,6 +173,20 @@ def csv_block(rows: Column) -> Column:
     return F.concat(F.lit("```csv\n"), F.regexp_replace(lines, r"\s+\z", ""), F.lit("\n```"))
 
 
+def real_tables(cells: DataFrame, areas: DataFrame | None = None) -> DataFrame:
+    """(table_id, fill, populated) of cells (table_id, r, c, text) that make a table worth keeping.
+
+    Two rows and two columns with two filled cells each, half of the cells filled, no cell that holds a paragraph, and, where
+    areas (table_id, ratio) tells it, no more than four fifths of the page.
+    """
+    cols = cells.groupBy("table_id", "c").agg(F.count_if(F.col("text") != "").alias("filled"), F.count("*").alias("n"), F.max(F.length("text")).alias("longest"))
+    by = cols.groupBy("table_id").agg((F.sum("filled") / F.sum("n")).alias("fill"), F.count_if(F.col("filled") >= 2).alias("populated"), F.max("n").alias("rows"), F.max("longest").alias("longest"))
+    good = by.filter((F.col("rows") >= 2) & (F.col("fill") >= 0.5) & (F.col("populated") >= 2) & (F.col("longest") <= 200))
+    if areas is not None:
+        good = good.join(areas.filter("ratio > 0.8"), "table_id", "left_anti")
+    return good.select("table_id", "fill", "populated")
+
+
 def column_letters(col: Column) -> Column:
     """A, B, ... Z, AA, ... for a column's number from 1; up to three letters, as sheets have."""
     letter = lambda n: F.char(F.lit(65) + n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import parsers, planning
+from corpusloom.operators import jobs, parsers, planning, review, sheets
 from corpusloom.plans.catalog import query
 from corpusloom.sources.tables import table
 
@@ -53,19 +53,16 @@ def dedupe_checksum(spark, sf_dir):
     return _files(spark, sf_dir).groupBy("checksum").agg(F.min("path").alias("kept"), F.count("*").alias("copies"))
 
 
-@query("lpt_order", f"WITH {FILES} SELECT doc_id, weight, row_number() OVER (ORDER BY weight DESC, doc_id) AS place FROM (SELECT doc_id, scanned * CAST(8 AS DOUBLE) + figures * CAST(4 AS DOUBLE) AS weight FROM files) ORDER BY place LIMIT 100")
-def lpt_order(spark, sf_dir):
-    """The hundred costliest files first: a top-k report."""
-    files = _files(spark, sf_dir).select("doc_id", planning.weight(F.col("scanned"), F.col("figures"), F.lit(False)).alias("weight"))
-    top = files.orderBy(F.desc("weight"), "doc_id").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weight"), "doc_id")).cast("long"))
+_WEIGHTS = "w AS (SELECT path, scanned * CAST(8 AS DOUBLE) + figures * CAST(4 AS DOUBLE) AS weight FROM files WHERE doc_id % 10 > 0)"
 
 
-@query("lpt_places", f"WITH {FILES} SELECT doc_id, weight, row_number() OVER (ORDER BY weight DESC, path) AS place FROM (SELECT doc_id, path, scanned * CAST(8 AS DOUBLE) + figures * CAST(4 AS DOUBLE) AS weight FROM files)")
-def lpt_places(spark, sf_dir):
-    """The place of every file of the batch; lpt_order is the report of its costliest hundred."""
-    files = _files(spark, sf_dir).select("doc_id", "path", planning.weight(F.col("scanned"), F.col("figures"), F.lit(False)).alias("weight"))
-    return planning.order_by_cost(files).select("doc_id", "weight", "place")
+@query("lpt_order", f"WITH {FILES}, {_WEIGHTS} SELECT doc_id, coalesce(weight, 0) AS weight, row_number() OVER (ORDER BY coalesce(weight, 0) DESC, path, doc_id) AS place FROM files LEFT JOIN w USING (path)")
+def lpt_order(spark, sf_dir):
+    """The place of every file of the batch, heaviest first, ties in discovery order; a file without a weight counts as 0."""
+    files = _files(spark, sf_dir)
+    weights = files.filter("doc_id % 10 > 0").select("path", planning.weight(F.col("scanned"), F.col("figures"), F.lit(False)).alias("weight"))
+    rows = files.select("doc_id", "path").join(weights, "path", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    return planning.order_by_cost(rows).select("doc_id", "weight", "place")
 
 
 @query("timeout_budget", f"WITH {FILES} SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN greatest(CAST(300 AS DOUBLE), (scanned * CAST(8 AS DOUBLE) + figures * CAST(4 AS DOUBLE)) * 3) END AS budget FROM files")
@@ -84,7 +81,7 @@ def inspect_totals(spark, sf_dir):
 @query("page_routes", f"WITH {FILES} SELECT doc_id % 6 = 0 AS tables, route, count(*) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'vision' WHEN scanned = 0 THEN 'native' WHEN doc_id % 6 = 0 THEN 'tesseract' ELSE 'vision' END AS route FROM files) GROUP BY doc_id % 6 = 0, route")
 def page_routes(spark, sf_dir):
     files = _files(spark, sf_dir).withColumn("tables", F.col("doc_id") % 6 == 0)
-    route = F.when(F.col("doc_id") % 17 == 0, "vision").when(F.col("scanned") == 0, "native").when(F.col("tables"), "tesseract").otherwise("vision")
+    route = planning.page_route(F.col("doc_id") % 17 == 0, F.col("scanned") > 0, F.col("tables"))
     return files.withColumn("route", route).groupBy("tables", "route").agg(F.count("*").alias("n"))
 
 
@@ -192,14 +189,14 @@ def running_cost(spark, sf_dir):
     return planning.running_cost(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("event_id", "so_far")
 
 
-@query("active_gauge", "WITH d AS (SELECT event_id, event_type, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events), m AS (SELECT *, least(0, min(s) OVER (PARTITION BY event_type ORDER BY event_id)) AS z FROM d) SELECT event_type, max(s) AS peak, min(s) AS floor FROM d GROUP BY event_type")
+@query("active_gauge", "WITH s AS (SELECT event_id, event_type, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM events), c AS (SELECT event_type, s - least(0, min(s) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)) AS active FROM s) SELECT event_type, CAST(max(active) AS BIGINT) AS peak, CAST(min(active) AS BIGINT) AS floor FROM c GROUP BY event_type")
 def active_gauge(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = table(spark, sf_dir, "events").withColumn("s", F.sum(F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)).over(w))
-    return d.groupBy("event_type").agg(F.max("s").alias("peak"), F.min("s").alias("floor"))
+    """How many were at work at most and at least, by type; never below 0."""
+    events = table(spark, sf_dir, "events").withColumn("step", F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1))
+    return jobs.active(events, "event_type", ["event_id"], "step").groupBy("event_type").agg(F.max("active").alias("peak"), F.min("active").alias("floor"))
 
 
-@query("history_merge", "WITH live AS (SELECT user_id, max(value) AS value FROM events WHERE event_id % 2 = 0 GROUP BY user_id), hist AS (SELECT user_id, max(value) AS value FROM events WHERE event_id % 3 = 0 GROUP BY user_id) SELECT coalesce(live.user_id, hist.user_id) AS user_id, coalesce(live.value, hist.value) AS value, live.user_id IS NOT NULL AS is_live FROM live FULL JOIN hist ON live.user_id = hist.user_id")
+@query("history_merge", "WITH live AS (SELECT user_id, max(value) AS value FROM events WHERE event_id % 2 = 0 GROUP BY user_id), hist AS (SELECT user_id, max(value) AS value FROM events WHERE event_id % 2 <> 0 GROUP BY user_id) SELECT coalesce(live.user_id, hist.user_id) AS user_id, coalesce(live.value, hist.value) AS value, live.user_id IS NOT NULL AS is_live FROM live FULL JOIN hist ON live.user_id = hist.user_id")
 def history_merge(spark, sf_dir):
     """Two job lists merged by id; the live one wins.  Every event is on one of the two."""
     events = table(spark, sf_dir, "events")
@@ -222,13 +219,8 @@ def events_session(spark, sf_dir):
 
 @query("late_drop", "SELECT event_type, count(*) AS n FROM (SELECT *, max(ts) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seen FROM events) WHERE ts >= seen - INTERVAL '1 hour' GROUP BY event_type")
 def late_drop(spark, sf_dir):
-    """Events not over an hour behind the latest one before them: prefix maxima by stretches of ids, so no task sees all rows."""
-    events = table(spark, sf_dir, "events").withColumn("stretch", F.floor(F.col("event_id") / 4096))
-    tops = events.groupBy("stretch").agg(F.max("ts").alias("top"))
-    tops = tops.select("stretch", F.max("top").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
-    inside = Window.partitionBy("stretch").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = events.withColumn("seen", F.max("ts").over(inside)).join(tops, "stretch")
-    return seen.filter(F.col("ts") >= F.greatest("seen", "earlier") - F.expr("INTERVAL 1 HOUR")).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Events not over an hour behind the latest one before them."""
+    return planning.late_dropped(table(spark, sf_dir, "events"), "event_id", "ts", "1 HOUR").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("props_extract", "SELECT event_id, json_extract_string(props, '$.' || k) AS v, k FROM events, (SELECT unnest(json_keys(props)) AS k, event_id AS e FROM events) WHERE e = event_id")
@@ -237,7 +229,7 @@ def props_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.explode(props).alias("k", "v"))
 
 
-@query("json_pretty")
+@query("json_pretty", "SELECT event_id, '```json' || chr(10) || CASE WHEN len(json_keys(props)) = 0 THEN '{}' ELSE '{' || chr(10) || array_to_string(list_transform(json_keys(props), lambda k: '  \"' || k || '\": ' || CAST(json_extract(props, '$.' || k) AS VARCHAR)), ',' || chr(10)) || chr(10) || '}' END || chr(10) || '```' AS block FROM events")
 def json_pretty(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", parsers.pretty_json("props").alias("block"))
 
@@ -294,28 +286,20 @@ def _cells(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("r"), F.inline(cells))
 
 
-@query("real_tables", f"WITH {_CELLS}, cols AS (SELECT table_id, c, count(*) FILTER (WHERE text <> '') AS filled, count(*) AS n, max(length(text)) AS longest FROM cells GROUP BY table_id, c) SELECT table_id, round(sum(filled) / sum(n), 9) AS fill, count(*) FILTER (WHERE filled >= 2) AS populated FROM cols GROUP BY table_id HAVING max(n) >= 2 AND sum(filled) / sum(n) >= 0.5 AND count(*) FILTER (WHERE filled >= 2) >= 2 AND max(longest) <= 200")
+@query("real_tables", f"WITH {_CELLS}, cols AS (SELECT table_id, c, count(*) FILTER (WHERE text <> '') AS filled, count(*) AS n, max(length(text)) AS longest FROM cells GROUP BY table_id, c) SELECT table_id, round(sum(filled) / sum(n), 9) AS fill, count(*) FILTER (WHERE filled >= 2) AS populated FROM cols GROUP BY table_id HAVING max(n) >= 2 AND sum(filled) / sum(n) >= 0.5 AND count(*) FILTER (WHERE filled >= 2) >= 2 AND max(longest) <= 200 AND table_id % 100 <= 80")
 def real_tables(spark, sf_dir):
-    """Tables worth keeping: enough rows, fill and populated columns, no cell that holds a paragraph."""
-    cols = _cells(spark, sf_dir).groupBy("table_id", "c").agg(F.count_if(F.col("text") != "").alias("filled"), F.count("*").alias("n"), F.max(F.length("text")).alias("longest"))
-    by = cols.groupBy("table_id").agg((F.sum("filled") / F.sum("n")).alias("share"), F.count_if(F.col("filled") >= 2).alias("populated"), F.max("n").alias("rows"), F.max("longest").alias("longest"))
-    return by.filter("rows >= 2 and share >= 0.5 and populated >= 2 and longest <= 200").select("table_id", F.round("share", 9).alias("fill"), "populated")
+    """Tables worth keeping: enough rows, fill and populated columns, no cell that holds a paragraph, not the whole page."""
+    cells = _cells(spark, sf_dir)
+    areas = cells.select("table_id", (F.col("table_id") % 100 / 100.0).alias("ratio")).distinct()
+    return sheets.real_tables(cells, areas).select("table_id", F.round("fill", 9).alias("fill"), "populated")
 
 
-@query("gfm_table", f"WITH {_CELLS}, lines AS (SELECT table_id, r, '| ' || string_agg(replace(text, '|', chr(92) || '|'), ' | ' ORDER BY c, replace(text, '|', chr(92) || '|')) || ' |' AS line FROM cells GROUP BY table_id, r) SELECT table_id, md5(string_agg(line, chr(10) ORDER BY r, line)) AS digest, count(*) AS rows FROM lines GROUP BY table_id")
+@query("gfm_table", f"WITH {_CELLS}, lines AS (SELECT table_id, r, list(text ORDER BY c, text) AS cells FROM cells GROUP BY table_id, r), n AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY r) AS i, max(len(cells)) OVER (PARTITION BY table_id) AS w FROM lines), p AS (SELECT *, list_concat(cells, list_transform(range(w - len(cells)), lambda x: '')) AS full_row FROM n) SELECT table_id, md5(string_agg('| ' || array_to_string(list_transform(full_row, lambda x: replace(x, '|', chr(92) || '|')), ' | ') || ' |' || CASE WHEN i = 1 THEN chr(10) || '| ' || array_to_string(list_transform(full_row, lambda x: '---'), ' | ') || ' |' ELSE '' END, chr(10) ORDER BY r)) AS digest, count(*) AS rows FROM p GROUP BY table_id")
 def gfm_table(spark, sf_dir):
-    cells = _cells(spark, sf_dir).withColumn("text", F.replace("text", F.lit("|"), F.lit("\\|")))
-    joined = lambda order, value, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), by)
-    lines = cells.groupBy("table_id", "r").agg(F.concat(F.lit("| "), joined("c", "text", " | "), F.lit(" |")).alias("line"))
-    return lines.groupBy("table_id").agg(F.md5(joined("r", "line", "\n").cast("binary")).alias("digest"), F.count("*").alias("rows"))
-
-
-@query("merged_cells", "WITH m AS (SELECT n_nationkey AS id, n_regionkey AS min_row, n_regionkey + 2 AS max_row, n_nationkey % 3 AS min_col, n_nationkey % 3 + 1 AS max_col, n_name AS v FROM nation), g AS (SELECT r.i AS r, c.i AS c FROM range(7) r(i), range(5) c(i)) SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, min(v) AS v, count(*) AS n FROM g JOIN m ON r BETWEEN min_row AND max_row AND c BETWEEN min_col AND max_col GROUP BY r, c")
-def merged_cells(spark, sf_dir):
-    """Merged ranges laid onto the cells they cover: a range becomes its cells, and cells meet by equality."""
-    m = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r0"), (F.col("n_nationkey") % 3).alias("c0"), F.col("n_name").alias("v"))
-    cells = m.select("v", F.explode(F.sequence(F.col("r0"), F.col("r0") + 2)).alias("r"), "c0").select("v", "r", F.explode(F.sequence(F.col("c0"), F.col("c0") + 1)).alias("c"))
-    return cells.groupBy(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).agg(F.min("v").alias("v"), F.count("*").alias("n"))
+    """Rows of cells as pipe tables: padded, with a rule under the first."""
+    lines = _cells(spark, sf_dir).groupBy("table_id", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "text"))), lambda x: x["text"]).alias("cells"))
+    rows = lines.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "cells"))), lambda x: x["cells"]).alias("rows"))
+    return rows.select("table_id", F.md5(sheets.markdown_table(F.col("rows")).cast("binary")).alias("digest"), F.size("rows").cast("long").alias("rows"))
 
 
 @query("span_containment", "WITH s AS (SELECT o_orderkey AS id, o_orderkey * 4 AS a, o_orderkey * 4 + o_custkey % 9 AS b FROM orders), t AS (SELECT l_orderkey * 4 + l_linenumber AS p, l_orderkey * 4 + l_linenumber + 1 AS q FROM lineitem) SELECT s.id, count(*) AS tokens FROM s JOIN t ON s.a <= t.p AND t.q <= s.b AND t.p // 16 BETWEEN s.a // 16 AND s.b // 16 GROUP BY s.id")
@@ -348,14 +332,35 @@ def word_gaps(spark, sf_dir):
 
 # -- ranking and merges
 
-@query("fuzzy_rank", "WITH s AS (SELECT p_partkey, CASE WHEN starts_with(lower(p_name), 'ar') THEN 3e6 - length(p_name) WHEN contains(lower(p_name), 'ar') THEN 2e6 - (instr(lower(p_name), 'ar') - 1) * 1000 - length(p_name) WHEN contains(lower(p_type), 'ar') THEN 1e6 - (instr(lower(p_type), 'ar') - 1) * 1000 - length(p_type) END AS score FROM part) SELECT p_partkey, CAST(score AS DOUBLE) AS score FROM s WHERE score IS NOT NULL")
+def _letters_sql(text: str, letters: str) -> str:
+    """Score of letters that stand in a text in order, each at its first place after the one before; null if they don't."""
+    places, before = [], "0"
+    for ch in letters:
+        before = f"({before} + nullif(instr(substr({text}, {before} + 1), '{ch}'), 0))"
+        places.append(before)
+    gain, run = [], "0"
+    for i, at in enumerate(places):
+        run = f"CASE WHEN {at} = {places[i - 1]} + 1 THEN {run} + 1 ELSE 0 END" if i else f"CASE WHEN {at} = 0 THEN 1 ELSE 0 END"
+        edge = f"CASE WHEN {at} = 1 OR regexp_matches(substr({text}, {at} - 1, 1), '[/:_.\\-]') THEN 4.0 ELSE 0 END"
+        gain.append(f"(1.0 + 3.0 * ({run}) + {edge})" if i else f"(1.0 + CASE WHEN {at} = 1 THEN 3.0 ELSE 0 END + {edge})")
+    return " + ".join(gain) + f" + 0 * {places[-1]}"
+
+
+def _fuzzy_sql(q: str, id_: str, name: str) -> str:
+    return f"""CASE WHEN starts_with(lower({name}), '{q}') THEN 3e6 - length({name}) WHEN contains(lower({name}), '{q}') THEN 2e6 - (instr(lower({name}), '{q}') - 1) * 1000 - length({name}) WHEN contains(lower({id_}), '{q}') THEN 1e6 - (instr(lower({id_}), '{q}') - 1) * 1000 - length({id_})
+      ELSE {_letters_sql(f"lower({id_})", q)} - length({id_}) * 0.01 END"""
+
+
+@query("fuzzy_rank", f"WITH s AS (SELECT p_partkey, {_fuzzy_sql('ar', 'p_type', 'p_name')} + CASE WHEN p_partkey % 10 = 0 THEN 500 ELSE 0 END AS score FROM part) SELECT p_partkey, round(CAST(score AS DOUBLE), 6) AS score FROM s WHERE score IS NOT NULL")
 def fuzzy_rank(spark, sf_dir):
-    scored = table(spark, sf_dir, "part").select("p_partkey", planning.fuzzy_score("ar", F.col("p_type"), F.col("p_name")).alias("score"))
-    return scored.filter("score > 100000").select("p_partkey", F.col("score").cast("double").alias("score"))
+    """All matches of two letters, in all four tiers, preferred ones a little higher."""
+    scored = table(spark, sf_dir, "part").select("p_partkey", F.round(planning.fuzzy_score("ar", F.col("p_type"), F.col("p_name"), F.col("p_partkey") % 10 == 0), 6).alias("score"))
+    return scored.filter("score is not null").orderBy(F.desc("score"), "p_partkey")
 
 
-@query("fuzzy_letters")
+@query("fuzzy_letters", f"WITH s AS (SELECT p_partkey, {_fuzzy_sql('bd1', 'p_brand', 'p_name')} AS score FROM part) SELECT p_partkey, round(CAST(score AS DOUBLE), 6) AS score FROM s WHERE score IS NOT NULL")
 def fuzzy_letters(spark, sf_dir):
+    """Matches whose letters stand in the id in order."""
     return table(spark, sf_dir, "part").select("p_partkey", F.round(planning.fuzzy_score("bd1", F.col("p_brand"), F.col("p_name")), 6).alias("score")).filter("score is not null")
 
 
@@ -377,33 +382,35 @@ def lru_keep(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_used")).orderBy(F.desc("last_used"), "user_id").limit(200)
 
 
-@query("regions_topk", "SELECT l_orderkey, l_linenumber, place FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(l_extendedprice, 1), round_even(l_quantity, 1), l_linenumber) AS place FROM lineitem) WHERE place <= 3")
+@query("regions_topk", "SELECT l_orderkey, l_linenumber, place FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(l_extendedprice, 1), round_even(l_quantity, 1), l_linenumber) AS place FROM lineitem) WHERE place <= 6")
 def regions_topk(spark, sf_dir):
+    """The first six regions of a page in reading order, which are all that a page has."""
     order = Window.partitionBy("l_orderkey").orderBy(F.bround("l_extendedprice", 1), F.bround("l_quantity", 1), "l_linenumber")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(order).cast("long").alias("place")).filter("place <= 3")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(order).cast("long").alias("place")).filter(F.col("place") <= planning.FIGURES_PER_PAGE)
 
 
-@query("regions_per_page", "SELECT l_orderkey, l_linenumber, place FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(l_extendedprice, 1), round_even(l_quantity, 1), l_linenumber) AS place FROM lineitem) WHERE place <= 6")
-def regions_per_page(spark, sf_dir):
-    """The first six regions of a page in reading order; regions_topk is the first three."""
-    order = Window.partitionBy("l_orderkey").orderBy(F.bround("l_extendedprice", 1), F.bround("l_quantity", 1), "l_linenumber")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(order).cast("long").alias("place")).filter(F.col("place") <= planning.FIGURES_PER_PAGE)
+#: Reviews of a document's first line: as it is, its last letter changed, a line more, blank, two letters more.
+_REVIEWED = "CASE doc_id % 5 WHEN 0 THEN t WHEN 1 THEN left(t, length(t) - 1) || '#' WHEN 2 THEN t || chr(10) || 'x' WHEN 3 THEN ' ' ELSE t || '##' END"
+_LINE = "SELECT doc_id, left(split_part(text, chr(10), 1), 150) AS t FROM documents"
 
 
-@query("light_proofreading")
-def light_proofreading(spark, sf_dir):
-    """Whether a turn is a light edit of the turn before: as many lines, and a matching-blocks ratio of 0.97 or more."""
-    from corpusloom.operators.review import is_light_proofreading
+def _reviewed(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 150).alias("t"))
+    return rows.withColumn("r", F.expr(_REVIEWED.replace("chr(10)", "char(10)")))
 
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(order)).filter("before is not null")
-    return rows.select("conv_id", "turn", is_light_proofreading("before", "text").alias("light"))
+
+@query("light_proofreading", f"SELECT doc_id, CASE WHEN trim(t) = '' THEN false WHEN doc_id % 5 = 0 THEN true WHEN doc_id % 5 = 1 THEN right(t, 1) = '#' OR (trim(left(t, length(t) - 1) || '#') <> '' AND (length(t) - 1) / length(t) >= 0.97) WHEN doc_id % 5 = 4 THEN 2 * length(t) / (2 * length(t) + 2) >= 0.97 ELSE false END AS light FROM ({_LINE})")
+def light_proofreading(spark, sf_dir):
+    """Whether a review is a light edit: as many lines, and a matching-blocks ratio of 0.97 or more."""
+    return _reviewed(spark, sf_dir).select("doc_id", review.is_light_proofreading("t", "r").alias("light"))
 
 
-@query("review_diff")
+@query(
+    "review_diff",
+    "SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 2 END AS INTEGER) AS line, CASE doc_id % 4 WHEN 0 THEN 'two' WHEN 1 THEN 'three / four' ELSE '' END AS before, CASE doc_id % 4 WHEN 0 THEN 'TWO ' || doc_id WHEN 1 THEN '' ELSE 'new / more' END AS after FROM documents WHERE doc_id % 4 < 3",
+)
 def review_diff(spark, sf_dir):
-    from corpusloom.operators.review import line_changes
-
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(order)).filter("before is not null")
-    return rows.select("conv_id", "turn", F.inline(line_changes("before", "text")))
+    """Lines that a review has replaced, removed or added."""
+    d = F.col("doc_id")
+    reviewed = F.when(d % 4 == 0, F.concat(F.lit("one\nTWO "), d.cast("string"), F.lit("\nthree\nfour"))).when(d % 4 == 1, "one\ntwo").when(d % 4 == 2, "one\nnew\nmore\ntwo\nthree\nfour\n").otherwise("one\ntwo\nthree\nfour")
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(review.line_changes(F.lit("one\ntwo\nthree\nfour"), reviewed)))

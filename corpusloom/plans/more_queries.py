@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import cleaning as C
-from corpusloom.operators import parsers, validation
+from corpusloom.operators import estimates, pages, parsers, planning, sinks, validation
 from corpusloom.plans.catalog import query
 from corpusloom.plans.data_queries import FILES, _files
 from corpusloom.plans.text_queries import _PAGES_SQL
+from corpusloom.sources import files
 from corpusloom.sources.tables import MD_DOCS, markdown_documents, table
 
 WITH = f"WITH {MD_DOCS}"
@@ -36,16 +37,16 @@ def script_fence(spark, sf_dir):
 
 @query("file_kinds", f"WITH {FILES} SELECT kind, count(*) AS files, sum(pages) AS pages FROM (SELECT pages, CASE WHEN path LIKE '%.pdf' AND scanned * 2 > pages THEN 'scanned' WHEN path LIKE '%.pdf' THEN 'text' WHEN path LIKE '%.docx' THEN 'office' ELSE 'other' END AS kind FROM files) GROUP BY kind")
 def file_kinds(spark, sf_dir):
-    path = F.col("path")
-    kind = F.when(path.endswith(".pdf") & (F.col("scanned") * 2 > F.col("pages")), "scanned").when(path.endswith(".pdf"), "text").when(path.endswith(".docx"), "office").otherwise("other")
+    suffix = files.own_suffix(F.col("path"))
+    kind = F.when(suffix == ".pdf", planning.pdf_kind(F.col("scanned"), F.col("pages"))).when(suffix == ".txt", "other").otherwise(files.inspect_kind(suffix))
     return _files(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("files"), F.sum("pages").alias("pages"))
 
 
 @query("file_index", f"WITH {FILES} SELECT doc_id, row_number() OVER (PARTITION BY regexp_extract(path, '^in/([^/]+)', 1) ORDER BY path, doc_id) - 1 AS idx FROM files")
 def file_index(spark, sf_dir):
-    """Place of each file in its folder before any reordering."""
-    order = Window.partitionBy(F.regexp_extract("path", "^in/([^/]+)", 1)).orderBy("path", "doc_id")
-    return _files(spark, sf_dir).select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("idx"))
+    """Place of each file in its folder before any reordering, however many files a folder holds."""
+    rows = _files(spark, sf_dir).withColumn("folder", F.regexp_extract("path", "^in/([^/]+)", 1))
+    return planning.indexed_within(rows, "folder", ["path", "doc_id"], "idx").select("doc_id", "idx")
 
 
 @query("cache_lookup", "WITH cache AS (SELECT sha256('v1:' || text) AS k, min(doc_id) AS first_doc FROM documents WHERE doc_id % 2 = 0 AND text <> '' GROUP BY 1) SELECT doc_id, first_doc FROM documents LEFT JOIN cache ON sha256('v1:' || text) = k")
@@ -97,20 +98,18 @@ def figure_blocks(spark, sf_dir):
 )
 def compose_pages(spark, sf_dir):
     """Pages from recognised text where there is some, else native text with the page's tables."""
-    pages = validation.pages(markdown_documents(spark, sf_dir)).select("doc_id", "pos", "part")
-    ocr = pages.filter("(doc_id + pos) % 4 = 0").select("doc_id", "pos", F.format_string("ocr %d", F.col("pos")).alias("ocr"))
-    tabs = pages.filter("pos % 2 = 0").select("doc_id", "pos", F.lit("| t |").alias("tab")).join(ocr, ["doc_id", "pos"], "left_anti")
-    met = pages.join(ocr, ["doc_id", "pos"], "left").join(tabs, ["doc_id", "pos"], "left")
-    line = F.concat(F.format_string("## Page %d\n", F.col("pos")), F.coalesce("ocr", "part"), F.coalesce(F.concat(F.lit("\n"), "tab"), F.lit("")))
-    return met.withColumn("line", line).groupBy("doc_id").agg(F.md5(joined("pos", "line", "\n").cast("binary")).alias("digest"), F.count("ocr").alias("from_ocr"), F.count("tab").alias("with_table"))
+    native = validation.pages(markdown_documents(spark, sf_dir)).select(F.col("doc_id").alias("doc"), F.col("pos").alias("page"), F.col("part").alias("text"))
+    read = native.filter("(doc + page) % 4 = 0").select("doc", "page", F.format_string("ocr %d", F.col("page")).alias("text"))
+    tables = native.filter("page % 2 = 0").select("doc", "page", F.lit("| t |").alias("table"))
+    return pages.composed(native, read, tables).select(F.col("doc").alias("doc_id"), F.md5(F.col("md").cast("binary")).alias("digest"), "from_ocr", "with_table")
 
 
 @query("page_splice", f"{_PAGES_SQL} SELECT doc_id, md5(string_agg('## Page ' || CASE WHEN pos = 1 THEN '1' || chr(10) || 'edited' ELSE part END, chr(10) ORDER BY pos)) AS digest FROM pages GROUP BY doc_id")
 def page_splice(spark, sf_dir):
     """One page replaced, the others as they were."""
-    pages = validation.pages(markdown_documents(spark, sf_dir))
-    line = F.concat(F.lit("## Page "), F.when(F.col("pos") == 1, "1\nedited").otherwise(F.col("part")))
-    return pages.withColumn("line", line).groupBy("doc_id").agg(F.md5(joined("pos", "line", "\n").cast("binary")).alias("digest"))
+    parts = validation.pages(markdown_documents(spark, sf_dir)).select(F.col("doc_id").alias("doc"), F.col("pos").alias("page"), F.col("part").alias("text"))
+    edits = parts.filter("page = 1").select("doc", "page", F.lit("edited").alias("edited"))
+    return pages.spliced(parts, edits).select(F.col("doc").alias("doc_id"), F.md5(F.col("md").cast("binary")).alias("digest"))
 
 
 @query("ocr_sections", f"{_PAGES_SQL} SELECT doc_id, CAST(min(pos) AS INTEGER) AS first_page, count(DISTINCT pos) AS pages FROM pages WHERE contains(part, chr(10) || '### OCR') GROUP BY doc_id")
@@ -120,22 +119,16 @@ def ocr_sections(spark, sf_dir):
     return pages.groupBy("doc_id").agg(F.min("pos").alias("first_page"), F.countDistinct("pos").alias("pages"))
 
 
-@query("csv_block", "SELECT l_orderkey, md5(string_agg(row, chr(10) ORDER BY row)) AS digest FROM (SELECT l_orderkey, l_linenumber || ',' || CASE WHEN l_partkey % 3 = 0 THEN '\"a,\"\"b\"\"\"' ELSE l_returnflag END AS row FROM lineitem) GROUP BY l_orderkey")
-def csv_block(spark, sf_dir):
-    """Rows as CSV: cells are quoted where they hold a comma, a quote or a line end."""
-    cell = F.when(F.col("l_partkey") % 3 == 0, 'a,"b"').otherwise(F.col("l_returnflag"))
-    quoted = F.when(cell.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat_ws(",", F.col("l_linenumber").cast("string"), quoted).alias("row"))
-    return rows.groupBy("l_orderkey").agg(F.md5(F.array_join(F.array_sort(F.collect_list("row")), "\n").cast("binary")).alias("digest"))
-
-
 @query("price_lookup", "SELECT p_partkey, CASE WHEN s_acctbal IS NOT NULL AND p_partkey % 4 = 0 THEN 'manual' WHEN c_acctbal IS NOT NULL THEN 'catalog' ELSE 'unknown' END AS origin, round(CASE WHEN s_acctbal IS NOT NULL AND p_partkey % 4 = 0 THEN s_acctbal ELSE c_acctbal END, 4) AS price FROM part LEFT JOIN supplier ON s_suppkey = p_partkey LEFT JOIN customer ON c_custkey = p_partkey AND c_custkey % 5 > 0")
 def price_lookup(spark, sf_dir):
     """Manual prices first, then the catalogue's, else unknown: unknown is null, not zero."""
-    manual = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("p_partkey"), F.col("s_acctbal").alias("manual"))
-    catalog = table(spark, sf_dir, "customer").filter("c_custkey % 5 > 0").select(F.col("c_custkey").alias("p_partkey"), F.col("c_acctbal").alias("catalog"))
-    met = table(spark, sf_dir, "part").select("p_partkey").join(manual, "p_partkey", "left").join(catalog, "p_partkey", "left")
-    return met.select("p_partkey", F.when(F.col("manual").isNotNull(), "manual").when(F.col("catalog").isNotNull(), "catalog").otherwise("unknown").alias("origin"), F.round(F.coalesce("manual", "catalog"), 4).alias("price"))
+    name = lambda c: F.concat(F.lit("openai:m"), c.cast("string"))
+    priced = lambda df, key, usd: df.select(name(F.col(key)).alias("model"), F.col(usd).alias("input_per_mtok"), F.lit(0.0).alias("output_per_mtok"))
+    manual = priced(table(spark, sf_dir, "supplier").filter("s_suppkey % 4 = 0"), "s_suppkey", "s_acctbal")
+    catalog = priced(table(spark, sf_dir, "customer").filter("c_custkey % 5 > 0"), "c_custkey", "c_acctbal")
+    models = table(spark, sf_dir, "part").select("p_partkey", name(F.col("p_partkey")).alias("model"), F.lit(1e6).alias("tokens_in"), F.lit(1e6).alias("tokens_out"))
+    both = estimates.price(models, manual, catalog).join(manual.select("model", F.lit("manual").alias("m")), "model", "left")
+    return both.select("p_partkey", F.coalesce("m", F.when(F.col("usd").isNotNull(), "catalog").otherwise("unknown")).alias("origin"), F.round("usd", 4).alias("price"))
 
 
 @query("allowed_models", "SELECT p_partkey FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_size > 45) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey)")
@@ -152,10 +145,12 @@ def job_counters(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("job")).agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("value").isNull()).alias("unknown"), F.count("*").alias("n"), F.bool_or(F.col("value") > 90).alias("any_high"))
 
 
-@query("fallback_delta", "SELECT event_id, CAST(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS delta FROM events")
+@query("fallback_delta", "WITH c AS (SELECT event_id, user_id, sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM events) SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS delta FROM c")
 def fallback_delta(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", (F.col("value") - F.lag("value").over(order)).alias("delta"))
+    """Fallbacks of each page, from a counter that runs over the pages of a file."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = table(spark, sf_dir, "events").withColumn("n", F.sum(F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)).over(order))
+    return planning.fallback_steps(counted, "user_id", ["ts", "event_id"], "n").select("event_id", "delta")
 
 
 @query("review_queue", f"{_PAGES_SQL} SELECT doc_id, md5(string_agg('- page ' || pos || ': ' || length(part), chr(10) ORDER BY pos)) AS digest, count(*) AS flags FROM pages WHERE length(part) > 400 GROUP BY doc_id")
@@ -165,10 +160,14 @@ def review_queue(spark, sf_dir):
     return flags.groupBy("doc_id").agg(F.md5(joined("pos", "line", "\n").cast("binary")).alias("digest"), F.count("*").alias("flags"))
 
 
-@query("manifest_json")
+@query("manifest_json", f"WITH {FILES} SELECT path, '{{\"source\":\"' || path || '\",\"status\":\"ok\",\"output\":\"out/' || doc_id || '.md\",\"checksum\":\"' || checksum || '\",\"char_count\":' || n_chars || '}}' AS record FROM files")
 def manifest_json(spark, sf_dir):
-    """Manifest records as JSON, one a file: the map of a run is the table of its records."""
-    return _files(spark, sf_dir).select("path", F.to_json(F.struct("path", F.lit("ok").alias("status"), "checksum", F.col("n_chars").alias("char_count"))).alias("record"))
+    """Manifest records as JSON, one a file: the map of a run is the table of its records; null fields are left out."""
+    files_ = _files(spark, sf_dir)
+    fields = {"source": F.col("path"), "status": F.lit("ok"), "output": F.concat(F.lit("out/"), F.col("doc_id").cast("string"), F.lit(".md")), "checksum": F.col("checksum"), "char_count": F.col("n_chars")}
+    types = {f.split(" ")[0]: f.split(" ")[1] for f in sinks.RECORD.split(", ")}
+    rows = files_.select("path", *[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()])
+    return rows.select("path", sinks.record_json().alias("record"))
 
 
 @query("manifest_load", f"WITH {FILES} SELECT path, checksum, n_chars AS char_count, doc_id % 10 = 0 AS broken FROM files WHERE doc_id % 10 > 0 UNION ALL SELECT path, NULL, NULL, true FROM files WHERE doc_id % 10 = 0")
@@ -180,20 +179,26 @@ def manifest_load(spark, sf_dir):
     return read.select("path", "r.checksum", "r.char_count", (F.col("doc_id") % 10 == 0).alias("broken"))
 
 
-@query("chunk_sidecars")
+@query("chunk_sidecars", "SELECT conv_id AS doc_id, '[' || string_agg('{\"chunk\":' || turn || ',\"heading\":\"' || role || '\",\"text\":\"t' || turn || '\",\"char_count\":' || length(text) || '}', ',' ORDER BY turn) || ']' AS sidecar FROM conversations GROUP BY conv_id")
 def chunk_sidecars(spark, sf_dir):
-    from corpusloom.operators import chunking
-
-    made = chunking.chunks(markdown_documents(spark, sf_dir), "md")
-    return made.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("chunk", "heading", "char_count")))).alias("sidecar"))
+    """The chunks of each document as JSON, in order."""
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk"), F.col("role").alias("heading"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("text"), F.length("text").alias("char_count"))
+    return sinks.sidecar(chunks)
 
 
 @query("benchmark_overlap", "WITH b AS (SELECT DISTINCT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS w FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS w FROM documents) SELECT item_id, count(*) AS pairs, count(DISTINCT doc_id) AS docs FROM b JOIN d USING (w) WHERE length(w) > 9 GROUP BY item_id")
 def benchmark_overlap(spark, sf_dir):
-    """Long words that benchmark items share with documents."""
+    """Long words that benchmark items share with documents: each word's documents are counted before it meets the items.
+
+    The pairs of an item and a document are counted once for the items' words, which are few and kept to a checked size.
+    """
     words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1)))).alias("w")).filter(F.length("w") > 9)
-    met = words(table(spark, sf_dir, "benchmark"), "item_id").join(words(table(spark, sf_dir, "documents"), "doc_id"), "w")
-    return met.groupBy("item_id").agg(F.count("*").alias("pairs"), F.countDistinct("doc_id").alias("docs"))
+    items = words(table(spark, sf_dir, "benchmark"), "item_id")
+    listed = items.groupBy("w").agg(F.collect_set("item_id").alias("items"))  # as many rows as the items have long words
+    hits = words(table(spark, sf_dir, "documents"), "doc_id").join(listed, "w")  # a document's word meets one row
+    # per document first: an item counts once for the document, however many words they share
+    by_doc = hits.select("doc_id", F.explode("items").alias("item_id")).groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    return by_doc.groupBy("item_id").agg(F.sum("n").alias("pairs"), F.count("*").alias("docs"))
 
 
 @query("common_folder", f"WITH {FILES} SELECT source, min(path)[1:1] AS first, CAST(len(string_split(min(path), '/')) - 1 AS INTEGER) AS depth FROM files JOIN documents USING (doc_id) GROUP BY source")
