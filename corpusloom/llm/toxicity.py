@@ -121,6 +121,12 @@ def sequences(texts: list[str | None], known: Words) -> tuple[np.ndarray, np.nda
     return np.array(row, np.int32), np.array(begins, np.int64)
 
 
+def crossing(begins: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Places whose filter of this width would reach into the next text: the last ones of each text's padding."""
+    ends = np.append(begins[1:], n)
+    return (ends[:, None] - np.arange(1, width)[None, :]).ravel()
+
+
 class Model:
     """Parameters: embedding E, filters W[width] (width, DIMENSIONS, FILTERS), their offsets, output layer, thresholds by language."""
 
@@ -169,6 +175,7 @@ class Model:
             for k in range(1, w):
                 total[:-k] += self.taps[:, at + k * FILTERS : at + (k + 1) * FILTERS][row[k:]]
             at += w * FILTERS
+            total[crossing(begins, len(row), w)] = -np.inf
             out.append(np.maximum.reduceat(total, begins, axis=0))
         votes = np.add.reduceat(self.taps[:, at:][row], begins, axis=0)
         lang = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), len(FUNCTION_WORDS))
@@ -248,6 +255,7 @@ def _gradients(p: dict[str, np.ndarray], docs: list[np.ndarray], y: np.ndarray,
     best, tops = [], []
     for w in WIDTHS:
         value = sum(longer[k : k + len(e)] @ p[f"W{w}"][k] for k in range(w))
+        value[crossing(begins, len(e), w)] = -np.inf
         top = np.maximum.reduceat(value, begins, axis=0)
         place = np.where(value == np.repeat(top, sizes, axis=0), np.arange(len(e))[:, None], len(e))
         best.append(np.minimum.reduceat(place, begins, axis=0))  # the first place of each maximum
