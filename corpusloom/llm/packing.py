@@ -7,17 +7,20 @@ rooms finds it in a few steps.  Each packed row has its ids padded to the row le
 cumulative lengths of its segments, positions that start anew with each segment, and which part
 of which document each segment is.
 
-A task packs the documents it reads in stretches of a bounded number of tokens: nothing is shuffled,
-memory is bounded whatever the partition's size, and a lost task packs its rows again in the same way.
+Documents are dealt to stretches by a hash of id and text, so many that a stretch has about a million tokens, and
+lie in a stretch in the order of their ids and hashes: the rows depend on the documents alone, not on how they are
+partitioned.  Memory is bounded whatever a partition's size, as a stretch that grows beyond its share is packed in parts.
 
 Nulls: a null text is empty and, like an empty text, becomes a segment with the end mark alone.
-Null ids stay null in the list of ids.  Repeated rows are packed as often as they occur.  Further
-columns aren't looked at.  An empty table gives no rows.
+Null ids stay null in the list of ids.  Repeated rows are packed as often as they occur.  Ties: pieces of one length go in
+the order of their documents, and of rows with the same room the one opened or filled last is taken.  Texts of any length are
+split without loss.  Further columns aren't looked at.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches, table, trimmed
+from corpusloom.llm.common import small_batches, table, text_keys, trimmed
 
 LENGTH = 2048
 END = 50256
 PAD = 50256
-#: Tokens that are packed together.
-STRETCH = 4_000_000
+#: Tokens that are packed together, and bytes of text a token has about.
+STRETCH = 1_000_000
+TOKEN_BYTES = 4
 
 
 class Rooms:
@@ -141,17 +145,18 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
         tokens: list[np.ndarray] = []
-        held = 0
+        held, last = 0, None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for place, doc, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    if tokens and (place != last or held >= 2 * stretch):
+                        yield from slices(packed_rows(ids, tokens, length, pad))
+                        ids, tokens, held = [], [], 0
+                    last = place
                     ids.append(doc)
                     tokens.append(np.append(token_ids(text, where), np.uint32(end)))
                     held += len(tokens[-1])
-                    if held >= stretch:
-                        yield from slices(packed_rows(ids, tokens, length, pad))
-                        ids, tokens, held = [], [], 0
         if tokens:
             yield from slices(packed_rows(ids, tokens, length, pad))
 
@@ -160,7 +165,12 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
             yield rows.slice(at, 512)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), SCHEMA)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    stretches = max(1, -(-size // (TOKEN_BYTES * stretch)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_keys())
+    rows = rows.withColumn("stretch", F.pmod(F.xxhash64("doc_id", "_t1", "_t2"), F.lit(stretches)))
+    rows = rows.repartition("stretch").sortWithinPartitions("stretch", "doc_id", "_t1", "_t2")
+    return rows.select("stretch", "doc_id", "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def write(packed: DataFrame, path: str) -> None:
@@ -168,6 +178,62 @@ def write(packed: DataFrame, path: str) -> None:
     packed.write.mode("error").parquet(path)
 
 
+PARTS = "part string, rows long, length long"
+
+
+def write_binary(packed: DataFrame, folder: str) -> DataFrame:
+    """Packed rows as plain arrays, and the parts that were written: (part, rows, length), also kept as folder/parts.
+
+    A part has four files of little-endian unsigned 32-bit integers: NAME.ids and NAME.positions are matrices of rows by
+    length, NAME.lengths has the cumulative lengths of all rows' segments one after the other, NAME.segments how many each
+    row has.  Tasks write through the file system that the folder names, under names of their own; parts that the table
+    doesn't list are leftovers of tasks that ran twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        name, rows, length = f"part-{uuid.uuid4().hex}", 0, 0
+        system.create_dir(root, recursive=True)
+        streams = {k: None for k in ("ids", "positions", "lengths", "segments")}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if streams["ids"] is None:
+                streams = {k: system.open_output_stream(f"{root}/{name}.{k}") for k in streams}
+            for kind in ("ids", "positions"):
+                for cell in batch.column(batch.schema.get_field_index(kind)):
+                    streams[kind].write(cell.as_buffer())
+                    length = len(cell.as_buffer()) // 4
+            ends = batch.column(batch.schema.get_field_index("cu_seqlens"))
+            streams["lengths"].write(ends.flatten().to_numpy().astype("<u4").tobytes())
+            streams["segments"].write((np.diff(ends.offsets.to_numpy()) - 1).astype("<u4").tobytes())
+            rows += batch.num_rows
+        for stream in streams.values():
+            if stream is not None:
+                stream.close()
+        yield pa.RecordBatch.from_arrays([pa.array([name] if rows else [], pa.string()), pa.array([rows] if rows else [], pa.int64()), pa.array([length] if rows else [], pa.int64())], names=["part", "rows", "length"])
+
+    packed.mapInArrow(run, PARTS).write.mode("error").parquet(f"{folder}/parts")
+    return packed.sparkSession.read.schema(PARTS).parquet(f"{folder}/parts")
+
+
+def read_binary(folder: str, part: str, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(ids, positions, cumulative lengths by row) of one part of write_binary()."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+    def numbers(kind: str) -> np.ndarray:
+        with system.open_input_stream(f"{root}/{part}.{kind}") as f:
+            return np.frombuffer(f.read(), "<u4")
+
+    segments = numbers("segments").astype(np.int64)
+    ends = np.split(numbers("lengths"), np.cumsum(segments + 1)[:-1])
+    return numbers("ids").reshape(-1, length), numbers("positions").reshape(-1, length), ends
+
+
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     """The packed rows, with digests in place of the matrices."""
     packed = pack(table(spark, sf_dir, "documents"))
