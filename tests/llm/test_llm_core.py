@@ -388,6 +388,27 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_depends_on_documents_only(spark, docs):
+    one = Counter(tuple(map(str, r)) for r in packing.pack(docs.repartition(1), length=64, stretch=500).collect())
+    assert one == Counter(tuple(map(str, r)) for r in packing.pack(docs.repartition(7, "text"), length=64, stretch=500).collect())
+    assert sum(one.values()) > 20
+
+
+def test_packing_files(spark, docs, tmp_path):
+    rows = packing.pack(docs, length=64, stretch=500)
+    packing.write(rows, f"{tmp_path}/parquet")
+    held = spark.read.parquet(f"{tmp_path}/parquet").collect()
+    want = Counter((bytes(r.ids), bytes(r.positions), tuple(r.cu_seqlens)) for r in held)
+    parts = packing.write_binary(rows, f"{tmp_path}/binary").collect()
+    got = Counter()
+    for p in parts:
+        ids, positions, ends = packing.read_binary(f"{tmp_path}/binary", p.part, p.length)
+        assert len(ids) == len(positions) == len(ends) == p.rows and p.length == 64
+        got.update((i.tobytes(), q.tobytes(), tuple(map(int, e))) for i, q, e in zip(ids, positions, ends))
+    assert got == want and sum(p.rows for p in parts) == len(held)
+    assert packing.write_binary(packing.pack(docs.limit(0)), f"{tmp_path}/none").count() == 0
+
+
 def test_best_fit():
     for _ in range(40):
         sizes = [R.randrange(1, 21) for _ in range(R.randrange(1, 60))]
