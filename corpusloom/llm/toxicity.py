@@ -43,8 +43,8 @@ WIDTHS = (1, 2, 3)
 SAMPLE = 6000
 SAMPLE_BYTES = 192 << 20
 LEAST_TEXTS = 3
-STEPS = 500
-BATCH = 48
+STEPS = 1000
+BATCH = 64
 SCALE = 0.6
 #: Words a worker remembers between batches.
 REMEMBERED = 120_000
