@@ -195,17 +195,74 @@ def pretty_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+#: What leaves no text at all, and what a tag stands for in text.
+SILENT = ("script", "style")
+BREAKS = (("br", "\n"), ("/p", "\n\n"))
+
+
 def html_stripped(c: Column) -> Column:
-    """HTML as text by substitution: scripts and styles go, breaks become line ends, tags go."""
-    for pattern, by in ((r"(?is)<(script|style).*?>.*?</\1>", ""), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</p\s*>", "\n\n"), (r"<[^>]+>", ""), (r"\n{3,}", "\n\n")):
-        c = F.regexp_replace(c, pattern, by)
-    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    """HTML as text: scripts and styles go with what they hold, breaks become line ends, other tags go; entities stay."""
+    for name in SILENT:
+        c = F.regexp_replace(c, f"(?is)<{name}.*?>.*?</{name}>", "")
+    for tag, by in BREAKS:
+        c = F.regexp_replace(c, rf"(?i)<{tag}\s*/?>", by)
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), "\n\n\n+", "\n\n"), r"\A\s+|\s+\z", ""))
 
 
 def html_heading(c: Column) -> Column:
-    """Text of the first level-one or level-two heading."""
-    inside = F.regexp_extract(c, r"(?is)<h[12][^>]*>(.*?)</h[12]>", 1)
-    return F.nullif(F.regexp_replace(F.regexp_replace(inside, "<[^>]+>", ""), r"\A\s+|\s+\z", ""), F.lit(""))
+    """Text of the first heading of level one or two that is closed; null without one."""
+    after = F.split(c, "(?i)<h[12][^>]*>", 2)
+    inside = F.when(F.size(after) > 1, F.get(F.split(F.get(after, F.lit(1)), "(?i)</h[12]>", 2), F.lit(0)))
+    closed = F.get(after, F.lit(1)).rlike("(?i)</h[12]>")
+    return F.nullif(F.regexp_replace(F.regexp_replace(F.when(closed, inside), "<[^>]+>", ""), r"\A\s+|\s+\z", ""), F.lit(""))
+
+
+class _Text(HTMLParser):
+    """The text of an HTML document, entities as they are; and that of its first heading of level one or two."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.out: list[str] = []
+        self.silent: str | None = None
+        self.heading: list[str] | None = None
+        self.title: str | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in SILENT:
+            self.silent = tag
+        elif tag == "br":
+            self._text("\n")
+        elif tag in ("h1", "h2") and self.title is None:
+            self.heading = []
+
+    def handle_endtag(self, tag):
+        if tag == self.silent:
+            self.silent = None
+        elif tag == "p":
+            self._text("\n\n")
+        elif tag in ("h1", "h2") and self.heading is not None:
+            self.title, self.heading = " ".join("".join(self.heading).split()), None
+
+    def _text(self, text):
+        if self.silent is None:
+            self.out.append(text)
+            if self.heading is not None:
+                self.heading.append(text)
+
+    handle_data = _text
+
+    def handle_entityref(self, name):
+        self._text(f"&{name};")
+
+    def handle_charref(self, name):
+        self._text(f"&#{name};")
+
+
+def _read_html(html: str) -> _Text:
+    parser = _Text()
+    parser.feed(html or "")
+    parser.close()
+    return parser
 
 
 class _Markdown(HTMLParser):
@@ -316,18 +373,11 @@ def html_markdown(html: str) -> str:
 
 
 def html_text(html: str) -> str:
-    import re
-
-    text = re.sub(r"(?is)<(script|style).*?>.*?</\1>", "", html)
-    text = re.sub(r"(?i)<br\s*/?>", "\n", text)
-    return re.sub(r"<[^>]+>", "", re.sub(r"(?i)</p\s*>", "\n\n", text)).strip()
+    return "".join(_read_html(html).out).strip()
 
 
 def html_title(html: str) -> str:
-    import re
-
-    m = re.search(r"(?is)<h[12][^>]*>(.*?)</h[12]>", html)
-    return " ".join(re.sub("<[^>]+>", "", m[1]).split()) if m else ""
+    return _read_html(html).title or ""
 
 
 @F.pandas_udf(T.StringType())

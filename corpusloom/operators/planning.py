@@ -84,24 +84,24 @@ def indexed_within(rows: DataFrame, key: str, order: list[str], name: str) -> Da
     return met.withColumn(name, F.col(name) - F.col("_first")).drop("_first")
 
 
+def _earlier_max(tops: DataFrame, width: int) -> DataFrame:
+    """(_s, _before) from rows (_s, _top): the largest value of all rows before, by groups of rows until one task holds them."""
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    if tops.count() <= width:
+        return tops.select("_s", F.max("_top").over(before).alias("_before"))
+    grouped = tops.withColumn("_g", F.floor(F.col("_s") / width))
+    outer = _earlier_max(grouped.groupBy(F.col("_g").alias("_s")).agg(F.max("_top").alias("_top")), width).select(F.col("_s").alias("_g"), F.col("_before").alias("_outer"))
+    inside = grouped.withColumn("_inside", F.max("_top").over(Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)))
+    return inside.join(outer, "_g").select("_s", F.greatest("_inside", "_outer").alias("_before"))
+
+
 def running_max(rows: DataFrame, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
     """rows with name: the largest value up to and with the row, by a whole number order; nulls don't count.
 
     Stretches of numbers have their maxima, which are carried on over stretches of stretches until one task holds them.
     """
     rows = rows.withColumn("_s", F.floor(F.col(order) / width))
-    tops = rows.groupBy("_s").agg(F.max(value).alias("_top"))
-    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    if tops.count() > width:
-        seen = running_max(tops, "_s", "_top", "_seen", width)
-        # the maximum before a stretch is the one up to the stretch before it that there is
-        wide = seen.withColumn("_g", F.floor(F.col("_s") / width))
-        inside = Window.partitionBy("_g").orderBy("_s")
-        edge = wide.groupBy("_g").agg(F.max("_seen").alias("_last"))
-        edge = edge.withColumn("_earlier", F.max("_last").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
-        tops = wide.join(edge, "_g").select("_s", F.coalesce(F.lag("_seen").over(inside), "_earlier").alias("_before"))
-    else:
-        tops = tops.select("_s", F.max("_top").over(before).alias("_before"))
+    tops = _earlier_max(rows.groupBy("_s").agg(F.max(value).alias("_top")), width)
     own = F.max(value).over(Window.partitionBy("_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_own", own).join(tops, "_s").withColumn(name, F.greatest("_own", "_before")).drop("_s", "_own", "_before")
 

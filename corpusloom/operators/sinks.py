@@ -37,8 +37,8 @@ def write_text(spark: SparkSession, where: str, text: str, append: bool = False)
 
 
 def read_text(spark: SparkSession, where: str) -> str:
-    rows = spark.read.option("wholetext", "true").text(where).collect()  # one small file
-    return rows[0][0] if rows else ""
+    rows = spark.read.format("binaryFile").load(where).select("content").collect()  # one small file
+    return bytes(rows[0][0]).decode("utf-8") if rows else ""
 
 
 # -- tables that are replaced

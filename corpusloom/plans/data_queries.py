@@ -196,7 +196,7 @@ def active_gauge(spark, sf_dir):
     return jobs.active(events, "event_type", ["event_id"], "step").groupBy("event_type").agg(F.max("active").alias("peak"), F.min("active").alias("floor"))
 
 
-@query("history_merge", "WITH live AS (SELECT user_id, max(value) AS value FROM events WHERE event_id % 2 = 0 GROUP BY user_id), hist AS (SELECT user_id, max(value) AS value FROM events WHERE event_id % 2 <> 0 GROUP BY user_id) SELECT coalesce(live.user_id, hist.user_id) AS user_id, coalesce(live.value, hist.value) AS value, live.user_id IS NOT NULL AS is_live FROM live FULL JOIN hist ON live.user_id = hist.user_id")
+@query("history_merge", "WITH live AS (SELECT user_id, max(value) AS value FROM events WHERE event_id % 2 = 0 GROUP BY user_id), hist AS (SELECT user_id, max(value) AS value FROM events WHERE event_id % 2 IS DISTINCT FROM 0 GROUP BY user_id) SELECT coalesce(live.user_id, hist.user_id) AS user_id, coalesce(live.value, hist.value) AS value, live.user_id IS NOT NULL AS is_live FROM live FULL JOIN hist ON live.user_id = hist.user_id")
 def history_merge(spark, sf_dir):
     """Two job lists merged by id; the live one wins.  Every event is on one of the two."""
     events = table(spark, sf_dir, "events")

@@ -23,8 +23,8 @@ AFTER = (
     (11, 6, "\n\n\\begin{pmatrix} 1 $$"),
     (6, 1, "\n\ncaf\u00c3\u00a9 don\u00e2\u0080\u0099t \u00c2\u00b0C \u0093q\u0094"),
     (8, 3, "\n\n\ufb01nd \ufb02ow"),
-    (9, 4, "\n\n\x1dujo \x00x\x01"),
-    (10, 5, "\n\nM\u00b4odulo tama\u02dcno"),
+    (9, 4, "\n\n\x1dora \x00y\x01"),
+    (10, 5, "\n\nn\u00b4umero se\u02dcnal"),
     (12, 7, "\n\n![fig](assets/fig.png)"),
     (16, 11, "\n\n\u03b1 \u03b2 s2 1 n1 \u221a 2 = x_1"),
     (7, 2, "\n\n> **Figura (descripción generada):** el gráfico de la función que se muestra en la página con los ejes y los valores de cada serie para una muestra"),

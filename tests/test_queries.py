@@ -41,6 +41,25 @@ def test_runs(spark, sf, name):
     assert REGISTRY[name].run(spark, sf).limit(5).collect()
 
 
+def test_plans_stay_small(spark):
+    """A filter on the result, and steps on steps, leave the plan linear in the steps."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import cleaning
+    from corpusloom.operators import validation
+
+    docs = spark.createDataFrame([(1, "a\nb")], "doc_id long, md string")
+    once = validation.clean(docs).filter(F.col("out") != F.col("md"))
+    began = time.perf_counter()
+    sizes = [len(once._jdf.queryExecution().optimizedPlan().toString())]
+    twice = docs.withColumn("out", cleaning.cleaned(cleaning.cleaned(F.col("md")))).filter(F.col("out") != F.col("md"))
+    sizes.append(len(twice._jdf.queryExecution().optimizedPlan().toString()))
+    assert time.perf_counter() - began < 20
+    assert sizes[1] < 3 * sizes[0]
+
+
 @pytest.mark.parametrize("name", sorted(n for n in REGISTRY if n.startswith("clean_")))
 def test_cleaning_changes_something(spark, sf, name):
     assert REGISTRY[name].run(spark, sf).filter("changed").limit(1).count() == 1

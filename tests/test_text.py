@@ -1,7 +1,10 @@
 """Cleaning, chunking, mathematics and parsers against inputs with known results."""
 
 import io
+import itertools
 import json
+import random
+import re
 import zipfile
 
 import pytest
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import cleaning as C
 from corpusloom.functions import prose as P
-from corpusloom.operators import chunking, parsers, review, validation
+from corpusloom.operators import chunking, parsers, review
 
 
 def one(spark, text, change):
@@ -20,14 +23,20 @@ def one(spark, text, change):
     "text, change, want",
     [
         ("caf\u00c3\u00a9 \u0093x\u0094", C.mojibake, 'caf\u00e9 "x"'),
-        ("\x1dujo \x00x\x01\x07", C.ligatures, "flujo {x}"),
+        ("\x1dora \x00y\x01\x07", C.ligatures, "flora {y}"),
         ("\ufb01n", C.ligatures, "fin"),
         ("a\r\nb", C.ligatures, "afl\nb"),
-        ("M\u00b4odulo tama\u02dcno", C.pdf_artifacts, "M\u00f3dulo tama\u00f1o"),
-        ("docu-\nment", C.dehyphenated, "document"),
-        ("\\[ x \\] and \\(y\\)", C.latex, "$$\nx\n$$ and $y$"),
-        ("```\n\\[ x \\]\n```\n\\section{A}", C.latex, "```\n\\[ x \\]\n```\n## A"),
-        ("\\begin{align}\na\n\\end{align}", C.latex, "$$\na\n$$"),
+        ("n\u00b4umero se\u02dcnal", C.pdf_artifacts, "n\u00famero se\u00f1al"),
+        ("water-\nmill", C.dehyphenated, "watermill"),
+        ("\\[ x \\] and \\(y\\)", C.latex, "$$x$$ and $y$"),
+        ("```\n\\[ x \\]\n```\n\\section{ A }", C.latex, "```\n\\[ x \\]\n```\n# A"),
+        ("\\subsection{A}\n\\subsubsection*{B}", C.latex, "## A\n### B"),
+        ("\\begin{align}\na\n\\end{align}", C.latex, "\n$$\na\n$$\n"),
+        ("\\begin{align}x\\end{equation}\\end{align} \\[ \\]", C.latex, "\n$$\nx\\end{equation}\n$$\n $$$$"),
+        ("| a |\n```\n| b |\n```\n| c |\n", C.repaired_tables, "| a |\n| --- |\n```\n| b |\n```\n| c |\n| --- |\n"),
+        ("```\nx\n| y |", C.repaired_tables, "```\nx\n| y |"),
+        (None, C.cleaned, None),
+        ("", C.cleaned, ""),
         ("a\nb\n\n# h\nc", C.reflowed, "a b\n\n# h\nc"),
         ("a\n```\nx\ny\n```\nb\nc", C.reflowed, "a\n```\nx\ny\n```\nb c"),
         ("- a\n- b\nc\nd", C.reflowed, "- a\n- b\nc d"),
@@ -43,14 +52,14 @@ def test_cleaning(spark, text, change, want):
 def test_running_headers(spark):
     md = "".join(f"## Page {i}\nHeader\nbody {i}\n{i}/3\n" for i in (1, 2, 3))
     docs = spark.createDataFrame([(1, md), (2, "no pages\nHeader")], "doc_id long, md string")
-    out = {r.doc_id: r.out for r in validation.without_running_headers(docs).collect()}
-    assert out == {1: "## Page 1\nbody 1\n## Page 2\nbody 2\n## Page 3\nbody 3\n", 2: "no pages\nHeader"} or out[1].count("Header") == 0
+    out = {r.doc_id: r.out for r in docs.select("doc_id", C.without_running_headers(F.col("md")).alias("out")).collect()}
+    assert out == {1: "## Page 1\nbody 1\n## Page 2\nbody 2\n## Page 3\nbody 3\n", 2: "no pages\nHeader"}
 
 
 def test_tables(spark):
     md = ["| a | b |\n| 1 | 2 |", "|  |  |\n| --- | --- |\n| h | k |\n| 1 | 2 |", "```\n| x |\n```", "| a |\n| --- |\n| 1 |"]
     docs = spark.createDataFrame(list(enumerate(md)), "doc_id long, md string")
-    out = {r.doc_id: r.repaired for r in validation.repaired_tables(docs, "md").collect()}
+    out = {r.doc_id: r.o for r in docs.select("doc_id", C.repaired_tables(F.col("md")).alias("o")).collect()}
     assert out == {0: "| a | b |\n| --- | --- |\n| 1 | 2 |", 1: "| h | k |\n| --- | --- |\n| 1 | 2 |", 2: md[2], 3: md[3]}
 
 
@@ -61,10 +70,27 @@ def test_language(spark):
 
 
 def test_math_spans():
-    assert P.spans_of("where \u03b1 = 2 holds") == [(6, 11, "\u03b1 = 2", False)]
-    assert P.spans_of("page 3 of the book") == []
-    assert P.spans_of("s2 1 n1")[0][3]
-    assert P.spans_of("") == []
+    assert P.Spans("let \u03b2 + 7 stand").rows() == [(0, 4, 9, "\u03b2 + 7", False)]
+    assert P.Spans("line 4 of a poem").rows() == [] and P.Spans("line 4 of a poem").density() == 0
+    assert P.Spans("k1 2 m3").rows()[0][4]
+    assert P.Spans("").rows() == [] and P.Spans(None).density() == 0
+
+
+def test_math_spans_one_by_one():
+    """Against the rule taken token by token, each decision counting for the next."""
+    symbol, short = (re.compile(x) for x in (P.MATH_SYMBOL, P.MATH_CANDIDATE))
+    random_ = random.Random(3)
+    for _ in range(3000):
+        tokens = [random_.choice(["x", "s2", "12", "\u221a", "a=b", "word", "n1", "7", "_", "ab12", "\u03b1"]) for _ in range(random_.randrange(0, 14))]
+        flags, maybe = [bool(symbol.search(t)) for t in tokens], [bool(short.match(t)) for t in tokens]
+        for i, t in enumerate(tokens):
+            near = range(max(0, i - 2), min(len(tokens), i + 3))
+            flags[i] = flags[i] or maybe[i] and (any(flags[j] for j in near) or sum(maybe[j] for j in near) > 2)
+        found = P.Spans(" ".join(tokens))
+        assert found.inside.tolist() == flags
+        groups = [[i for i, _ in g] for on, g in itertools.groupby(enumerate(flags), key=lambda x: x[1]) if on]
+        lost = [any(tokens[i] == "\u221a" for i in g) or len(g) > 1 and sum(maybe[i] for i in g) >= max(2, len(g) - 1) for g in groups]
+        assert [(r[3], r[4]) for r in found.rows()] == [(" ".join(tokens[i] for i in g), x) for g, x in zip(groups, lost)]
 
 
 def test_chunks():
@@ -112,4 +138,5 @@ def test_html():
 def test_review():
     assert review.similar("a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s u")
     assert not review.similar("one\ntwo", "one two")
+    assert not review.similar("", "") and not review.similar("a", " ")
     assert review.salvaged_objects('x [{"quote": "a"}, {"quote": "b"}, {"quo') == [{"quote": "a"}, {"quote": "b"}]

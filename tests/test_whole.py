@@ -1,6 +1,9 @@
 """Jobs done whole: no place, side or row is left out."""
 
-from corpusloom.operators import planning, validation
+from pyspark.sql import functions as F
+
+from corpusloom.functions import cleaning
+from corpusloom.operators import planning
 from corpusloom.plans import REGISTRY, text_queries
 
 
@@ -13,20 +16,20 @@ def test_every_file_has_its_place(spark):
     assert planning.order_by_cost(files.limit(0)).count() == 0
 
 
-def test_lpt_places_drops_nothing(spark, sf):
-    got = REGISTRY["lpt_places"].run(spark, sf)
+def test_lpt_order_drops_nothing(spark, sf):
+    got = REGISTRY["lpt_order"].run(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count() > 100
 
 
 def test_regions_up_to_the_cap(spark, sf):
-    places = {r.place for r in REGISTRY["regions_per_page"].run(spark, sf).select("place").distinct().collect()}
+    places = {r.place for r in REGISTRY["regions_topk"].run(spark, sf).select("place").distinct().collect()}
     assert places == {1, 2, 3, 4, 5, 6}
 
 
 def test_empty_output_sees_every_document(spark, sf, monkeypatch):
     docs = spark.createDataFrame([(i, "tiny") for i in range(1, 10)], "doc_id long, md string")
     monkeypatch.setattr(text_queries, "_md", lambda *_: docs)
-    assert sorted(r.doc_id for r in REGISTRY["validate_empty_output"].run(spark, sf).collect()) == list(range(1, 10))
+    assert sorted(r.doc_id for r in REGISTRY["validate_empty_output"].run(spark, sf).collect()) == [*range(-9, 0), *range(1, 10)]
 
 
 def test_history_merge_takes_every_event(spark, tmp_path):
@@ -39,4 +42,4 @@ def test_history_merge_takes_every_event(spark, tmp_path):
 def test_no_length_cuts_a_page(spark):
     md = "".join(f"## Page {i}\nHeader\nbody {i}\n" for i in (1, 2, 3)) + "x\n" * 1_000_001 + "Header\nend"
     docs = spark.createDataFrame([(1, md)], "doc_id long, md string")
-    assert validation.without_running_headers(docs).first().out == md.replace("Header\n", "")
+    assert docs.select(cleaning.without_running_headers(F.col("md")).alias("out")).first().out == md.replace("Header\n", "")
