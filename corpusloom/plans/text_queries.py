@@ -458,12 +458,42 @@ def math_density(spark, sf_dir):
     return P.math_density(_md(spark, sf_dir), "md")
 
 
-@query("chunks")
+#: White space at both ends, as the chunker strips it.
+def _bare(x: str) -> str:
+    return f"regexp_replace({x}, '\\A[\\s\\x0b\\x1c-\\x1f]+|[\\s\\x0b\\x1c-\\x1f]+\\z', '', 'g')"
+
+
+_MAX, _OVER = chunking.MAX_CHARS, chunking.OVERLAP
+#: Sections, their blocks (runs of table lines, runs of other lines between empty ones), and the packing as a walk over a section's blocks.
+_CHUNKS = f"""{WITH.replace("WITH ", "WITH RECURSIVE ", 1)},
+    cut AS (SELECT doc_id, unnest(string_split(chr(10) || md, chr(10) || '## ')) AS part, generate_subscripts(string_split(chr(10) || md, chr(10) || '## '), 1) AS s FROM md_docs),
+    lines AS (SELECT doc_id, s, part, string_split_regex(part, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]') AS ls FROM cut WHERE {_bare('part')} <> ''),
+    sec AS (SELECT doc_id, s, CASE WHEN s = 1 THEN '' ELSE {_bare('ls[1]')} END AS heading, CASE WHEN s = 1 THEN {_bare('part')} ELSE {_bare("array_to_string(ls[2:], chr(10))")} END AS body FROM lines),
+    pre AS (SELECT *, CASE WHEN heading = '' THEN '' ELSE '## ' || heading || chr(10) || chr(10) END AS prefix FROM sec),
+    bl AS (SELECT doc_id, s, unnest(string_split_regex(body, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]')) AS l, generate_subscripts(string_split_regex(body, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]'), 1) AS n FROM pre WHERE length({_bare('prefix || body')}) > {_MAX}),
+    kinds AS (SELECT *, CASE WHEN starts_with({_bare('l')}, '|') AND contains(substr({_bare('l')}, 2), '|') THEN 2 WHEN {_bare('l')} = '' THEN 0 ELSE 1 END AS kind FROM bl),
+    runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, s ORDER BY n) AS run FROM (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY doc_id, s ORDER BY n) THEN 0 ELSE 1 END AS fresh FROM kinds)),
+    blocks AS (SELECT doc_id, s, kind, {_bare("string_agg(l, chr(10) ORDER BY n)")} AS block, row_number() OVER (PARTITION BY doc_id, s ORDER BY run) AS k FROM runs WHERE kind > 0 GROUP BY doc_id, s, run, kind),
+    walk AS (
+      SELECT doc_id, s, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS held, CAST([] AS VARCHAR[]) AS out FROM (SELECT DISTINCT doc_id, s FROM blocks)
+      UNION ALL
+      SELECT w.doc_id, w.s, b.k, CASE WHEN fits THEN coalesce(w.held || chr(10) || chr(10), '') || b.block WHEN b.kind = 2 OR length(p.prefix) + length(b.block) > {_MAX} THEN NULL ELSE b.block END,
+        CASE WHEN fits THEN [] ELSE list_concat(CASE WHEN w.held IS NULL THEN [] ELSE [{_bare('p.prefix || w.held')}] END, CASE WHEN b.kind = 2 THEN [p.prefix || b.block] WHEN length(p.prefix) + length(b.block) <= {_MAX} THEN []
+          ELSE list_transform(range(CAST(ceil(greatest(0, length(b.block) - ({_MAX} - length(p.prefix))) / ({_MAX} - length(p.prefix) - {_OVER})) AS BIGINT) + 1), lambda i: {_bare(f"p.prefix || substr(b.block, CAST(i * ({_MAX} - length(p.prefix) - {_OVER}) AS BIGINT) + 1, {_MAX} - length(p.prefix))")}) END) END
+      FROM (SELECT w.*, length(p.prefix) + coalesce(length(w.held) + 2, 0) + length(b.block) <= {_MAX} AS fits FROM walk w JOIN blocks b ON b.doc_id = w.doc_id AND b.s = w.s AND b.k = w.k + 1 JOIN pre p ON p.doc_id = w.doc_id AND p.s = w.s) w
+      JOIN blocks b ON b.doc_id = w.doc_id AND b.s = w.s AND b.k = w.k + 1 JOIN pre p ON p.doc_id = w.doc_id AND p.s = w.s),
+    made AS (SELECT doc_id, s, k * 1000000 + i AS place, heading, text FROM (SELECT w.doc_id, w.s, w.k, unnest(out) AS text, generate_subscripts(out, 1) AS i FROM walk w) JOIN pre USING (doc_id, s)
+      UNION ALL SELECT w.doc_id, w.s, (w.k + 1) * 1000000, heading, {_bare('prefix || held')} FROM (SELECT *, max(k) OVER (PARTITION BY doc_id, s) AS last FROM walk) w JOIN pre p ON p.doc_id = w.doc_id AND p.s = w.s WHERE k = last AND held IS NOT NULL
+      UNION ALL SELECT doc_id, s, 0, heading, {_bare('prefix || body')} FROM pre WHERE length({_bare('prefix || body')}) <= {_MAX}),
+    chunked AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, place) - 1 AS INTEGER) AS chunk, heading, text, CAST(length(text) AS INTEGER) AS char_count FROM made)"""
+
+
+@query("chunks", f"{_CHUNKS} SELECT doc_id, chunk, heading, text, char_count FROM chunked")
 def chunks(spark, sf_dir):
     return chunking.chunks(_md(spark, sf_dir), "md")
 
 
-@query("chunk_stats")
+@query("chunk_stats", f"{_CHUNKS} SELECT doc_id, count(*) AS n_chunks, max(char_count) AS longest, CAST(sum(char_count) AS BIGINT) AS chars FROM chunked GROUP BY doc_id")
 def chunk_stats(spark, sf_dir):
     made = chunking.chunks(_md(spark, sf_dir), "md")
     return made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("char_count").alias("longest"), F.sum("char_count").alias("chars"))
