@@ -190,3 +190,23 @@ def math_density(df: DataFrame, text: str) -> DataFrame:
 def wants_math_format(density: Column, reviewer: Column, least: float = 0.08) -> Column:
     """Whether a page goes to the reviewer for its mathematics."""
     return F.coalesce((density >= least) & reviewer, F.lit(False))
+
+
+def token_offsets(df: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
+    """(key, n, start, end, token) of all tokens of every document, in order; a null text has none."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [(i, n, m.start(), m.end(), m.group()) for i, t in enumerate(part.column(1).to_pylist()) for n, m in enumerate(TOKEN.finditer(t or ""))]
+                whose, *columns = zip(*rows, strict=True) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(whose, pa.int64())), *map(pa.array, columns, (pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=[key, "n", "start", "end", "token"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n int, start int, end int, token string")
+
+
+def now_iso() -> Column:
+    """The time of the query as ISO 8601 in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -228,3 +228,15 @@ def plan_sentence(files: Column, pages: Column, vision: Column, figures: Column,
 def workers(configured: Column, model: Column) -> Column:
     """Files at a time: a local vision model serves one request, so one."""
     return F.when(is_local(model), 1).otherwise(F.greatest(F.lit(1), configured))
+
+
+def loaded(installed: DataFrame, running: DataFrame) -> DataFrame:
+    """installed (tag, ...) with loaded: whether the model is among the running ones (tag)."""
+    return installed.join(running.select("tag", F.lit(True).alias("loaded")).distinct(), "tag", "left").withColumn("loaded", F.coalesce("loaded", F.lit(False)))
+
+
+def capabilities(models: DataFrame) -> DataFrame:
+    """(stage, models): what can read pages, describe figures and review, from models (model, vision, text), by name."""
+    stages = F.array(F.when(F.col("vision") | (F.col("model") == "tesseract"), "ocr"), F.when(F.col("vision"), "figures"), F.when(F.col("text"), "review"))
+    rows = models.select("model", F.explode(F.array_compact(stages)).alias("stage"))
+    return rows.groupBy("stage").agg(F.array_sort(F.collect_set("model")).alias("models"))

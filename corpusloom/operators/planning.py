@@ -226,3 +226,22 @@ def job_state(events: DataFrame) -> DataFrame:
 def running_cost(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("so_far", F.round(F.sum("value").over(w), 4))
+
+
+def inspected(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """files (path) with pages, scanned, vision, maths, figures, chars and weight, from pages (path, needs_ocr, route, math, figures, chars).
+
+    A file without pages counts as nothing, and costs nothing.
+    """
+    sums = pages.groupBy("path").agg(
+        F.count("*").alias("pages"), F.count_if("needs_ocr").alias("scanned"), F.count_if(F.col("route") == "vision").alias("vision"), F.count_if("math").alias("maths"),
+        F.sum(F.coalesce("figures", F.lit(0))).alias("figures"), F.sum(F.coalesce("chars", F.lit(0))).alias("chars"),
+    )
+    counts = ("pages", "scanned", "vision", "maths", "figures", "chars")
+    rows = files.join(sums, "path", "left").fillna(0, list(counts))
+    return rows.withColumns({"weight": weight(F.col("vision"), F.col("figures"), F.lit(False)), "kind": pdf_kind(F.col("scanned"), F.col("pages"))})
+
+
+def native_pages(snapshots: DataFrame) -> DataFrame:
+    """(doc, page, markdown) of the pages that need no OCR, from snapshots (doc, pages: list of (page, markdown, needs_ocr))."""
+    return snapshots.select("doc", F.inline("pages")).filter(~F.col("needs_ocr")).select("doc", "page", "markdown")

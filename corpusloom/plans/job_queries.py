@@ -479,3 +479,41 @@ def html_escapes(spark, sf_dir):
 def document_texts(spark, sf_dir):
     """Documents as they are written: frontmatter, note, body."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(sinks.document_text(F.lit('---\nsource: "a"\n---\n'), F.when(F.col("doc_id") % 2 == 0, "> note\n"), F.col("text")).cast("binary")).alias("digest"))
+
+
+# -- inspections and capabilities
+
+
+@query(
+    "inspect_files",
+    """WITH pg AS (SELECT 'f' || l_orderkey AS path, l_partkey % 3 = 0 AS needs_ocr, CASE WHEN l_partkey % 3 = 0 AND l_suppkey % 2 = 0 THEN 'vision' ELSE 'native' END AS route, l_suppkey % 5 = 0 AS math, l_linenumber % 3 AS figures, l_partkey AS chars FROM lineitem),
+    s AS (SELECT path, count(*) AS pages, count(*) FILTER (needs_ocr) AS scanned, count(*) FILTER (route = 'vision') AS vision, count(*) FILTER (math) AS maths, sum(figures) AS figures, sum(chars) AS chars FROM pg GROUP BY path)
+    SELECT 'f' || o_orderkey AS path, coalesce(pages, 0) AS pages, coalesce(scanned, 0) AS scanned, coalesce(vision, 0) AS vision, coalesce(maths, 0) AS maths, CAST(coalesce(figures, 0) AS BIGINT) AS figures, CAST(coalesce(chars, 0) AS BIGINT) AS chars, CAST(coalesce(vision, 0) * 8.0 + coalesce(figures, 0) * 4.0 AS DOUBLE) AS weight, CASE WHEN coalesce(scanned, 0) * 2 > coalesce(pages, 0) THEN 'scanned' ELSE 'text' END AS kind FROM orders LEFT JOIN s ON s.path = 'f' || o_orderkey""",
+)
+def inspect_files(spark, sf_dir):
+    """What every file of a batch holds and costs; files without pages count as nothing."""
+    rows, p, s = table(spark, sf_dir, "lineitem"), F.col("l_partkey"), F.col("l_suppkey")
+    name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string"))
+    pages = rows.select(name("l_orderkey").alias("path"), (p % 3 == 0).alias("needs_ocr"), F.when((p % 3 == 0) & (s % 2 == 0), "vision").otherwise("native").alias("route"), (s % 5 == 0).alias("math"), (F.col("l_linenumber") % 3).alias("figures"), p.alias("chars"))
+    return planning.inspected(table(spark, sf_dir, "orders").select(name("o_orderkey").alias("path")), pages)
+
+
+@query("native_pages", "SELECT conv_id AS doc, turn AS page, md5(text) AS digest FROM conversations WHERE turn % 3 > 0")
+def native_pages(spark, sf_dir):
+    """Pages that need no OCR, from the snapshots of their documents."""
+    snapshots = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc")).agg(F.collect_list(F.struct(F.col("turn").alias("page"), F.col("text").alias("markdown"), (F.col("turn") % 3 == 0).alias("needs_ocr"))).alias("pages"))
+    return planning.native_pages(snapshots).select("doc", "page", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+@query("loaded_models", "SELECT p_partkey AS tag, EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey) AS loaded FROM part")
+def loaded_models(spark, sf_dir):
+    """Installed models, and whether each is loaded."""
+    return estimates.loaded(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tag")), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tag")))
+
+
+@query("model_stages", "WITH m AS (SELECT DISTINCT p_brand AS model, p_brand LIKE '%1%' AS vision, p_brand LIKE '%2%' AS text FROM part UNION ALL SELECT 'tesseract', false, false) SELECT stage, list_sort(list(DISTINCT model)) AS models FROM (SELECT model, 'ocr' AS stage FROM m WHERE vision OR model = 'tesseract' UNION ALL SELECT model, 'figures' FROM m WHERE vision UNION ALL SELECT model, 'review' FROM m WHERE text) GROUP BY stage")
+def model_stages(spark, sf_dir):
+    """Which models can do what."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("model")).distinct()
+    models = brands.select("model", F.contains("model", F.lit("1")).alias("vision"), F.contains("model", F.lit("2")).alias("text"))
+    return estimates.capabilities(models.unionByName(values(spark, "model string, vision boolean, text boolean", [("tesseract", False, False)])))

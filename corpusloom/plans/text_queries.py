@@ -444,6 +444,12 @@ _SPANS = f"""{WITH}, raw AS (SELECT doc_id, unnest(regexp_extract_all(md, '[^{_S
     spans AS (SELECT doc_id, b, e, root OR (n >= 2 AND short >= 2 AND short >= n - 1) AS structure_lost FROM runs)"""
 
 
+@query("token_offsets", f"{_SPANS} SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, CAST(b AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", t AS token FROM tok")
+def token_offsets(spark, sf_dir):
+    """Tokens with where they stand."""
+    return P.token_offsets(_md(spark, sf_dir), "md")
+
+
 @query("math_spans", f"{_SPANS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS INTEGER) AS span, CAST(b AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", md[b + 1:e] AS text, structure_lost FROM spans JOIN md_docs USING (doc_id)")
 def math_spans(spark, sf_dir):
     return P.math_spans(_md(spark, sf_dir), "md")

@@ -30,10 +30,9 @@ CHECKSUM_BYTES = 32_000_000
 def read_folder(spark: SparkSession, *folders: str) -> DataFrame:
     """(path, length, modified, content) of every file below the folders (or of the files themselves).
 
-    Spark's listing leaves out names that begin with a dot, and with an underscore; scanned() asks for the latter by name.
+    Spark leaves out names that begin with a dot or an underscore, and empty files.
     """
-    read = lambda pattern: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(pattern))
-    found = read(folders)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(folders))
     return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
 
 

@@ -153,3 +153,33 @@ def test_workbook(spark):
     wide = spark.createDataFrame([("b", "s", 0, 1, c, "x", None) for c in range(1, 40)], cells.schema)
     assert sheets.workbook_markdown(wide).first().md.startswith("## Sheet: s\n```csv\nx,x")
     assert sheets.workbook_markdown(wide.limit(0)).count() == 0
+
+
+def test_whole_folder(spark, tmp_path):
+    from corpusloom.operators import convert
+
+    source, output = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for name, data in {
+        "a.txt": b"\xef\xbb\xbfwater-\nmill", "b.html": b"<h1>T</h1><p>x</p>", "c.json": b'{"k": 1}', "d.csv": b'h,"i, j"\n1,2\n', "e.eml": b"From: a@x\nSubject: s\n\nhello", "f.m": b"x = 1", "g.txt": b"one", "g.html": b"<p>two</p>", "h.pdf": b"%PDF-1.4", "i.txt": b" ",
+        "z.zip": archive(**{"m/n.txt": "inside"}),
+    }.items():
+        (source / name).write_bytes(data)
+    rows = {r.source.removeprefix(f"{source}/"): r for r in convert.convert_folder(spark, str(source), str(output), chunks=True).collect()}
+    assert {k for k, r in rows.items() if r.status == "failed"} == {"h.pdf", "i.txt"} and rows["h.pdf"].error == "no converter for pdf"
+    read = lambda name: (output / name).read_text().split("---\n", 2)[2].strip()
+    assert read("a.md") == "watermill" and read("b.md") == "# T\n\nx" and read("d.md") == "| h | i, j |\n| --- | --- |\n| 1 | 2 |" and read("z.zip/m/n.md") == "inside"
+    assert read("g.txt.md") == "one" and read("g.html.md") == "two" and "```json" in read("c.md") and "hello" in read("e.md") and "matlab" in read("f.md")
+    assert json.loads((output / "a.chunks.json").read_text())[0]["text"] == "watermill"
+    (source / "a.txt").write_text("new")
+    again = {r.source.removeprefix(f"{source}/"): r.status for r in convert.convert_folder(spark, str(source), str(output)).collect()}
+    assert again["a.txt"] == "ok" and again["b.html"] == "skipped" and again["h.pdf"] == "failed" and again["z.zip/m/n.txt"] == "skipped"
+    assert read("a.md") == "new"
+    found = convert.validate_folder(spark, str(output)).collect()
+    assert {(r.path, r.rule) for r in found} >= {("a.md", "empty_output")}
+    (output / "pics").mkdir()
+    (output / "pics" / "p.png").write_bytes(b"x")
+    (output / "j.md").write_text("long enough to be no empty output ![x](pics/p.png) ![y](pics/q.png)")
+    assert [r.detail for r in convert.validate_folder(spark, str(output)).collect() if r.path == "j.md"] == ["image target 'pics/q.png' does not exist"]
+    totals = {r.kind: r.files for r in convert.inspect_folder(spark, str(source)).collect()}
+    assert totals[None] == 11
