@@ -179,7 +179,8 @@ class Model:
             out.append(np.maximum.reduceat(total, begins, axis=0))
         votes = np.add.reduceat(self.taps[:, at:][row], begins, axis=0)
         lang = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), len(FUNCTION_WORDS))
-        return np.maximum(np.concatenate(out, axis=1) + p["b"], 0) @ p["v"] + p["c"], lang
+        # summed row by row, not by a matrix product, whose rounding would hang on the other texts of the batch
+        return (np.maximum(np.concatenate(out, axis=1) + p["b"], 0) * p["v"]).sum(axis=1) + p["c"], lang
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
