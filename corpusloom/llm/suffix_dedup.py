@@ -324,9 +324,17 @@ def _expanded(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
 
 
 def _open(segments: DataFrame) -> DataFrame:
-    """The segments (q, sg, m, at) whose key occurs more than once, with the number of kinds of the key."""
+    """The segments (q, sg, m, at) whose key occurs more than once, with the number of kinds of the key, written down.
+
+    segments is written down too, and goes; so do the shuffles that led here.
+    """
+    segments = stash(segments.select("q", "sg", "m", "at"))
+    release(segments.sparkSession)
     keys = stash(segments.groupBy("q").agg(F.sum("m").alias("total"), F.count("*").alias("kinds")).filter("total > 1").drop("total"))
-    return segments.join(keys, "q").select("q", "sg", "m", "at.*", "kinds")
+    found = stash(segments.join(keys, "q").select("q", "sg", "m", "at.*", "kinds"))
+    discard(segments, keys)
+    release(found.sparkSession)
+    return found
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -343,16 +351,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(rows, again)
     release(docs.sparkSession)
 
-    segments = stash(parts.groupBy("q", "sg").agg(F.sum("m").alias("m"), F.min(F.struct("t1", "t2", "first", "windows")).alias("at")).select("q", "sg", "m", "at"))
-    open_ = stash(_open(segments))
-    discard(segments)
+    open_ = _open(parts.groupBy("q", "sg").agg(F.sum("m").alias("m"), F.min(F.struct("t1", "t2", "first", "windows")).alias("at")))
     repeats = _expanded(texts, open_.filter(f"kinds <= {MOST_SEGMENTS}"), length)
     many = open_.filter(f"kinds > {MOST_SEGMENTS}")
     if many.limit(1).count():
         alone = _with_text(texts, _by_text(many, ["q", "sg", "m", "first", "windows", "kinds"], unique=False))
         alone = stash(alone.mapInArrow(trimmed(_single_windows(length)), "w long, w2 long, t1 long, t2 long, start int, q long, sg long, at int, m long"))
         single = alone.groupBy(F.col("w").alias("q"), F.col("w2").alias("sg")).agg(F.sum("m").alias("m"), F.min(F.struct("t1", "t2", F.col("start").alias("first"), F.lit(1).alias("windows"))).alias("at"))
-        twice = stash(_expanded(texts, stash(_open(stash(single))), length).select(F.col("q").alias("w"), F.col("sg").alias("w2")))
+        apart = _open(single)
+        twice = stash(_expanded(texts, apart, length).select(F.col("q").alias("w"), F.col("sg").alias("w2")))
+        discard(apart)
         repeats = repeats.unionByName(alone.join(twice, ["w", "w2"]).select("q", "sg", "at", F.lit(1).alias("n")).distinct())
     repeats = stash(repeats)
     discard(open_)
