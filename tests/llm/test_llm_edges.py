@@ -164,20 +164,6 @@ def test_stages(spark, sf, docs, name, stage):
         assert not [r for r in rows if not (r.text or "").strip()]
 
 
-def test_pipeline_against_its_stages(spark, sf):
-    """run() is its stages one after the other, and leaves no table behind but the last one read."""
-    from corpusloom.llm import common
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = common.stash(stage(spark, docs, sf))
-    want = Counter((r.doc_id, r.ids_sha256) for r in docs.collect())
-    common.sweep(spark)
-    got = corpus_pipeline.run(spark, sf)
-    assert len(common._stashed) == 1
-    assert Counter((r.doc_id, r.ids_sha256) for r in got.collect()) == want and want
-
-
 def test_packing(docs):
     rows = packing.pack(docs, length=128, stretch=3000).collect()
     parts = Counter()
