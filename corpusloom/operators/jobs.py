@@ -189,7 +189,7 @@ def permits(events: DataFrame) -> DataFrame:
 def deadlines(submitted: DataFrame, workers: int) -> DataFrame:
     """submitted (file, at, budget, seconds) with deadline, timed_out, and whether the batch goes on: as many files may hang as there are workers."""
     rows = submitted.withColumn("deadline", F.col("at") + F.col("budget")).withColumn("timed_out", F.coalesce(F.col("seconds") > F.col("budget"), F.lit(False)))
-    hung = F.sum(F.col("timed_out").cast("int")).over(Window.partitionBy("batch").orderBy("at", "file").rowsBetween(Window.unboundedPreceding, 0))
+    hung = F.sum(F.col("timed_out").cast("int")).over(Window.partitionBy("batch").orderBy("at", "file", "timed_out").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("goes_on", hung < workers)
 
 

@@ -340,7 +340,7 @@ def permit_gauges(spark, sf_dir):
     return jobs.permits(table(spark, sf_dir, "events").select(F.col("user_id").alias("kind"), F.col("event_id").alias("seq"), F.expr(_ACTION).alias("action")))
 
 
-@query("file_deadlines", "WITH d AS (SELECT l_orderkey AS batch, l_linenumber * 1000000 + l_partkey AS file, CAST(l_linenumber * 10 AS DOUBLE) AS begun, CASE WHEN l_partkey % 5 > 0 THEN 25.0 END AS budget, l_quantity AS seconds FROM lineitem), t AS (SELECT *, coalesce(seconds > budget, false) AS timed_out FROM d) SELECT batch, file, begun + budget AS deadline, timed_out, sum(CAST(timed_out AS INTEGER)) OVER (PARTITION BY batch ORDER BY begun, file ROWS UNBOUNDED PRECEDING) < 2 AS goes_on FROM t")
+@query("file_deadlines", "WITH d AS (SELECT l_orderkey AS batch, l_linenumber * 1000000 + l_partkey AS file, CAST(l_linenumber * 10 AS DOUBLE) AS begun, CASE WHEN l_partkey % 5 > 0 THEN 25.0 END AS budget, l_quantity AS seconds FROM lineitem), t AS (SELECT *, coalesce(seconds > budget, false) AS timed_out FROM d) SELECT batch, file, begun + budget AS deadline, timed_out, sum(CAST(timed_out AS INTEGER)) OVER (PARTITION BY batch ORDER BY begun, file, timed_out ROWS UNBOUNDED PRECEDING) < 2 AS goes_on FROM t")
 def file_deadlines(spark, sf_dir):
     """When a file's time is up, and whether the batch goes on with files that hang."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("file"), (F.col("l_linenumber") * 10).cast("double").alias("at"), F.when(F.col("l_partkey") % 5 > 0, 25.0).alias("budget"), F.col("l_quantity").alias("seconds"))
