@@ -6,9 +6,13 @@ order of drawing, runs page by page over Arrow batches.  A page's shapes are bou
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import deque
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +65,7 @@ def text_coverage(regions: DataFrame, blocks: DataFrame) -> DataFrame:
     return full.withColumn("covered", F.when(area <= 0, 1.0).otherwise(F.coalesce("over", F.lit(0.0)) / area)).withColumn("chars", F.when(area <= 0, 0).otherwise(F.coalesce("chars", F.lit(0))).cast("long")).drop("over")
 
 
-@dataclass(frozen=True)
-class Box:
+class Box(NamedTuple):
     x0: float
     y0: float
     x1: float
@@ -87,10 +90,11 @@ class Box:
 
 def clusters(boxes: list[Box], gap: float = GAP) -> list[Box]:
     """Bounding boxes of what touches or comes within the gap, until nothing does any more."""
-    settled, waiting = [], list(boxes)
+    settled, waiting = [], deque(boxes)
     while waiting:
-        box = waiting.pop(0)
-        near = [s for s in settled if s.meets(box.grown(gap))]
+        box = waiting.popleft()
+        reach = box.grown(gap)
+        near = [s for s in settled if s.meets(reach)]
         if near:
             # what is taken in may bring the box next to others: it is looked at again
             settled = [s for s in settled if s not in near]
@@ -102,29 +106,27 @@ def clusters(boxes: list[Box], gap: float = GAP) -> list[Box]:
     return settled
 
 
-def page_figures(shapes: list[tuple], texts: list[tuple], page: Box) -> list[tuple[Box, str]]:
-    """(box, kind) of a page's figures in reading order; shapes: (kind, filled, Box) in drawing order, texts: (text, Box)."""
+def page_figures(vector: list[tuple[bool, Box]], raster: list[Box], texts: list[tuple[int, Box]], page: Box) -> list[tuple[Box, str]]:
+    """(box, kind) of a page's figures in reading order; vector: (filled, Box) and raster in drawing order, texts: (characters, Box)."""
     whole = lambda b: page.area > 0 and b.area / page.area > PAGE_SHARE
-    vector = [(f, b) for k, f, b in shapes if k == "vector"]
-    prose = [(len(t.strip()), b) for t, b in texts if len(t.strip()) >= PROSE_CHARS]
-    labels = [b for t, b in texts if 0 < len(t.strip()) < PROSE_CHARS and b.area > 0]
     found: list[tuple[Box, str]] = []
-    for box in clusters([b for _, b in vector]):
+    for box in clusters([b for _, b in vector]) if len(vector) >= LEAST_PARTS else ():
+        if min(box.x1 - box.x0, box.y1 - box.y0) < LEAST_SIDE:
+            continue
         parts = [(f, b) for f, b in vector if b.meets(box)]
-        small = min(box.x1 - box.x0, box.y1 - box.y0) < LEAST_SIDE
-        if small or whole(box) or len(parts) < LEAST_PARTS:
+        if len(parts) < LEAST_PARTS or whole(box):
             continue
         if sum(b.x1 - b.x0 >= WIDE * (page.x1 - page.x0) for _, b in parts) > MOST_WIDE * len(parts) or sum(f for f, _ in parts) > MOST_FILLED * len(parts):
             continue
-        under = [(n, b, b.overlap(box)) for n, b in prose if b.overlap(box) > 0]
+        under = [(n, b, b.overlap(box)) for n, b in texts if n >= PROSE_CHARS and b.overlap(box) > 0]
         if sum(o for *_, o in under) > MOST_TEXT * box.area or sum(int(n * min(1.0, o / b.area)) for n, b, o in under) > MOST_CHARS:
             continue
         reach, grown = box.grown(LABEL_REACH), box
-        for label in labels:
+        for label in (b for n, b in texts if 0 < n < PROSE_CHARS and b.area > 0):
             if label.meets(reach) and not whole(grown.joined(label)):
                 grown = grown.joined(label)
         found.append((grown, "vector"))
-    for box in (b for k, _, b in shapes if k == "raster"):
+    for box in raster:
         host = next((i for i, (b, _) in enumerate(found) if b.meets(box) and not whole(b.joined(box))), None)
         if host is None:
             found.append((box, "raster"))
@@ -133,20 +135,56 @@ def page_figures(shapes: list[tuple], texts: list[tuple], page: Box) -> list[tup
     return sorted(found, key=lambda f: (round(f[0].y0, 1), round(f[0].x0, 1)))[:MOST_FIGURES]
 
 
+#: Codes of what lies on a page, as pages are dealt out: plain and filled shapes, images, text blocks.
+PLAIN, FILLED, IMAGE, TEXT = range(4)
+#: What str.strip takes off, which is more than trim does.
+_BLANK = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_BOX, _SIDES = ("x0", "y0", "x1", "y1"), ("page_w", "page_h")
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of figure_regions() from rows (page, code, n, box, sides) that come page by page; a page may go over several batches."""
+    values = lambda c: c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist()
+    rows = (row for batch in batches for row in zip(*map(values, batch.columns), strict=True))
+    for key, of in groupby(rows, itemgetter(0)):
+        vector, raster, texts, sides = [], [], [], None
+        for _, code, n, x0, y0, x1, y1, w, h in of:
+            if code == TEXT:
+                texts.append((n, Box(x0, y0, x1, y1)))
+                continue
+            sides = sides or (w, h)
+            if code == IMAGE:
+                raster.append(Box(x0, y0, x1, y1))
+            else:
+                vector.append((code == FILLED, Box(x0, y0, x1, y1)))
+        if raster or len(vector) >= LEAST_PARTS:
+            for i, (b, kind) in enumerate(page_figures(vector, raster, texts, Box(0.0, 0.0, *sides)), 1):
+                yield key, i, kind, *b
+
+
 def figure_regions(shapes: DataFrame, blocks: DataFrame) -> DataFrame:
     """(page, index, kind, x0, y0, x1, y1) of every page's figures, from candidates() and text blocks (page, seq, text, x0, y0, x1, y1).
 
-    Pages are dealt out whole.  Null texts count as blank; shapes and blocks go by seq.
+    Pages are dealt out whole.  Null texts count as blank; shapes and blocks go by seq, ties by kind, filling and box.
     """
-    result = "page long, index int, kind string, x0 double, y0 double, x1 double, y1 double"
-
-    def one(key: tuple, drawn: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
-        if not len(drawn):
-            return pd.DataFrame(columns=["page", "index", "kind", "x0", "y0", "x1", "y1"])
-        drawn, text = drawn.sort_values("seq"), text.sort_values("seq")
-        page = Box(0.0, 0.0, float(drawn["page_w"].iloc[0]), float(drawn["page_h"].iloc[0]))
-        box = lambda r: Box(r.x0, r.y0, r.x1, r.y1)
-        found = page_figures([(r.kind, bool(r.filled), box(r)) for r in drawn.itertuples()], [(r.text or "", box(r)) for r in text.itertuples()], page)
-        return pd.DataFrame([(key[0], i, k, b.x0, b.y0, b.x1, b.y1) for i, (b, k) in enumerate(found, 1)], columns=["page", "index", "kind", "x0", "y0", "x1", "y1"])
-
-    return candidates(shapes).groupBy("page").cogroup(blocks.groupBy("page")).applyInPandas(one, result)
+    names = ("page", "index", "kind", *_BOX)
+    types = (pa.int64(), pa.int32(), pa.string(), *[pa.float64()] * 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for row in _found(batches):
+            rows.append(row)
+            if len(rows) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(d, t) for d, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(d, t) for d, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    page, box, nan = F.col("page").cast("long").alias("page"), [F.col(c).cast("double").alias(c) for c in _BOX], F.lit(float("nan"))
+    code = F.when(F.col("kind") == "raster", IMAGE).when(F.col("filled"), FILLED).otherwise(PLAIN)
+    drawn = candidates(shapes).select(page, code.alias("code"), F.lit(0).alias("n"), *box, *[F.coalesce(F.col(c).cast("double"), nan).alias(c) for c in _SIDES], F.col("seq").alias("shape"), F.lit(None).alias("block"))
+    n = F.length(F.btrim("text", F.lit(_BLANK))).alias("n")
+    # blank blocks and blocks without a place change nothing
+    text = blocks.select(page, F.lit(TEXT).alias("code"), n, *box, *[nan.alias(c) for c in _SIDES], F.lit(None).alias("shape"), F.col("seq").alias("block")).filter(F.col("n") > 0).dropna(subset=list(_BOX))
+    dealt = drawn.unionByName(text).repartition("page").sortWithinPartitions("page", F.col("code") == TEXT, F.asc_nulls_last("shape"), F.asc_nulls_last("block"), "code", *_BOX, "n")
+    return dealt.select("page", "code", "n", *_BOX, *_SIDES).mapInArrow(run, "page long, index int, kind string, x0 double, y0 double, x1 double, y1 double")

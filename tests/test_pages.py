@@ -41,6 +41,26 @@ def test_figure_rules(spark):
     assert figures.figure_regions(spark.createDataFrame(over, schema), texts).count() == 0  # prose lies under it
 
 
+def test_figures_page_by_page_in_batches(spark):
+    """Many pages take no call each, a page may go over several batches, and equal seq leaves nothing open."""
+    schema = "page long, seq int, kind string, filled boolean, x0 double, y0 double, x1 double, y1 double, page_w double, page_h double"
+    image = lambda page, x: (page, 1, "raster", None, x, 100.0, x + 100.0, 200.0, 600.0, 800.0)
+    chain = [0.0, 90.0, 180.0]  # the middle one joins both
+    texts = spark.createDataFrame([(7, 1, "\u00a0axis\n", 0.0, 0.0, None, 1.0)], "page long, seq int, text string, x0 double, y0 double, x1 double, y1 double")
+    pages = [None, *range(40)]
+    asked = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for order in ((0, 1, 2), (0, 2, 1), (2, 0, 1)):
+            shapes = spark.createDataFrame([image(p, chain[i]) for p in pages for i in order], schema).coalesce(1)
+            found = figures.figure_regions(shapes, texts)
+            got = sorted((tuple(r) for r in found.collect()), key=repr)
+            assert got == sorted(((p, 1, "raster", 0.0, 100.0, 280.0, 200.0) for p in pages), key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", asked)
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rejoined_words(spark):
     rows, text = [], []
     for line in range(4):
