@@ -1,5 +1,9 @@
 """Parser queries against their SQL where a document's head leaves nothing, and the operators' two ways with blanks at the ends."""
 
+import io
+import json
+import zipfile
+
 import duckdb
 import pytest
 
@@ -19,7 +23,7 @@ def odd_rows(spark, tmp_path, name):
     return sorted(tuple(r) for r in got.collect()), sorted(con.sql(f"SELECT {columns} FROM ({REGISTRY[name].sql})").fetchall())
 
 
-@pytest.mark.parametrize("name", ["live_scripts"])
+@pytest.mark.parametrize("name", ["live_scripts", "parse_mind_maps"])
 def test_heads_without_words(spark, tmp_path, name):
     got, want = odd_rows(spark, tmp_path, name)
     assert got == want and len(got) >= len(TEXTS)
@@ -30,3 +34,12 @@ def test_live_script_blanks(spark):
     paragraphs = spark.createDataFrame(rows, "path string, n int, code boolean, text string")
     assert parsers.live_scripts(paragraphs).first().md == "## a.mlx\n\nprose\n\n```matlab\nx\n```\n"
     assert parsers.live_scripts(paragraphs, as_is=True).first().md == "## a.mlx\n\n prose \n\n```matlab\nx\n```\n"
+
+
+def test_mind_map_blanks(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("content.json", json.dumps([{"title": "S", "rootTopic": {"title": " r ", "children": {"attached": [{"title": " "}, {"title": "c "}]}}}]))
+    files = spark.createDataFrame([("x.xmind", bytearray(out.getvalue()))], "path string, content binary")
+    assert parsers.mind_maps(files).first().md == "## S\n\n- r\n  - c"
+    assert parsers.mind_maps(files, as_is=True).first().md == "## S\n\n-  r \n  - c "
