@@ -23,7 +23,7 @@ def odd_rows(spark, tmp_path, name):
     return sorted(tuple(r) for r in got.collect()), sorted(con.sql(f"SELECT {columns} FROM ({REGISTRY[name].sql})").fetchall())
 
 
-@pytest.mark.parametrize("name", ["live_scripts", "parse_mind_maps"])
+@pytest.mark.parametrize("name", ["live_scripts", "parse_books", "parse_mind_maps"])
 def test_heads_without_words(spark, tmp_path, name):
     got, want = odd_rows(spark, tmp_path, name)
     assert got == want and len(got) >= len(TEXTS)
@@ -43,3 +43,10 @@ def test_mind_map_blanks(spark):
     files = spark.createDataFrame([("x.xmind", bytearray(out.getvalue()))], "path string, content binary")
     assert parsers.mind_maps(files).first().md == "## S\n\n- r\n  - c"
     assert parsers.mind_maps(files, as_is=True).first().md == "## S\n\n-  r \n  - c "
+
+
+def test_empty_paragraphs_of_books():
+    html = "<head><p></p></head><h1>T</h1><p> </p><p>a</p><p><br/></p><p>b&#3;</p><table><tr><td><p></p></td></tr></table><p><img src='i'/></p><p></p>"
+    assert parsers.html_markdown(html) == "# T\n\na\n\nb\n\n|  |\n| --- |\n\n![](i)"
+    assert parsers.html_markdown(html, as_is=True) == "# T\n\n\n\na\n\n\n\nb\n\n|  |\n| --- |\n\n![](i)\n\n"
+    assert parsers.html_markdown("<p>a</p>", as_is=True) == "a" and parsers.html_markdown("<p>\x03</p>") == "\x03"
