@@ -23,7 +23,7 @@ def odd_rows(spark, tmp_path, name):
     return sorted(tuple(r) for r in got.collect()), sorted(con.sql(f"SELECT {columns} FROM ({REGISTRY[name].sql})").fetchall())
 
 
-@pytest.mark.parametrize("name", ["live_scripts", "parse_books", "parse_mind_maps"])
+@pytest.mark.parametrize("name", ["live_scripts", "parse_books", "parse_emails", "parse_mind_maps"])
 def test_heads_without_words(spark, tmp_path, name):
     got, want = odd_rows(spark, tmp_path, name)
     assert got == want and len(got) >= len(TEXTS)
@@ -50,3 +50,11 @@ def test_empty_paragraphs_of_books():
     assert parsers.html_markdown(html) == "# T\n\na\n\nb\n\n|  |\n| --- |\n\n![](i)"
     assert parsers.html_markdown(html, as_is=True) == "# T\n\n\n\na\n\n\n\nb\n\n|  |\n| --- |\n\n![](i)\n\n"
     assert parsers.html_markdown("<p>a</p>", as_is=True) == "a" and parsers.html_markdown("<p>\x03</p>") == "\x03"
+
+
+def test_email_blanks(spark):
+    head = b"From: a@x\nSubject: s\nMIME-Version: 1.0\nContent-Type: "
+    both = head + b'multipart/alternative; boundary="b"\n\n--b\nContent-Type: text/plain\n\n \n\n--b\nContent-Type: text/html\n\n<p> t </p>\n--b--\n'
+    files = spark.createDataFrame([("a", head + b"text/plain\n\n x \n"), ("b", both)], "path string, content binary")
+    assert {r.path: r.body for r in parsers.emails(files).collect()} == {"a": "x", "b": "t"}
+    assert {r.path: r.body.rstrip("\n") for r in parsers.emails(files, as_is=True).collect()} == {"a": " x ", "b": " t "}
